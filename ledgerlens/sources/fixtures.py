@@ -111,9 +111,8 @@ def catalogue_json_lines(supplier: DataFrame) -> DataFrame:
             F.concat(F.lit("z"), k.cast("string")).alias("key"),
             F.lit("999").alias("id"), F.array().cast("array<string>").alias("addresses"))),
     )
-    entry = F.explode(entries).alias("e")
+    entry = F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e")
     return (supplier.select(entry)
-            .filter(F.col("e").isNotNull())
             .select(F.to_json(F.struct(F.create_map(
                 F.col("e.key"),
                 F.struct(F.col("e.id").alias("id"), F.col("e.addresses").alias("addresses")),
