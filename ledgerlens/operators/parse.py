@@ -108,18 +108,23 @@ def parse_lines(lines: DataFrame, contract: TableContract, *, keep: tuple[str, .
     if not timestamp:
         return barrier.select(*out_cols, "reason")
 
-    ts = F.col(timestamp)
-    bad_ts = ts.isNull() | ~epoch_in_range(ts)
-    month = F.when(
-        F.col("reason").isNull(),
-        F.when(bad_ts, F.raise_error(F.concat(
-            F.lit(f"{contract.name}: {timestamp} is not a usable epoch: "),
-            F.coalesce(F.col(f"_raw_{timestamp}"), F.lit("<missing>")))).cast("int"))
-        .otherwise(month_index(ts)),
-    )
+    month = F.when(F.col("reason").isNull(), strict_month(
+        F.col(timestamp), F.col(f"_raw_{timestamp}"), f"{contract.name}.{timestamp}"))
     return barrier.select(*out_cols, month.alias("month"), "reason")
 
 
+def strict_month(epoch: Column, raw: Column | None = None, what: str = "timestamp") -> Column:
+    """Month index of ``epoch``; raises (fails the job) when it is unusable.
+
+    Use under a condition (``F.when(used, strict_month(...))``) so that only
+    rows a question actually buckets can fail it.
+    """
+    bad = epoch.isNull() | ~epoch_in_range(epoch)
+    shown = F.coalesce(raw, F.lit("<missing>")) if raw is not None else F.lit("")
+    return F.when(bad, F.raise_error(F.concat(
+        F.lit(f"{what} is not a usable epoch: "), shown)).cast("int")).otherwise(month_index(epoch))
+
+
 def accepted(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("reason").isNull()).drop("reason")
 

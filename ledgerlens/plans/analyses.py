@@ -19,8 +19,8 @@ from ledgerlens.functions.time import month_label
 from ledgerlens.operators.aggregates import constant_key_sum, count_by, mean_of, sum_by, sum_count_by
 from ledgerlens.operators.catalogue import flatten_catalogue
 from ledgerlens.operators.joins import (
+    WEIGHT,
     aggregate_through,
-    attach,
     fits_broadcast,
     join_totals_with_copies,
     semi_filter,
@@ -34,6 +34,7 @@ from ledgerlens.operators.parse import (
     accepted,
     parse_lines,
     parse_reference_list,
+    strict_month,
 )
 from ledgerlens.operators.sinks import emit_list_lines
 from ledgerlens.operators.topk import preview, top_k
@@ -83,12 +84,18 @@ def _total(col: str, name: str):
 # ---------------------------------------------------------------- parsing
 
 def transactions(tx_lines: DataFrame, checks: tuple[str, ...], *, keep=(), value: str | None = None,
+                 integers: tuple[str, ...] = (), month: bool = True,
                  on_bad_timestamp: str = FAIL) -> DataFrame:
-    """Accepted transaction lines with ``month`` and the requested fields."""
-    integers = (value,) if value else ()
+    """Accepted transaction lines with the requested fields.
+
+    ``month=True`` adds the month bucket of ``block_timestamp``; questions
+    that never look at the time (per-address totals) leave it out, so a bad
+    timestamp cannot fail them.
+    """
+    integers = tuple(dict.fromkeys(((value,) if value else ()) + tuple(integers)))
     return accepted(parse_lines(
         tx_lines, TRANSACTIONS, keep=tuple(keep), checked=checks, integers=integers,
-        timestamp="block_timestamp", on_bad_timestamp=on_bad_timestamp))
+        timestamp="block_timestamp" if month else None, on_bad_timestamp=on_bad_timestamp))
 
 
 def contracts(ct_lines: DataFrame) -> DataFrame:
@@ -129,9 +136,13 @@ def monthly_sums_with_count_lookup(tx_lines: DataFrame) -> DataFrame:
     broadcast join instead of a dictionary shipped from the driver.
     """
     tx = transactions(tx_lines, MONTHLY_CHECKS, value="value")
-    sums = sum_by(tx, "month", "value", "total")
-    counts = count_by(tx, "month")
-    joined = attach(sums, counts, "month")
+    # both sides come from one aggregate, so the scan and its exchange are
+    # shared (exchange reuse); months are bounded (years 1000..9999, at most
+    # 108 000 keys), which proves the count table small enough to broadcast
+    per_month = sum_count_by(tx, "month", "value")
+    sums = per_month.select("month", F.col("s").alias("total"))
+    counts = per_month.select("month", "n")
+    joined = sums.join(F.broadcast(counts), "month")
     return _labelled(joined, F.col("n"), _total("total", "total_value"),
                      mean_of(F.col("total"), F.col("n")).alias("mean_value"))
 
@@ -139,18 +150,23 @@ def monthly_sums_with_count_lookup(tx_lines: DataFrame) -> DataFrame:
 # ------------------------------------------------------- per address (B, D1b)
 
 def address_totals(tx_lines: DataFrame) -> DataFrame:
-    tx = transactions(tx_lines, VALUE_CHECKS, keep=("to_address",), value="value")
+    tx = transactions(tx_lines, VALUE_CHECKS, keep=("to_address",), value="value", month=False)
     return sum_by(tx, "to_address", "value", "total").select(
         "to_address", _total("total", "total_value"))
 
 
-def _contract_totals(tx_lines: DataFrame, ct_lines: DataFrame, k: int) -> DataFrame:
-    tx = transactions(tx_lines, VALUE_CHECKS, keep=("to_address",), value="value")
-    totals = sum_by(tx, "to_address", "value", "total").withColumnRenamed("to_address", "address")
+def _top_contract_rows(totals: DataFrame, ct_lines: DataFrame, k: int) -> DataFrame:
+    """(address, total) of the k best contract rows given per-address totals."""
     rows = join_totals_with_copies(totals, contracts(ct_lines), "address", max_copies=k)
     return top_k(rows, k, "total", ("address",))
 
 
+def _contract_totals(tx_lines: DataFrame, ct_lines: DataFrame, k: int) -> DataFrame:
+    tx = transactions(tx_lines, VALUE_CHECKS, keep=("to_address",), value="value", month=False)
+    totals = sum_by(tx, "to_address", "value", "total").withColumnRenamed("to_address", "address")
+    return _top_contract_rows(totals, ct_lines, k)
+
+
 def top_contracts(tx_lines: DataFrame, ct_lines: DataFrame, k: int = TOP_K) -> DataFrame:
     """k contracts receiving the largest total value (a contract listed twice
     appears twice)."""
@@ -176,11 +192,27 @@ def listed_address_monthly_mean_gas(tx_lines: DataFrame,
 
 def top_contract_monthly_mean_gas(tx_lines: DataFrame, ct_lines: DataFrame,
                                   k: int = TOP_K) -> DataFrame:
-    """As above with the list derived: the k top contracts by value."""
-    top = _contract_totals(tx_lines, ct_lines, k).select(F.col("address").alias("to_address"))
-    tx = transactions(tx_lines, GAS_AND_VALUE_CHECKS, keep=("to_address",), value="gas")
-    listed = semi_filter(tx, top, "to_address", bounded=True)
-    return _mean(sum_count_by(listed, "month", "gas"), "mean_gas")
+    """As above with the list derived: the k top contracts by value.
+
+    One parse serves both parts.  Value-valid lines are aggregated once per
+    (address, month); the ranking sums that over months, the mean keeps the
+    months of the top addresses.  Only lines the mean uses (gas valid too)
+    are bucketed by month, so only they can fail on a bad timestamp.
+    """
+    tx = transactions(tx_lines, VALUE_CHECKS, keep=("to_address",), value="value",
+                      integers=("gas", "block_timestamp"), month=False)
+    gas_ok = F.col("gas").isNotNull()
+    bucketed = tx.select(
+        F.col("to_address").alias("address"), "value", "gas",
+        F.when(gas_ok, strict_month(F.col("block_timestamp"), what="transactions.block_timestamp"))
+        .alias("month"))
+    per_month = bucketed.groupBy("address", "month").agg(
+        F.sum("value").alias("sv"), F.sum("gas").alias("sg"), F.count("gas").alias("ng"))
+    totals = per_month.groupBy("address").agg(F.sum("sv").alias("total"))
+    top = _top_contract_rows(totals, ct_lines, k).select("address")
+    listed = semi_filter(per_month.filter(F.col("ng") > 0), top, "address", bounded=True)
+    agg = listed.groupBy("month").agg(F.sum("sg").alias("s"), F.sum("ng").alias("n"))
+    return _mean(agg, "mean_gas")
 
 
 # ------------------------------------------------------------- blocks (C, D2)
@@ -244,15 +276,28 @@ def scam_id_monthly_mean(tx_lines: DataFrame, pairs: DataFrame,
 
 
 def scam_leader_monthly_mean(tx_lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """As above for the id with the largest total (derived, not pasted)."""
-    leader = top_k(_scam_totals(tx_lines, pairs), 1, "s", ("id",)).select("id")
-    members = pairs.join(F.broadcast(leader), "id", "left_semi").select("address")
-    # the leader's addresses are a subset of the whole list: bound that instead
-    # of running the leader query once more just to count its addresses
-    small = fits_broadcast(weighted(pairs.select("address"), "address"))
+    """As above for the id with the largest total (derived, not pasted).
+
+    One parse serves both parts: listed-address transactions are aggregated
+    once per (address, month); the ranking and the monthly mean both read
+    that aggregate (the exchange is reused).
+    """
     tx = transactions(tx_lines, VALUE_CHECKS, keep=("to_address",), value="value")
-    agg = aggregate_through(tx.withColumnRenamed("to_address", "address"), members, "address",
-                            fact_keys=("month",), value="value", broadcast=small)
+    tx = tx.withColumnRenamed("to_address", "address")
+    by_pair = weighted(pairs, "address", ("id",))
+    small = fits_broadcast(by_pair)
+    if small:
+        # the list is checked small: drop unlisted transactions before any shuffle
+        tx = semi_filter(tx, by_pair, "address", bounded=True)
+    per_month = tx.groupBy("address", "month").agg(
+        F.sum("value").alias("s0"), F.count(F.lit(1)).alias("n0"))
+    weighted_rows = (per_month.join(F.broadcast(by_pair), "address") if small
+                     else by_pair.join(per_month, "address"))
+    weighted_rows = weighted_rows.select(
+        "id", "month", (F.col("s0") * F.col(WEIGHT)).alias("s"), (F.col("n0") * F.col(WEIGHT)).alias("n"))
+    leader = top_k(weighted_rows.groupBy("id").agg(F.sum("s").alias("s")), 1, "s", ("id",)).select("id")
+    agg = (weighted_rows.join(F.broadcast(leader), "id", "left_semi")
+           .groupBy("month").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
     return _mean(agg, "mean_value")
 
 

@@ -30,6 +30,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that arrives in fewer splits than the session has cores.
+
+    A Parquet file written as one row group is read by a single task however
+    large it is; every later per-row step would inherit that.  Inputs already
+    split at least ``defaultParallelism`` ways (any large dataset) are
+    returned unchanged, so this never adds a shuffle at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def address(key: Column) -> Column:
     """``0x`` + the key left-padded with zeros to 40 characters."""
     return F.concat(F.lit("0x"), F.lpad(key.cast("string"), 40, "0"))
