@@ -36,6 +36,7 @@ from ledgerlens.operators.parse import (
     parse_reference_list,
     strict_month,
 )
+from ledgerlens.operators.materialize import shared
 from ledgerlens.operators.sinks import emit_list_lines
 from ledgerlens.operators.topk import preview, top_k
 from ledgerlens.sources.text import catalogue_from_json_lines
@@ -136,10 +137,10 @@ def monthly_sums_with_count_lookup(tx_lines: DataFrame) -> DataFrame:
     broadcast join instead of a dictionary shipped from the driver.
     """
     tx = transactions(tx_lines, MONTHLY_CHECKS, value="value")
-    # both sides come from one aggregate, so the scan and its exchange are
-    # shared (exchange reuse); months are bounded (years 1000..9999, at most
+    # both sides read one materialised aggregate, so the input is scanned
+    # once; months are bounded (years 1000..9999, at most
     # 108 000 keys), which proves the count table small enough to broadcast
-    per_month = sum_count_by(tx, "month", "value")
+    per_month = shared(sum_count_by(tx, "month", "value"))
     sums = per_month.select("month", F.col("s").alias("total"))
     counts = per_month.select("month", "n")
     joined = sums.join(F.broadcast(counts), "month")
@@ -206,8 +207,8 @@ def top_contract_monthly_mean_gas(tx_lines: DataFrame, ct_lines: DataFrame,
         F.col("to_address").alias("address"), "value", "gas",
         F.when(gas_ok, strict_month(F.col("block_timestamp"), what="transactions.block_timestamp"))
         .alias("month"))
-    per_month = bucketed.groupBy("address", "month").agg(
-        F.sum("value").alias("sv"), F.sum("gas").alias("sg"), F.count("gas").alias("ng"))
+    per_month = shared(bucketed.groupBy("address", "month").agg(
+        F.sum("value").alias("sv"), F.sum("gas").alias("sg"), F.count("gas").alias("ng")))
     totals = per_month.groupBy("address").agg(F.sum("sv").alias("total"))
     top = _top_contract_rows(totals, ct_lines, k).select("address")
     listed = semi_filter(per_month.filter(F.col("ng") > 0), top, "address", bounded=True)
@@ -279,8 +280,8 @@ def scam_leader_monthly_mean(tx_lines: DataFrame, pairs: DataFrame) -> DataFrame
     """As above for the id with the largest total (derived, not pasted).
 
     One parse serves both parts: listed-address transactions are aggregated
-    once per (address, month); the ranking and the monthly mean both read
-    that aggregate (the exchange is reused).
+    once per (address, month, id); the ranking and the monthly mean both read
+    that materialised aggregate.
     """
     tx = transactions(tx_lines, VALUE_CHECKS, keep=("to_address",), value="value")
     tx = tx.withColumnRenamed("to_address", "address")
@@ -293,8 +294,8 @@ def scam_leader_monthly_mean(tx_lines: DataFrame, pairs: DataFrame) -> DataFrame
         F.sum("value").alias("s0"), F.count(F.lit(1)).alias("n0"))
     weighted_rows = (per_month.join(F.broadcast(by_pair), "address") if small
                      else by_pair.join(per_month, "address"))
-    weighted_rows = weighted_rows.select(
-        "id", "month", (F.col("s0") * F.col(WEIGHT)).alias("s"), (F.col("n0") * F.col(WEIGHT)).alias("n"))
+    weighted_rows = shared(weighted_rows.select(
+        "id", "month", (F.col("s0") * F.col(WEIGHT)).alias("s"), (F.col("n0") * F.col(WEIGHT)).alias("n")))
     leader = top_k(weighted_rows.groupBy("id").agg(F.sum("s").alias("s")), 1, "s", ("id",)).select("id")
     agg = (weighted_rows.join(F.broadcast(leader), "id", "left_semi")
            .groupBy("month").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))

@@ -31,7 +31,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that arrives in fewer splits than the session has cores.
+    """Redistribute a scan that arrives in fewer splits than the session has cores.
 
     A Parquet file written as one row group is read by a single task however
     large it is; every later per-row step would inherit that.  Inputs already
@@ -41,7 +41,9 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores)
+    # hash on the row itself: deterministic on retry without the local sort a
+    # round-robin repartition performs for that
+    return df.repartition(cores, *df.columns)
 
 
 def address(key: Column) -> Column:
