@@ -29,15 +29,21 @@ def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
     return df.limit(bound + 1).count() <= bound
 
 
-def weighted(members: DataFrame, on: str, attrs: tuple[str, ...] = ()) -> DataFrame:
-    """(on, attrs..., _w): distinct list entries with their multiplicity."""
-    return members.groupBy(on, *attrs).agg(F.count(F.lit(1)).alias(WEIGHT))
+def weighted(members: DataFrame, on: str, attrs: tuple[str, ...] = (), *,
+             dedupe: bool = False) -> DataFrame:
+    """(on, attrs..., _w): distinct list entries with their multiplicity.
+
+    ``dedupe=True`` gives every distinct entry weight 1 (a list entered twice
+    then counts once).
+    """
+    weight = F.lit(1).cast("bigint") if dedupe else F.count(F.lit(1))
+    return members.groupBy(on, *attrs).agg(weight.alias(WEIGHT))
 
 
 def aggregate_through(facts: DataFrame, members: DataFrame, on: str, *,
                       fact_keys: tuple[str, ...] = (), member_keys: tuple[str, ...] = (),
                       value: str | None = None, max_rows: int | None = None,
-                      broadcast: bool | None = None) -> DataFrame:
+                      broadcast: bool | None = None, dedupe: bool = False) -> DataFrame:
     """Σ value and row count of ``facts ⋈ members`` per (fact_keys, member_keys).
 
     Equal to an inner row-level join followed by ``groupBy``; returns
@@ -45,7 +51,7 @@ def aggregate_through(facts: DataFrame, members: DataFrame, on: str, *,
     ``broadcast`` lets a caller that has already bounded the list (e.g. by
     checking a superset) skip the row-count check.
     """
-    w = weighted(members, on, member_keys)
+    w = weighted(members, on, member_keys, dedupe=dedupe)
     keys = list(fact_keys) + list(member_keys)
     v = F.col(value) if value else F.lit(None).cast("decimal(38,0)")
     if broadcast is None:
@@ -85,7 +91,7 @@ def attach(facts: DataFrame, lookup: DataFrame, on: str, *,
 
 
 def join_totals_with_copies(totals: DataFrame, members: DataFrame, on: str,
-                            max_copies: int | None = None) -> DataFrame:
+                            max_copies: int | None = None, dedupe: bool = False) -> DataFrame:
     """Per-key totals ⋈ list, one output row per list entry (aggregate-then-join).
 
     The list is collapsed to (key, weight) first, so duplicate entries do not
@@ -94,7 +100,7 @@ def join_totals_with_copies(totals: DataFrame, members: DataFrame, on: str,
     than ``max_copies`` identical copies can never be selected, so the
     expansion is bounded by it without changing the result.
     """
-    w = weighted(members, on)
+    w = weighted(members, on, dedupe=dedupe)
     joined = attach(totals, w, on)
     copies = F.col(WEIGHT) if max_copies is None else F.least(F.col(WEIGHT), F.lit(max_copies))
     return repeat_rows(joined.withColumn(WEIGHT, copies), WEIGHT).drop(WEIGHT)

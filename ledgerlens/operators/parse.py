@@ -61,7 +61,7 @@ REJECT = "reject"
 def parse_lines(lines: DataFrame, contract: TableContract, *, keep: tuple[str, ...] = (),
                 checked: tuple[str, ...] = (), integers: tuple[str, ...] = (),
                 timestamp: str | None = None, on_bad_timestamp: str = FAIL,
-                line_col: str = "value") -> DataFrame:
+                skip_header: bool = False, line_col: str = "value") -> DataFrame:
     """Parse text lines into typed columns plus ``reason`` (null = accepted).
 
     keep       string fields to return
@@ -72,6 +72,9 @@ def parse_lines(lines: DataFrame, contract: TableContract, *, keep: tuple[str, .
                timestamp is not an integer in years 1000..9999, as the
                unchecked ``int()`` of the original jobs does; ``'reject'``
                rejects such lines with reason ``<field>``.
+    skip_header  reject the export's header line (the column names joined by
+               commas) with reason ``header``; by default it is parsed like
+               any line, so it survives where no integer is checked.
     """
     if on_bad_timestamp not in (FAIL, REJECT):
         raise ValueError("on_bad_timestamp must be 'fail' or 'reject'")
@@ -80,18 +83,22 @@ def parse_lines(lines: DataFrame, contract: TableContract, *, keep: tuple[str, .
         checked = checked + (timestamp,)
     numeric = tuple(dict.fromkeys(checked + tuple(integers) + ((timestamp,) if timestamp else ())))
 
-    fields = lines.select(split_fields(F.col(line_col)).alias("_f"))
+    header = ",".join(contract.columns)
+    fields = lines.select(
+        split_fields(F.col(line_col)).alias("_f"),
+        (F.col(line_col) == header if skip_header else F.lit(False)).alias("_hdr"))
     typed = fields.select(
-        F.size("_f").alias("_n"),
+        F.size("_f").alias("_n"), "_hdr",
         *[field(F.col("_f"), contract.position(c)).alias(c) for c in keep],
         *[field(F.col("_f"), contract.position(c)).alias(f"_raw_{c}") for c in numeric],
     ).select(
-        "_n", *keep,
+        "_n", "_hdr", *keep,
         *[F.col(f"_raw_{c}") for c in numeric],
         *[python_int(F.col(f"_raw_{c}")).alias(c) for c in numeric],
     )
 
-    reason: Column = F.when(F.col("_n") != contract.arity, F.lit("arity"))
+    reason: Column = F.when(F.col("_hdr"), F.lit("header")).when(
+        F.col("_n") != contract.arity, F.lit("arity"))
     for c in checked:
         status = int_status(F.col(f"_raw_{c}"), F.col(c))
         reason = reason.when(status == "not_integer", F.lit(c)).when(

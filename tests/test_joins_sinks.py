@@ -101,3 +101,14 @@ def test_catalogue_document_and_list_round_trip(spark, scratch):
     lines.write.text(f"{scratch}/scamsfixed")
     back = read_reference_list(spark, f"{scratch}/scamsfixed").filter("reason is null")
     assert sorted((r.id, r.address) for r in back.collect()) == got
+
+
+def test_dedupe_option(spark):
+    f, m = facts(spark), members(spark)
+    by_id = aggregate_through(f, m, "address", member_keys=("id",), value="value", dedupe=True)
+    got = {r.id: (int(r.s), r.n) for r in by_id.collect()}
+    # ("a", "x") is listed twice but counts once
+    assert got["x"] == (22, 3)
+    totals = spark.createDataFrame([("a", 5)], "address string, total long")
+    lst = spark.createDataFrame([("a",), ("a",)], "address string")
+    assert join_totals_with_copies(totals, lst, "address", dedupe=True).count() == 1

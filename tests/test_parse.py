@@ -88,3 +88,11 @@ def test_parse_evaluates_the_split_once(spark):
     parsed = accepted(parse_lines(df, TRANSACTIONS, checked=("value",), integers=("value",)))
     plan = parsed._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1
+
+
+def test_skip_header_option(spark):
+    lines = ["address,bytecode,function_sighashes,is_erc20,is_erc721,block_number",
+             "0xab,0x60,,False,False,1"]
+    parsed = parse_lines(lines_df(spark, lines), CONTRACTS, keep=("address",), skip_header=True)
+    assert [(r.address, r.reason) for r in parsed.collect()] == [
+        ("address", "header"), ("0xab", None)]
