@@ -30,6 +30,7 @@ from ledgerlens.operators.parse import (
     BLOCKS,
     CONTRACTS,
     FAIL,
+    REJECT,
     TRANSACTIONS,
     accepted,
     parse_lines,
@@ -39,6 +40,7 @@ from ledgerlens.operators.parse import (
 from ledgerlens.operators.materialize import shared
 from ledgerlens.operators.sinks import emit_list_lines
 from ledgerlens.operators.topk import preview, top_k
+from ledgerlens.plans.silver import is_silver
 from ledgerlens.sources.text import catalogue_from_json_lines
 
 # The integer fields each question requires of a transaction
@@ -94,11 +96,37 @@ def transactions(tx_lines: DataFrame, checks: tuple[str, ...], *, keep=(), value
     timestamp cannot fail them.
     """
     integers = tuple(dict.fromkeys(((value,) if value else ()) + tuple(integers)))
+    if is_silver(tx_lines):
+        return _from_silver(tx_lines, checks, keep, integers, month, on_bad_timestamp)
     return accepted(parse_lines(
         tx_lines, TRANSACTIONS, keep=tuple(keep), checked=checks, integers=integers,
         timestamp="block_timestamp" if month else None, on_bad_timestamp=on_bad_timestamp))
 
 
+def _from_silver(silver: DataFrame, checks, keep, integers, month: bool,
+                 on_bad_timestamp: str) -> DataFrame:
+    """The same rows and columns as parsing lines, read from the silver table."""
+    cond = F.lit(True)
+    for c in checks:
+        cond = cond & F.col(c).isNotNull()
+    ts_checked = "block_timestamp" in checks or (month and on_bad_timestamp == REJECT)
+    if ts_checked:
+        cond = cond & F.col("month").isNotNull()
+    cols = list(dict.fromkeys(list(keep) + [c for c in checks if c != "block_timestamp"]
+                              + list(integers)))
+    if "block_timestamp" in checks or "block_timestamp" in integers:
+        cols.append("block_timestamp")
+    rows = silver.filter(cond)
+    out = [F.col(c) for c in dict.fromkeys(cols)]
+    if month:
+        m = F.col("month")
+        if not ts_checked:
+            m = F.when(m.isNull(), F.raise_error(F.lit(
+                "transactions.block_timestamp is not a usable epoch")).cast("int")).otherwise(m)
+        out.append(m.alias("month"))
+    return rows.select(*out)
+
+
 def contracts(ct_lines: DataFrame) -> DataFrame:
     """Contract addresses of 6-field lines (a header line is kept, as a key)."""
     return accepted(parse_lines(ct_lines, CONTRACTS, keep=("address",), checked=CONTRACT_CHECKS))
