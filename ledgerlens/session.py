@@ -47,8 +47,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only when the session has none (local tests) is a scratch folder created.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
+    if current:
+        return current
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        return current
+    current = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
+    spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
