@@ -155,8 +155,10 @@ def parse_reference_list(lines: DataFrame, *, strict: bool = False,
         address = F.when(short, F.raise_error(
             F.concat(F.lit("reference list line without a comma: "), F.col("_line")))
             .cast("string")).otherwise(address)
-    return f.select(
+    # the same generator barrier as parse_lines: filters on ``reason`` stay
+    # above it, so each line is split once
+    return f.select(F.inline(F.array(F.struct(
         field(F.col("_f"), 0).alias("id"),
         address.alias("address"),
         F.when(short, F.lit("arity")).alias("reason"),
-    )
+    ))))
