@@ -23,8 +23,14 @@ def epoch_in_range(epoch: Column) -> Column:
 
 
 def month_index(epoch: Column) -> Column:
-    """``year * 12 + month - 1`` of a UTC epoch-seconds value (int)."""
-    day = F.date_from_unix_date(F.floor(epoch / F.lit(SECONDS_PER_DAY)).cast("int"))
+    """``year * 12 + month - 1`` of a UTC epoch-seconds value (int).
+
+    Callers evaluate it only for epochs inside ``MIN_EPOCH..MAX_EPOCH`` (under
+    a ``when``), so the value fits a bigint and the day number is computed in
+    long arithmetic rather than decimal division.
+    """
+    seconds = epoch.cast("bigint")
+    day = F.date_from_unix_date(F.floor(seconds / F.lit(SECONDS_PER_DAY)).cast("int"))
     return F.year(day) * 12 + F.month(day) - 1
 
 
