@@ -49,10 +49,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         return current
-    current = spark.sparkContext.getCheckpointDir()
+    try:
+        context = spark.sparkContext
+    except Exception:  # Spark Connect: only the session setting is visible
+        context = None
+    current = context.getCheckpointDir() if context is not None else None
     if current:
         return current
     current = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    if context is not None:
+        context.setCheckpointDir(current)
     return current

@@ -38,8 +38,12 @@ def spread(df: DataFrame) -> DataFrame:
     split at least ``defaultParallelism`` ways (any large dataset) are
     returned unchanged, so this never adds a shuffle at scale.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access (Spark Connect): leave as is
+        return df
+    if splits >= cores:
         return df
     # hash on the row itself: deterministic on retry without the local sort a
     # round-robin repartition performs for that
