@@ -58,8 +58,9 @@ def aggregate_through(facts: DataFrame, members: DataFrame, on: str, *,
         broadcast = fits_broadcast(w, max_rows)
     if broadcast:
         joined = facts.select(on, *fact_keys, v.alias("_v")).join(F.broadcast(w), on)
-        partial = joined.select(*keys, (F.col("_v") * F.col(WEIGHT)).alias("_s"),
-                                F.col(WEIGHT).alias("_c"))
+        # nearly every list entry has weight 1: skip the decimal multiply then
+        scaled = F.when(F.col(WEIGHT) == 1, F.col("_v")).otherwise(F.col("_v") * F.col(WEIGHT))
+        partial = joined.select(*keys, scaled.alias("_s"), F.col(WEIGHT).alias("_c"))
     else:
         pre = facts.groupBy(on, *fact_keys).agg(F.sum(v).alias("_v"), F.count(F.lit(1)).alias("_n"))
         # the pre-aggregated side holds one row per key: keep it on the buffered side
