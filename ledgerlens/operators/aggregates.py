@@ -13,6 +13,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def exact_sum(v: Column) -> Column:
+    """``sum(v)`` that fails instead of returning null when it overflows.
+
+    With ANSI mode on, Spark raises on a ``decimal(38,0)`` sum overflow;
+    without it the sum silently becomes null.  A null sum over non-null inputs
+    can only mean overflow, so it is turned into an error in both modes.
+    """
+    # raise_error is typed NULL, so the result keeps the type of sum(v)
+    return F.when(F.sum(v).isNull() & (F.count(v) > 0), F.raise_error(
+        F.lit("exact sum overflows its type"))).otherwise(F.sum(v))
+
+
 def _cols(keys) -> list:
     return [keys] if isinstance(keys, (str, Column)) else list(keys)
 
@@ -24,13 +36,13 @@ def count_by(df: DataFrame, keys, name: str = "n") -> DataFrame:
 def sum_by(df: DataFrame, keys, value: str | Column, name: str = "total") -> DataFrame:
     """Exact sum per key (``decimal(38,0)`` stays exact; overflow raises)."""
     v = F.col(value) if isinstance(value, str) else value
-    return df.groupBy(*_cols(keys)).agg(F.sum(v).alias(name))
+    return df.groupBy(*_cols(keys)).agg(exact_sum(v).alias(name))
 
 
 def sum_count_by(df: DataFrame, keys, value: str | Column) -> DataFrame:
     """(keys..., s, n): exact sum and row count per key, one shuffle."""
     v = F.col(value) if isinstance(value, str) else value
-    return df.groupBy(*_cols(keys)).agg(F.sum(v).alias("s"), F.count(F.lit(1)).alias("n"))
+    return df.groupBy(*_cols(keys)).agg(exact_sum(v).alias("s"), F.count(F.lit(1)).alias("n"))
 
 
 def mean_of(s: Column, n: Column) -> Column:
@@ -51,4 +63,4 @@ def constant_key_sum(df: DataFrame, value: str | Column, name: str = "total",
                      key: str = "k") -> DataFrame:
     """Grand total under the constant key 1; empty input gives no row."""
     v = F.col(value) if isinstance(value, str) else value
-    return df.groupBy(F.lit(1).cast("bigint").alias(key)).agg(F.sum(v).alias(name))
+    return df.groupBy(F.lit(1).cast("bigint").alias(key)).agg(exact_sum(v).alias(name))

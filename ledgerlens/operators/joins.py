@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.aggregates import exact_sum
+
 DEFAULT_BROADCAST_MAX_ROWS = 1_000_000
 WEIGHT = "_w"
 
@@ -62,12 +64,12 @@ def aggregate_through(facts: DataFrame, members: DataFrame, on: str, *,
         scaled = F.when(F.col(WEIGHT) == 1, F.col("_v")).otherwise(F.col("_v") * F.col(WEIGHT))
         partial = joined.select(*keys, scaled.alias("_s"), F.col(WEIGHT).alias("_c"))
     else:
-        pre = facts.groupBy(on, *fact_keys).agg(F.sum(v).alias("_v"), F.count(F.lit(1)).alias("_n"))
+        pre = facts.groupBy(on, *fact_keys).agg(exact_sum(v).alias("_v"), F.count(F.lit(1)).alias("_n"))
         # the pre-aggregated side holds one row per key: keep it on the buffered side
         joined = w.join(pre, on)
         partial = joined.select(*keys, (F.col("_v") * F.col(WEIGHT)).alias("_s"),
                                 (F.col("_n") * F.col(WEIGHT)).alias("_c"))
-    return partial.groupBy(*keys).agg(F.sum("_s").alias("s"), F.sum("_c").alias("n"))
+    return partial.groupBy(*keys).agg(exact_sum(F.col("_s")).alias("s"), F.sum("_c").alias("n"))
 
 
 def semi_filter(facts: DataFrame, keys: DataFrame, on: str, *,

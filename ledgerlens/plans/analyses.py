@@ -16,7 +16,14 @@ from ledgerlens.functions.integers import int_status
 from ledgerlens.functions.render import json_array, json_int, json_string
 from ledgerlens.functions.text import field, hex_bits, split_fields
 from ledgerlens.functions.time import month_label
-from ledgerlens.operators.aggregates import constant_key_sum, count_by, mean_of, sum_by, sum_count_by
+from ledgerlens.operators.aggregates import (
+    constant_key_sum,
+    count_by,
+    exact_sum,
+    mean_of,
+    sum_by,
+    sum_count_by,
+)
 from ledgerlens.operators.catalogue import flatten_catalogue
 from ledgerlens.operators.joins import (
     WEIGHT,
@@ -236,11 +243,11 @@ def top_contract_monthly_mean_gas(tx_lines: DataFrame, ct_lines: DataFrame,
         F.when(gas_ok, strict_month(F.col("block_timestamp"), what="transactions.block_timestamp"))
         .alias("month"))
     per_month = shared(bucketed.groupBy("address", "month").agg(
-        F.sum("value").alias("sv"), F.sum("gas").alias("sg"), F.count("gas").alias("ng")))
-    totals = per_month.groupBy("address").agg(F.sum("sv").alias("total"))
+        exact_sum(F.col("value")).alias("sv"), exact_sum(F.col("gas")).alias("sg"), F.count("gas").alias("ng")))
+    totals = per_month.groupBy("address").agg(exact_sum(F.col("sv")).alias("total"))
     top = _top_contract_rows(totals, ct_lines, k).select("address")
     listed = semi_filter(per_month.filter(F.col("ng") > 0), top, "address", bounded=True)
-    agg = listed.groupBy("month").agg(F.sum("sg").alias("s"), F.sum("ng").alias("n"))
+    agg = listed.groupBy("month").agg(exact_sum(F.col("sg")).alias("s"), F.sum("ng").alias("n"))
     return _mean(agg, "mean_gas")
 
 
@@ -319,14 +326,14 @@ def scam_leader_monthly_mean(tx_lines: DataFrame, pairs: DataFrame) -> DataFrame
         # the list is checked small: drop unlisted transactions before any shuffle
         tx = semi_filter(tx, by_pair, "address", bounded=True)
     per_month = tx.groupBy("address", "month").agg(
-        F.sum("value").alias("s0"), F.count(F.lit(1)).alias("n0"))
+        exact_sum(F.col("value")).alias("s0"), F.count(F.lit(1)).alias("n0"))
     weighted_rows = (per_month.join(F.broadcast(by_pair), "address") if small
                      else by_pair.join(per_month, "address"))
     weighted_rows = shared(weighted_rows.select(
         "id", "month", (F.col("s0") * F.col(WEIGHT)).alias("s"), (F.col("n0") * F.col(WEIGHT)).alias("n")))
-    leader = top_k(weighted_rows.groupBy("id").agg(F.sum("s").alias("s")), 1, "s", ("id",)).select("id")
+    leader = top_k(weighted_rows.groupBy("id").agg(exact_sum(F.col("s")).alias("s")), 1, "s", ("id",)).select("id")
     agg = (weighted_rows.join(F.broadcast(leader), "id", "left_semi")
-           .groupBy("month").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
+           .groupBy("month").agg(exact_sum(F.col("s")).alias("s"), F.sum("n").alias("n")))
     return _mean(agg, "mean_value")
 
 

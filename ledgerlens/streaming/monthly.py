@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlens.functions.time import month_label
-from ledgerlens.operators.aggregates import mean_of
+from ledgerlens.operators.aggregates import exact_sum, mean_of
 from ledgerlens.plans.analyses import MONTHLY_CHECKS, transactions
 
 
@@ -30,7 +30,7 @@ def monthly_state(lines: DataFrame, checks: tuple[str, ...] = MONTHLY_CHECKS,
                   value: str = "value") -> DataFrame:
     """Streaming (month, n, total, mean) over a stream of transaction lines."""
     tx = transactions(lines, checks, value=value)
-    agg = tx.groupBy("month").agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
+    agg = tx.groupBy("month").agg(exact_sum(F.col(value)).alias("s"), F.count(F.lit(1)).alias("n"))
     return agg.select(
         month_label(F.col("month")).alias("month"), "n",
         F.col("s").cast("string").alias("total"), mean_of(F.col("s"), F.col("n")).alias("mean"))

@@ -112,3 +112,42 @@ def test_dedupe_option(spark):
     totals = spark.createDataFrame([("a", 5)], "address string, total long")
     lst = spark.createDataFrame([("a",), ("a",)], "address string")
     assert join_totals_with_copies(totals, lst, "address", dedupe=True).count() == 1
+
+
+def test_sum_overflow_raises_in_both_modes(spark):
+    import pytest
+    from decimal import Decimal
+
+    from pyspark.errors import PySparkException
+
+    from ledgerlens.operators.aggregates import sum_by
+    big = Decimal(9 * 10**37)
+    df = spark.createDataFrame([("k", big), ("k", big)], "k string, v decimal(38,0)")
+    ansi = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        for mode in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", mode)
+            with pytest.raises(PySparkException):
+                sum_by(df, "k", "v").collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+    ok = spark.createDataFrame([("k", Decimal(5)), ("k", None)], "k string, v decimal(38,0)")
+    assert int(sum_by(ok, "k", "v").first().total) == 5
+
+
+def test_results_do_not_depend_on_partitioning(spark):
+    from conftest import SF_SMALL
+    from ledgerlens.plans import analyses as A
+    from ledgerlens.plans.registry import ct, tx
+
+    def run(parts):
+        lines = tx(spark, SF_SMALL).repartition(parts)
+        return (sorted(map(tuple, A.top_contracts(lines, ct(spark, SF_SMALL)).collect())),
+                sorted(map(tuple, A.monthly_mean_value(lines).collect())))
+    shuffle = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        first = run(1)
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        assert run(7) == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle)
