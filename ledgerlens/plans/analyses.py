@@ -243,7 +243,8 @@ def top_contract_monthly_mean_gas(tx_lines: DataFrame, ct_lines: DataFrame,
         F.when(gas_ok, strict_month(F.col("block_timestamp"), what="transactions.block_timestamp"))
         .alias("month"))
     per_month = shared(bucketed.groupBy("address", "month").agg(
-        exact_sum(F.col("value")).alias("sv"), exact_sum(F.col("gas")).alias("sg"), F.count("gas").alias("ng")))
+        exact_sum(F.col("value")).alias("sv"), exact_sum(F.col("gas")).alias("sg"),
+        F.count("gas").alias("ng")))
     totals = per_month.groupBy("address").agg(exact_sum(F.col("sv")).alias("total"))
     top = _top_contract_rows(totals, ct_lines, k).select("address")
     listed = semi_filter(per_month.filter(F.col("ng") > 0), top, "address", bounded=True)
@@ -315,8 +316,8 @@ def scam_leader_monthly_mean(tx_lines: DataFrame, pairs: DataFrame) -> DataFrame
     """As above for the id with the largest total (derived, not pasted).
 
     One parse serves both parts: listed-address transactions are aggregated
-    once per (address, month, id); the ranking and the monthly mean both read
-    that materialised aggregate.
+    per (id, month) once; the ranking and the monthly mean both read that
+    materialised aggregate.
     """
     tx = transactions(tx_lines, VALUE_CHECKS, keep=("to_address",), value="value")
     tx = tx.withColumnRenamed("to_address", "address")
@@ -329,10 +330,13 @@ def scam_leader_monthly_mean(tx_lines: DataFrame, pairs: DataFrame) -> DataFrame
         exact_sum(F.col("value")).alias("s0"), F.count(F.lit(1)).alias("n0"))
     weighted_rows = (per_month.join(F.broadcast(by_pair), "address") if small
                      else by_pair.join(per_month, "address"))
-    weighted_rows = shared(weighted_rows.select(
-        "id", "month", (F.col("s0") * F.col(WEIGHT)).alias("s"), (F.col("n0") * F.col(WEIGHT)).alias("n")))
-    leader = top_k(weighted_rows.groupBy("id").agg(exact_sum(F.col("s")).alias("s")), 1, "s", ("id",)).select("id")
-    agg = (weighted_rows.join(F.broadcast(leader), "id", "left_semi")
+    per_id_month = shared(
+        weighted_rows.select("id", "month", (F.col("s0") * F.col(WEIGHT)).alias("s"),
+                             (F.col("n0") * F.col(WEIGHT)).alias("n"))
+        .groupBy("id", "month").agg(exact_sum(F.col("s")).alias("s"), F.sum("n").alias("n")))
+    totals = per_id_month.groupBy("id").agg(exact_sum(F.col("s")).alias("s"))
+    leader = top_k(totals, 1, "s", ("id",)).select("id")
+    agg = (per_id_month.join(F.broadcast(leader), "id", "left_semi")
            .groupBy("month").agg(exact_sum(F.col("s")).alias("s"), F.sum("n").alias("n")))
     return _mean(agg, "mean_value")
 
