@@ -58,11 +58,21 @@ def aggregate_through(facts: DataFrame, members: DataFrame, on: str, *,
     v = F.col(value) if value else F.lit(None).cast("decimal(38,0)")
     if broadcast is None:
         broadcast = fits_broadcast(w, max_rows)
-    if broadcast:
+    if broadcast and not member_keys:
+        # one list row per key: the join never multiplies fact rows
         joined = facts.select(on, *fact_keys, v.alias("_v")).join(F.broadcast(w), on)
         # nearly every list entry has weight 1: skip the decimal multiply then
         scaled = F.when(F.col(WEIGHT) == 1, F.col("_v")).otherwise(F.col("_v") * F.col(WEIGHT))
         partial = joined.select(*keys, scaled.alias("_s"), F.col(WEIGHT).alias("_c"))
+    elif broadcast:
+        # a key may carry many attributes (one address in many scam entries):
+        # filter by the key set, aggregate per key, and only then fan out, so
+        # the fan-out applies to one row per key and group, not to raw rows
+        listed = facts.join(F.broadcast(w.select(on).distinct()), on, "left_semi")
+        pre = listed.groupBy(on, *fact_keys).agg(exact_sum(v).alias("_v"), F.count(F.lit(1)).alias("_n"))
+        joined = pre.join(F.broadcast(w), on)
+        partial = joined.select(*keys, (F.col("_v") * F.col(WEIGHT)).alias("_s"),
+                                (F.col("_n") * F.col(WEIGHT)).alias("_c"))
     else:
         pre = facts.groupBy(on, *fact_keys).agg(exact_sum(v).alias("_v"), F.count(F.lit(1)).alias("_n"))
         # the pre-aggregated side holds one row per key: keep it on the buffered side
