@@ -5,7 +5,10 @@
         --out s3a://results/ [--format json|parquet|pairs]
 
 The result lands in ``<out>/<question><dd-mm-YYYY_HH-MM-SS>/``, written by the
-executors.  ``--format pairs`` writes one ``[key, value]`` JSON text per row.
+executors.  ``--format pairs`` writes one ``[key, value]`` JSON text per row
+(doubles in Spark's number format).  ``build_silver`` parses the transaction
+export once into a month-partitioned table; ``--transactions-silver`` then
+points every transaction question at that table instead of the raw lines.
 """
 
 from __future__ import annotations
@@ -15,11 +18,13 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlens.functions.render import json_array, json_int, json_string
 from ledgerlens.operators.catalogue import flatten_catalogue
 from ledgerlens.operators.sinks import result_path, write_result
 from ledgerlens.plans import analyses as A
+from ledgerlens.plans.silver import read_silver_transactions, write_silver_transactions
 from ledgerlens.sources.text import read_catalogue, read_lines
 
 
@@ -30,6 +35,8 @@ def _scam_pairs(spark: SparkSession, args) -> DataFrame:
 
 
 def _tx(spark, args):
+    if args.transactions_silver:
+        return read_silver_transactions(spark, args.transactions_silver)
     return read_lines(spark, args.transactions)
 
 
@@ -65,8 +72,6 @@ JOBS: dict[str, Callable] = {
 
 def pairs_lines(df: DataFrame) -> DataFrame:
     """``[key, value]`` per row: key = first column, value = the others."""
-    from pyspark.sql import functions as F
-
     key, *values = df.columns
     rendered = []
     for c in values:
@@ -83,8 +88,9 @@ def pairs_lines(df: DataFrame) -> DataFrame:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    p.add_argument("question", choices=sorted(JOBS))
+    p.add_argument("question", choices=sorted(JOBS) + ["build_silver"])
     p.add_argument("--transactions")
+    p.add_argument("--transactions-silver", help="silver table written by build_silver (instead of --transactions)")
     p.add_argument("--contracts")
     p.add_argument("--blocks")
     p.add_argument("--scams", help="headerless 'id, address' list")
@@ -102,6 +108,10 @@ def parser() -> argparse.ArgumentParser:
 def run(spark: SparkSession, argv: list[str], run_ts: datetime | None = None) -> str:
     args = parser().parse_args(argv)
     run_ts = run_ts or datetime.now()
+    if args.question == "build_silver":
+        path = result_path(args.out, "silver_transactions", run_ts)
+        write_silver_transactions(read_lines(spark, args.transactions), path)
+        return path
     result = JOBS[args.question](spark, args)
     if args.format == "pairs":
         path = result_path(args.out, args.question, run_ts)

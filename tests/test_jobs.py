@@ -44,3 +44,15 @@ def test_s3a_settings():
     assert conf["spark.hadoop.fs.s3a.path.style.access"] == "true"
     assert conf["spark.hadoop.fs.s3a.connection.ssl.enabled"] == "false"
     assert conf["spark.hadoop.fs.s3a.access.key"] == "k"
+
+
+def test_silver_job(spark, scratch):
+    tx(spark, SF_SMALL).write.text(f"{scratch}/transactions")
+    ct(spark, SF_SMALL).write.text(f"{scratch}/contracts")
+    when = datetime(2022, 1, 2, 3, 4, 5)
+    silver = jobs.run(spark, ["build_silver", "--transactions", f"{scratch}/transactions",
+                              "--out", f"{scratch}/silver"], when)
+    path = jobs.run(spark, ["top_contracts", "--transactions-silver", silver,
+                            "--contracts", f"{scratch}/contracts", "--out", f"{scratch}/out"], when)
+    expect = QUERIES["top_contracts"](spark, SF_SMALL)
+    assert rows(spark.read.json(path).select(*expect.columns)) == rows(expect)
