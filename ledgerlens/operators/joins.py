@@ -4,6 +4,8 @@ A list is broadcast only after its row count is checked against a bound
 (``spark.ledgerlens.broadcastMaxRows``); beyond it the facts are pre-aggregated
 per join key so the shuffle carries one row per (key, group) rather than raw
 rows, and a recipient holding a third of all transactions stays one row.
+Those shuffle joins carry a ``merge`` hint: a static size estimate (which does
+not see generator fan-out) must not turn them back into broadcasts.
 
 Duplicates in a list are kept as a weight: an address listed k times counts k
 times, which is what a row-level inner join gives (a semi join would not).
@@ -75,8 +77,10 @@ def aggregate_through(facts: DataFrame, members: DataFrame, on: str, *,
                                 (F.col("_n") * F.col(WEIGHT)).alias("_c"))
     else:
         pre = facts.groupBy(on, *fact_keys).agg(exact_sum(v).alias("_v"), F.count(F.lit(1)).alias("_n"))
-        # the pre-aggregated side holds one row per key: keep it on the buffered side
-        joined = w.join(pre, on)
+        # the pre-aggregated side holds one row per key: keep it on the buffered
+        # side; ``merge`` stops a size estimate from broadcasting what the row
+        # count just ruled out
+        joined = w.join(pre.hint("merge"), on)
         partial = joined.select(*keys, (F.col("_v") * F.col(WEIGHT)).alias("_s"),
                                 (F.col("_n") * F.col(WEIGHT)).alias("_c"))
     return partial.groupBy(*keys).agg(exact_sum(F.col("_s")).alias("s"), F.sum("_c").alias("n"))
@@ -92,7 +96,7 @@ def semi_filter(facts: DataFrame, keys: DataFrame, on: str, *,
     distinct_keys = keys.select(on).distinct()
     if bounded or fits_broadcast(distinct_keys, max_rows):
         return facts.join(F.broadcast(distinct_keys), on, "left_semi")
-    return facts.join(distinct_keys, on, "left_semi")
+    return facts.join(distinct_keys.hint("merge"), on, "left_semi")
 
 
 def attach(facts: DataFrame, lookup: DataFrame, on: str, *,
@@ -100,7 +104,7 @@ def attach(facts: DataFrame, lookup: DataFrame, on: str, *,
     """Inner join with a lookup table, broadcast when its size is checked small."""
     if fits_broadcast(lookup, max_rows):
         return facts.join(F.broadcast(lookup), on)
-    return facts.join(lookup, on)
+    return facts.join(lookup.hint("merge"), on)
 
 
 def join_totals_with_copies(totals: DataFrame, members: DataFrame, on: str,

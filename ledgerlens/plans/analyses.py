@@ -329,7 +329,7 @@ def scam_leader_monthly_mean(tx_lines: DataFrame, pairs: DataFrame) -> DataFrame
     per_month = tx.groupBy("address", "month").agg(
         exact_sum(F.col("value")).alias("s0"), F.count(F.lit(1)).alias("n0"))
     weighted_rows = (per_month.join(F.broadcast(by_pair), "address") if small
-                     else by_pair.join(per_month, "address"))
+                     else by_pair.join(per_month.hint("merge"), "address"))
     per_id_month = shared(
         weighted_rows.select("id", "month", (F.col("s0") * F.col(WEIGHT)).alias("s"),
                              (F.col("n0") * F.col(WEIGHT)).alias("n"))
