@@ -33,18 +33,18 @@ def silver_transactions(tx_lines: DataFrame) -> DataFrame:
         F.when(ts.isNotNull() & epoch_in_range(ts), month_index(ts)).alias("month"))
 
 
-def write_silver_transactions(tx_lines: DataFrame, path: str, *, files_per_month: int = 8,
+def write_silver_transactions(tx_lines: DataFrame, path: str, *,
                               mode: str = "errorifexists") -> None:
     """Write the silver table partitioned by month.
 
-    Rows are spread over ``files_per_month`` writers per month by a hash of
-    the row (not by address), so a month or a recipient holding a large share
-    of all rows is still written by several tasks.
+    ``rebalance`` groups rows by month for the writers and lets adaptive
+    execution split a large month over as many tasks as its size needs
+    (``spark.sql.adaptive.advisoryPartitionSizeInBytes`` per file), so a
+    month holding a third of all rows is not written by one task, and small
+    months do not scatter into many tiny files.
     """
     df = silver_transactions(tx_lines)
-    salt = F.pmod(F.xxhash64("to_address", "block_timestamp", "value", "gas"), F.lit(files_per_month))
-    (df.repartition("month", salt)
-       .write.mode(mode).partitionBy("month").parquet(path))
+    df.hint("rebalance", "month").write.mode(mode).partitionBy("month").parquet(path)
 
 
 def read_silver_transactions(spark: SparkSession, path: str) -> DataFrame:

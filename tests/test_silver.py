@@ -25,7 +25,7 @@ def same(a, b):
 @pytest.fixture(scope="module")
 def silver(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("silver") / "transactions")
-    write_silver_transactions(tx(spark, SF_SMALL), path, files_per_month=2)
+    write_silver_transactions(tx(spark, SF_SMALL), path)
     return read_silver_transactions(spark, path)
 
 
@@ -57,3 +57,25 @@ def test_silver_prunes_partitions_and_columns(spark, silver):
         .executedPlan().toString()
     assert "PartitionFilters: [isnotnull(month" in plan
     assert "ReadSchema: struct<value:decimal(38,0)>" in plan
+
+
+def test_large_month_is_split_across_writers(spark, tmp_path):
+    import glob
+    from pyspark.sql import functions as F
+    advisory = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    skew = spark.conf.get("spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled", "true")
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8k")
+        spark.conf.set("spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled", "true")
+        lines = tx(spark, SF_SMALL)
+        # every line moved to one month: a single hot partition
+        one_month = lines.select(F.regexp_replace("value", r",([0-9]{9,10}),", ",1583020800,").alias("value"))
+        path = str(tmp_path / "silver")
+        write_silver_transactions(one_month.repartition(4), path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", advisory)
+        spark.conf.set("spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled", skew)
+    folders = glob.glob(path + "/month=*")
+    assert len(folders) == 1
+    assert len(glob.glob(folders[0] + "/*.parquet")) > 1
+    assert spark.read.parquet(path).count() == lines.filter("size(split(value, ',')) = 15").count()
