@@ -56,3 +56,17 @@ def test_silver_job(spark, scratch):
                             "--contracts", f"{scratch}/contracts", "--out", f"{scratch}/out"], when)
     expect = QUERIES["top_contracts"](spark, SF_SMALL)
     assert rows(spark.read.json(path).select(*expect.columns)) == rows(expect)
+
+
+def test_line_endings_do_not_change_answers(spark, scratch):
+    from ledgerlens.plans import analyses as A
+    from ledgerlens.sources.text import read_lines
+    lines = [r.value for r in tx(spark, SF_SMALL).collect()]
+    results = []
+    for i, sep in enumerate(["\n", "\r\n", "\r"]):
+        path = f"{scratch}/tx{i}.csv"
+        with open(path, "w", newline="") as fh:
+            fh.write(sep.join(lines) + sep)
+        results.append(rows(A.monthly_mean_value(read_lines(spark, path))))
+    assert results[0] == results[1] == results[2]
+    assert results[0] == rows(QUERIES["monthly_mean_value"](spark, SF_SMALL))
