@@ -44,7 +44,8 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) is a scratch folder created.
+    Only a local session without one (tests) gets a scratch folder; a cluster
+    session without one is an error, never a machine-local folder.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
@@ -56,6 +57,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = context.getCheckpointDir() if context is not None else None
     if current:
         return current
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local"):
+        # a driver-local folder is invisible to executors on a cluster
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     current = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", current)
     if context is not None:
