@@ -28,9 +28,14 @@ def broadcast_max_rows(df: DataFrame) -> int:
 
 
 def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1)."""
+    """True when ``df`` has at most ``max_rows`` rows.
+
+    A plain ``count()`` (partial counts per task, one number per task to the
+    final step) rather than ``limit(n + 1).count()``, whose global limit would
+    funnel up to n + 1 rows of every task into a single task.
+    """
     bound = broadcast_max_rows(df) if max_rows is None else max_rows
-    return df.limit(bound + 1).count() <= bound
+    return df.count() <= bound
 
 
 def weighted(members: DataFrame, on: str, attrs: tuple[str, ...] = (), *,
