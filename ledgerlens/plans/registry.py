@@ -37,7 +37,7 @@ FIXTURE_LISTED_ADDRESSES = tuple(fixture_address(k) for k in FIXTURE_LISTED_SUPP
 
 
 def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transaction_lines(spread(read_table(spark, sf_dir, "lineitem")))
+    return transaction_lines(spread(read_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber"))
 
 
 def ct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def ct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return block_lines(spread(read_table(spark, sf_dir, "orders")))
+    return block_lines(spread(read_table(spark, sf_dir, "orders"), "o_orderkey"))
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def scam_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
-    "line_arity_profile": lambda s, d: A.line_arity_profile(lines_of_text(spread(read_table(s, d, "documents")))),
+    "line_arity_profile": lambda s, d: A.line_arity_profile(lines_of_text(spread(read_table(s, d, "documents"), "doc_id"))),
     "reject_report": lambda s, d: A.reject_report(tx(s, d)),
     "monthly_count": lambda s, d: A.monthly_count(tx(s, d)),
     "monthly_mean_value": lambda s, d: A.monthly_mean_value(tx(s, d)),

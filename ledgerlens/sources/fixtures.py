@@ -30,7 +30,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Redistribute a scan that arrives in fewer splits than the session has cores.
 
     A Parquet file written as one row group is read by a single task however
@@ -45,9 +45,9 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     if splits >= cores:
         return df
-    # hash on the row itself: deterministic on retry without the local sort a
-    # round-robin repartition performs for that
-    return df.repartition(cores, *df.columns)
+    # hash on a unique key (or the whole row): deterministic on retry without
+    # the local sort a round-robin repartition performs for that
+    return df.repartition(cores, *(keys or df.columns))
 
 
 def address(key: Column) -> Column:
