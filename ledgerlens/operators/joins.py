@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from ledgerlens.operators.aggregates import exact_sum
 
 DEFAULT_BROADCAST_MAX_ROWS = 1_000_000
+# a fact row may be joined to at most this many list rows on the direct path
+DEFAULT_MAX_FANOUT = 16
 WEIGHT = "_w"
 
 
@@ -32,6 +34,21 @@ def broadcast_max_rows(df: DataFrame) -> int:
     return int(conf) if conf else DEFAULT_BROADCAST_MAX_ROWS
 
 
+def max_fanout(df: DataFrame) -> int:
+    conf = df.sparkSession.conf.get("spark.ledgerlens.maxFanout", None)
+    return int(conf) if conf else DEFAULT_MAX_FANOUT
+
+
+def list_shape(w: DataFrame, on: str) -> tuple[int, int]:
+    """(rows, largest number of rows sharing one key) of a weighted list.
+
+    One job of partial aggregates; only the two numbers reach the driver.
+    """
+    per_key = w.groupBy(on).agg(F.count(F.lit(1)).alias("_k"))
+    row = per_key.agg(F.sum("_k").alias("rows"), F.max("_k").alias("widest")).first()
+    return int(row.rows or 0), int(row.widest or 0)
+
+
 def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
     """True when ``df`` has at most ``max_rows`` rows.
 
@@ -68,16 +85,23 @@ def aggregate_through(facts: DataFrame, members: DataFrame, on: str, *,
     w = weighted(members, on, member_keys, dedupe=dedupe)
     keys = list(fact_keys) + list(member_keys)
     v = F.col(value) if value else F.lit(None).cast("decimal(38,0)")
+    narrow = not member_keys
     if broadcast is None:
-        broadcast = fits_broadcast(w, max_rows)
-    if broadcast and not member_keys:
-        # one list row per key: the join never multiplies fact rows
+        if member_keys:
+            rows, widest = list_shape(w, on)
+            narrow = widest <= max_fanout(w)
+        else:
+            rows = w.count()
+        broadcast = rows <= (broadcast_max_rows(w) if max_rows is None else max_rows)
+    if broadcast and narrow:
+        # at most ``max_fanout`` list rows per key (one when the list attaches
+        # nothing): joining raw fact rows multiplies them by a proven bound
         joined = facts.select(on, *fact_keys, v.alias("_v")).join(F.broadcast(w), on)
         # nearly every list entry has weight 1: skip the decimal multiply then
         scaled = F.when(F.col(WEIGHT) == 1, F.col("_v")).otherwise(F.col("_v") * F.col(WEIGHT))
         partial = joined.select(*keys, scaled.alias("_s"), F.col(WEIGHT).alias("_c"))
     elif broadcast:
-        # a key may carry many attributes (one address in many scam entries):
+        # a key carries many attributes (one address in many scam entries):
         # filter by the key set, aggregate per key, and only then fan out, so
         # the fan-out applies to one row per key and group, not to raw rows
         listed = facts.join(F.broadcast(w.select(on).distinct()), on, "left_semi")

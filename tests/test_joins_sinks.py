@@ -151,3 +151,20 @@ def test_results_do_not_depend_on_partitioning(spark):
         assert run(7) == first
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+
+
+def test_wide_keys_take_the_pre_aggregated_path(spark):
+    f, m = facts(spark), members(spark)
+    fl = [(r.address, r.month, int(r.value)) for r in f.collect()]
+    ml = [(r.address, r.id) for r in m.collect()]
+    spark.conf.set("spark.ledgerlens.maxFanout", "1")
+    try:
+        by_id = aggregate_through(f, m, "address", member_keys=("id",), value="value")
+        plan = by_id._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftSemi" in plan
+        assert as_dict(by_id, "id") == brute(fl, ml, "id")
+    finally:
+        spark.conf.unset("spark.ledgerlens.maxFanout")
+    narrow = aggregate_through(f, m, "address", member_keys=("id",), value="value")
+    assert "LeftSemi" not in narrow._jdf.queryExecution().optimizedPlan().toString()
+    assert as_dict(narrow, "id") == brute(fl, ml, "id")
