@@ -32,3 +32,19 @@ def test_stream_matches_batch(spark, scratch):
     for m, (n, mean) in got.items():
         assert n == counts[m]
         assert math.isclose(mean, means[m], rel_tol=1e-15)
+
+
+def test_available_now_run_stops_by_itself(spark, scratch):
+    import os
+    lines = tx(spark, SF_SMALL)
+    rows = [r.value for r in lines.collect()]
+    src = f"{scratch}/incoming"
+    os.makedirs(src)
+    for i in range(3):
+        with open(f"{src}/part-{i}.csv", "w") as fh:
+            fh.write("\n".join(rows[i::3]) + "\n")
+    q = start_monthly(spark, src, f"{scratch}/monthly", f"{scratch}/ckpt",
+                      max_files_per_trigger=1, trigger_available_now=True)
+    assert q.awaitTermination(300)
+    got = {r.month: r.n for r in spark.read.parquet(f"{scratch}/monthly").collect()}
+    assert got == {r.month: r.n for r in A.monthly_count(lines).collect()}
