@@ -123,6 +123,7 @@ def run(spark: SparkSession, argv: list[str], run_ts: datetime | None = None) ->
 def main() -> None:  # pragma: no cover - thin command-line wrapper
     import sys
 
+    parser().parse_args(sys.argv[1:])  # usage errors and --help before any JVM starts
     spark = SparkSession.builder.appName("ledgerlens-job").getOrCreate()
     try:
         print(run(spark, sys.argv[1:]))
