@@ -66,3 +66,21 @@ def test_shuffle_fallback_matches_oracle(spark, con, name):
     assert canon(df.columns, rows) == canon(res.columns, res.fetchall())
     if name in ("contract_monthly_mean_gas", "scam_monthly_mean", "scam_top_totals"):
         assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+
+
+@pytest.mark.parametrize("name", ["monthly_mean_value", "top_contracts", "scam_top_totals",
+                                  "hex_overhead_bits", "line_arity_profile", "reject_report"])
+def test_other_zone_and_ansi_off_match_oracle(spark, con, name):
+    """Answers do not depend on the session time zone or ANSI mode."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    ansi = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        spark.conf.set("spark.sql.ansi.enabled", "false")
+        df = queries()[name](spark, SF_SMALL)
+        rows = [tuple(r) for r in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+    res = con.sql(oracle_sql()[name])
+    assert canon(df.columns, rows) == canon(res.columns, res.fetchall())
