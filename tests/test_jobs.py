@@ -70,3 +70,14 @@ def test_line_endings_do_not_change_answers(spark, scratch):
         results.append(rows(A.monthly_mean_value(read_lines(spark, path))))
     assert results[0] == results[1] == results[2]
     assert results[0] == rows(QUERIES["monthly_mean_value"](spark, SF_SMALL))
+
+
+def test_catalogue_document_job(spark, scratch):
+    doc = {"result": {"a": {"id": 5622, "addresses": ["0x1", "0x2"]}, "b": {"id": "7", "addresses": []}}}
+    with open(f"{scratch}/scams.json", "w") as fh:
+        json.dump(doc, fh, indent=2)
+    when = datetime(2022, 1, 2, 3, 4, 5)
+    path = jobs.run(spark, ["scam_flatten", "--catalogue", f"{scratch}/scams.json",
+                            "--catalogue-multiline", "--out", f"{scratch}/out", "--format", "pairs"], when)
+    got = sorted(json.loads(r.value) for r in spark.read.text(path).collect())
+    assert got == [["5622", "0x1"], ["5622", "0x2"]]
