@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import os
+import tempfile
+import zipfile
+from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.operators.materialize import shared
 
-__all__ = ["column", "gather", "names", "read_table", "shared", "slices", "texts"]
+__all__ = ["column", "gather", "map_arrow", "names", "read_table", "shared", "slices", "texts"]
 
 #: Text bytes that Python code holds decoded at a time.
 SLICE_BYTES = 4 << 20
@@ -21,6 +25,27 @@ def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the executors, as ``--py-files`` does, unless their
+    PYTHONPATH names the folder it lies in."""
+    package = Path(__file__).resolve().parents[1]
+    context = spark.sparkContext
+    shipped = any(os.path.basename(f) == f"{package.name}.zip" for f in context.listFiles)
+    if shipped or str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    target = f"{tempfile.mkdtemp(prefix='pyfiles-')}/{package.name}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(target)
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package present on the executors."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

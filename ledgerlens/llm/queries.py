@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.bpe import encode_digests
 from ledgerlens.llm.common import read_table
 from ledgerlens.llm.mixing import mix
 from ledgerlens.llm.warc import derivatives, responses_of_pages
@@ -18,6 +20,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, seed=MIX_SEED, size=F.length(F.coalesce("text", F.lit(""))))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = derivatives(responses_of_pages(read_table(spark, sf_dir, "pages")))
     return records.withColumn("block", F.decode("block", "utf-8"))
@@ -25,6 +31,7 @@ def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op5_bpe": op5_bpe,
     "op6_warc_derivatives": op6_warc_derivatives,
 }
 

@@ -30,7 +30,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import slices
+from ledgerlens.llm.common import map_arrow, slices
 
 RECORD = ("record_id string, warc_type string, refers_to string, target_uri string, warc_date string, "
           "content_type string, content_length long, block_digest string, payload_digest string, block binary")
@@ -112,7 +112,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
         for piece in slices(batches, "block"):
             yield pa.RecordBatch.from_pylist([x for r in piece.to_pylist() for x in derive(r)], schema=ARROW)
 
-    return responses.filter(F.col("warc_type") == "response").select(*need).mapInArrow(build, RECORD)
+    return map_arrow(responses.filter(F.col("warc_type") == "response").select(*need), build, RECORD)
 
 
 def responses_of_pages(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -152,7 +152,7 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
                     n += 1
         yield pa.RecordBatch.from_pydict({"path": [f"{folder.rstrip('/')}/{name}"], "records": [n]})
 
-    return records.select(*[c.split()[0] for c in RECORD.split(", ")]).mapInArrow(write, "path string, records long")
+    return map_arrow(records.select(*[c.split()[0] for c in RECORD.split(", ")]), write, "path string, records long")
 
 
 def parse_warc(stream) -> Iterator[dict]:
@@ -183,4 +183,4 @@ def read_warc(spark: SparkSession, paths: list[str]) -> DataFrame:
                         yield pa.RecordBatch.from_pylist([record], schema=ARROW)
 
     listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
-    return listed.mapInArrow(read, RECORD)
+    return map_arrow(listed, read, RECORD)
