@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.bpe import encode_digests
 from ledgerlens.llm.common import read_table
 from ledgerlens.llm.mixing import mix
+from ledgerlens.llm.token_files import token_file_digests
 from ledgerlens.llm.warc import derivatives, responses_of_pages
 
 MIX_SEED = "mixture-1"
@@ -20,6 +21,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, seed=MIX_SEED, size=F.length(F.coalesce("text", F.lit(""))))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -31,6 +36,7 @@ def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_token_files": op2_token_files,
     "op5_bpe": op5_bpe,
     "op6_warc_derivatives": op6_warc_derivatives,
 }
