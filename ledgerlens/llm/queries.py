@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.bpe import encode_digests
 from ledgerlens.llm.common import read_table
+from ledgerlens.llm.minhash import near_duplicates
 from ledgerlens.llm.mixing import mix
 from ledgerlens.llm.token_files import token_file_digests
 from ledgerlens.llm.warc import derivatives, responses_of_pages
@@ -34,11 +35,16 @@ def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.withColumn("block", F.decode("block", "utf-8"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_files": op2_token_files,
     "op5_bpe": op5_bpe,
     "op6_warc_derivatives": op6_warc_derivatives,
+    "op9_near_duplicates": op9_near_duplicates,
 }
 
 ORACLES = {
