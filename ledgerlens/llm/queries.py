@@ -10,6 +10,7 @@ from ledgerlens.llm.bpe import encode_digests
 from ledgerlens.llm.common import read_table
 from ledgerlens.llm.minhash import near_duplicates
 from ledgerlens.llm.mixing import mix
+from ledgerlens.llm.suffix_dedup import removal_digests
 from ledgerlens.llm.token_files import token_file_digests
 from ledgerlens.llm.warc import derivatives, responses_of_pages
 
@@ -35,6 +36,10 @@ def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.withColumn("block", F.decode("block", "utf-8"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -44,6 +49,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op5_bpe": op5_bpe,
     "op6_warc_derivatives": op6_warc_derivatives,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_near_duplicates": op9_near_duplicates,
 }
 
