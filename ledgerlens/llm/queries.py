@@ -12,6 +12,7 @@ from ledgerlens.llm.minhash import near_duplicates
 from ledgerlens.llm.mixing import mix
 from ledgerlens.llm.suffix_dedup import removal_digests
 from ledgerlens.llm.token_files import token_file_digests
+from ledgerlens.llm.toxicity import fit, held_out, scored
 from ledgerlens.llm.warc import derivatives, responses_of_pages
 
 MIX_SEED = "mixture-1"
@@ -27,6 +28,13 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = fit(docs, read_table(spark, sf_dir, "labels"))
+    rows = scored(docs, model, ["doc_id"])
+    return rows.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -47,6 +55,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_files": op2_token_files,
+    "op3_toxicity": op3_toxicity,
     "op5_bpe": op5_bpe,
     "op6_warc_derivatives": op6_warc_derivatives,
     "op8_suffix_dedup": op8_suffix_dedup,
