@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.bpe import encode_digests
 from ledgerlens.llm.common import read_table
+from ledgerlens.llm.fingerprint import edited_likeness
 from ledgerlens.llm.minhash import near_duplicates
 from ledgerlens.llm.mixing import mix
 from ledgerlens.llm.suffix_dedup import removal_digests
@@ -52,6 +53,10 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_files": op2_token_files,
@@ -60,6 +65,7 @@ QUERIES = {
     "op6_warc_derivatives": op6_warc_derivatives,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLES = {
