@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.llm import main_text
 from ledgerlens.llm.bpe import encode_digests
 from ledgerlens.llm.common import read_table
 from ledgerlens.llm.fingerprint import edited_likeness
@@ -36,6 +37,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return main_text.extracted(pages, main_text.fit(pages), ["page_id", "url"])
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -61,6 +67,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_files": op2_token_files,
     "op3_toxicity": op3_toxicity,
+    "op4_main_text": op4_main_text,
     "op5_bpe": op5_bpe,
     "op6_warc_derivatives": op6_warc_derivatives,
     "op8_suffix_dedup": op8_suffix_dedup,
