@@ -265,7 +265,7 @@ def _contexts(packed: DataFrame, runs: DataFrame, length: int) -> DataFrame:
         names = ["anchor", "shard", "shards", "context"]
         for piece in slices(batches, "packed", 1 << 20):
             listed = column(piece, "runs")
-            flat, at = listed.flatten(), listed.offsets.to_numpy()
+            flat, at = listed.flatten(), listed.offsets.to_numpy() - listed.offsets[0].as_py()
             first, last = (flat.field(f).to_numpy() for f in ("first", "last"))
             data = [d[s:e] for d, a, b in zip(_unpack(piece), at[:-1], at[1:], strict=True)
                     for s, e in zip(first[a:b].tolist(), (last[a:b] + length).tolist(), strict=True)]
