@@ -1,24 +1,62 @@
-"""A corpus pipeline of the operators in ``ledgerlens.llm``."""
+"""A corpus pipeline of the operators in ``ledgerlens.llm``.
+
+Each stage takes the documents that the stage before it kept and returns
+documents with the same columns; the last returns their token ids.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.llm import bpe, suffix_dedup, toxicity
 from ledgerlens.llm.common import read_table, shared
+from ledgerlens.llm.minhash import near_duplicates
 from ledgerlens.llm.mixing import mix
 
 MIX_SEED = "pipeline-mixture"
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the clause grammar, learned from the labelled ones among
+    them, scores below one half."""
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model, COLUMNS, below=0.5)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates."""
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").select(*COLUMNS)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the bytes of passages that occur elsewhere."""
+    rest = [c for c in COLUMNS if c not in ("text", "n_chars")]
+    out = suffix_dedup.remove_repeats(docs, "text string", lambda data, runs: (suffix_dedup.kept_text(data, runs),), carry=rest)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Equal shares of the characters for all sources; copies keep their id."""
-    size = F.length(F.coalesce("text", F.lit("")))
-    return mix(docs, seed=MIX_SEED, size=size).select(*COLUMNS)
+    return mix(docs, seed=MIX_SEED, size=F.length(F.coalesce("text", F.lit("")))).select(*COLUMNS)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every copy."""
+    out = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), ["doc_id", "lang", "source"])
+    return out.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
-STAGES = [("mix_sources", mix_sources)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", drop_repeated_passages),
+    ("mix_sources", mix_sources),
+    ("bpe", encode_tokens),
+]
 ORACLE_SQL = None
 
 

@@ -10,6 +10,7 @@ from ledgerlens.llm import main_text
 from ledgerlens.llm.bpe import encode_digests
 from ledgerlens.llm.common import read_table
 from ledgerlens.llm.fingerprint import edited_likeness
+from ledgerlens.llm.hnsw import nearest_neighbours
 from ledgerlens.llm.minhash import near_duplicates
 from ledgerlens.llm.mixing import mix
 from ledgerlens.llm.suffix_dedup import removal_digests
@@ -51,6 +52,10 @@ def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.withColumn("block", F.decode("block", "utf-8"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(read_table(spark, sf_dir, "documents"))
 
@@ -70,6 +75,7 @@ QUERIES = {
     "op4_main_text": op4_main_text,
     "op5_bpe": op5_bpe,
     "op6_warc_derivatives": op6_warc_derivatives,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_fingerprints": op10_fingerprints,

@@ -222,23 +222,26 @@ def spans_of(marked: np.ndarray) -> list[int]:
 
 # --- Spark jobs ----------------------------------------------------------------
 
-def _packed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``doc``, ``row`` (together they name a row), ``id``, ``size``, ``packed``."""
+def _packed(docs: DataFrame, key: str, text: str, carry: list[str]) -> DataFrame:
+    """``doc``, ``row`` (together they name a row), ``size``, ``packed``, and the
+    carried columns as a struct."""
+    numbered = _numbered(docs, key, text, F.struct(F.lit(0).alias("_"), *carry).alias("rest"))
+    names = ["rest", "doc", "row", "size", "packed"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
             data = [t or b"" for t in column(piece, "text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [column(piece, "id"), column(piece, "doc"), column(piece, "row"), pa.array(list(map(len, data)), pa.int64()),
-                 pa.array([pa.compress(d, "zstd", asbytes=True) for d in data], pa.binary())], ["id", "doc", "row", "size", "packed"])
+                [column(piece, "rest"), column(piece, "doc"), column(piece, "row"), pa.array(list(map(len, data)), pa.int64()),
+                 pa.array([pa.compress(d, "zstd", asbytes=True) for d in data], pa.binary())], names)
 
-    return map_arrow(_numbered(docs, key, text), pack, "id long, doc long, row long, size long, packed binary")
+    return map_arrow(numbered, pack, f"rest {numbered.schema['rest'].dataType.simpleString()}, doc long, row long, size long, packed binary")
 
 
-def _numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _numbered(docs: DataFrame, key: str, text: str, *more: F.Column) -> DataFrame:
     """Rows named by their id and their text's hash."""
     number = F.col(key).cast("long")
-    return docs.select(number.alias("id"), F.coalesce(number, F.lit(-1 << 63)).alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+    return docs.select(F.coalesce(number, F.lit(-1 << 63)).alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("text"), *more)
 
 
 def _unpack(batch: pa.RecordBatch) -> list[bytes]:
@@ -355,7 +358,7 @@ def _merged_spans(shards: DataFrame) -> DataFrame:
     return hits.groupBy("anchor", "context").agg(F.flatten(F.collect_list(F.array("offset", "offset"))).alias("spans"))
 
 
-def repeated_spans(docs: DataFrame, key: str, text: str, length: int) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, key: str, text: str, length: int, carry: list[str]) -> tuple[DataFrame, DataFrame]:
     """Packed texts, and ``doc``, ``row``, ``spans``: first and last repeated windows."""
     runs = shared(_run_rows(docs, key, text, length), "suffix-runs")
     anchors = (runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi"))
@@ -363,7 +366,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int) -> tuple[D
     shards = F.ceil(F.col("n") / HOT)
     marked = shared(runs.join(anchors, "anchor").withColumn("shards", shards)
                     .withColumn("shard", F.when(shards > 1, F.pmod(F.xxhash64("context"), shards)).otherwise(F.lit(0).cast("long"))).drop("n"), "suffix-marked")
-    packed = _packed(docs, key, text)
+    packed = _packed(docs, key, text, carry)
     found = shared(_shard_spans(_contexts(packed, marked.filter("differ"), length), length), "suffix-shards")
     spans = found.select("anchor", "context", "spans")
     if not found.filter("offsets IS NOT NULL").isEmpty():
@@ -385,20 +388,22 @@ def removed_spans(spans: np.ndarray, length: int) -> np.ndarray:
     return np.stack([first[new], stop[np.append(np.flatnonzero(new)[1:] - 1, len(first) - 1)]], axis=1) if len(first) else np.zeros((0, 2), np.int64)
 
 
-def remove_repeats(docs: DataFrame, schema: str, result, *, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """Rows that ``result(id, data, runs)`` makes of each text's bytes and the
-    runs of bytes to remove (an array of starts and stops)."""
-    packed, spans = repeated_spans(docs, key, text, length)
+def remove_repeats(docs: DataFrame, schema: str, result, *, carry: list[str], key: str = "doc_id", text: str = "text",
+                   length: int = LENGTH) -> DataFrame:
+    """The carried columns of each row and what ``result(data, runs)`` makes of
+    its text's bytes and the runs of bytes to remove (starts and stops)."""
+    packed, spans = repeated_spans(docs, key, text, length, carry)
     names = [x.split()[0] for x in schema.split(", ")]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "packed", 1 << 20):
-            ids, listed = column(piece, "id").to_pylist(), column(piece, "spans")
-            rows = [result(i, d, removed_spans(np.asarray(s.values) if s.is_valid else np.zeros(0, np.int64), length))
-                    for i, d, s in zip(ids, _unpack(piece), listed, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+            rows = [result(d, removed_spans(np.asarray(s.values) if s.is_valid else np.zeros(0, np.int64), length))
+                    for d, s in zip(_unpack(piece), column(piece, "spans"), strict=True)]
+            yield pa.RecordBatch.from_arrays([column(piece, "rest")] + [pa.array(c) for c in zip(*rows, strict=True)], ["rest", *names])
 
-    return map_arrow(packed.join(spans, ["doc", "row"], "left").select("id", "size", "packed", "spans"), build, schema)
+    found = packed.join(spans, ["doc", "row"], "left").select("rest", "size", "packed", "spans")
+    made = map_arrow(found, build, f"rest {found.schema['rest'].dataType.simpleString()}, {schema}")
+    return made.select(*[F.col("rest")[c].alias(c) for c in carry], *names)
 
 
 def kept_bytes(data: bytes, runs: np.ndarray) -> bytes:
@@ -415,7 +420,7 @@ def kept_text(data: bytes, runs: np.ndarray) -> str:
 
 def removal_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """``key``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``."""
-    def digest(i: int | None, data: bytes, runs: np.ndarray) -> tuple:
-        return i, len(data), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), hashlib.sha256(kept_bytes(data, runs)).hexdigest()
+    def digest(data: bytes, runs: np.ndarray) -> tuple:
+        return len(data), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), hashlib.sha256(kept_bytes(data, runs)).hexdigest()
 
-    return remove_repeats(docs, f"{key} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", digest, key=key, text=text, length=length)
+    return remove_repeats(docs, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", digest, carry=[key], key=key, text=text, length=length)
