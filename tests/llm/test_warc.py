@@ -1,0 +1,76 @@
+import hashlib
+import html
+import json
+from html.parser import HTMLParser
+
+from ledgerlens.llm import warc
+from ledgerlens.llm.queries import QUERIES
+
+
+class Reader(HTMLParser):
+    """Plain text and links with the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.hidden, self.lines, self.links = 0, [""], []
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style", "head")
+        if tag in warc.BREAKS:
+            self.lines.append("")
+        self.links += [v for k, v in attrs if tag == "a" and k == "href"]
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style", "head")
+        if tag in warc.BREAKS:
+            self.lines.append("")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.lines[-1] += data
+
+
+def test_query_equals_parser(spark, con, small):
+    pages = con.sql("SELECT page_id, url, html FROM pages").fetchall()
+    rows = QUERIES["op6_warc_derivatives"](spark, small).collect()
+    assert len(rows) == 2 * len(pages)
+    by = {(r["target_uri"], r["payload_digest"], r["warc_type"]): r for r in rows}
+    for _, url, page in pages:
+        payload = "sha256:" + hashlib.sha256(page.encode()).hexdigest()
+        text, meta = by[url, payload, "conversion"], by[url, payload, "metadata"]
+        reader = Reader()
+        reader.feed(page)
+        reader.close()
+        assert text["block"] == "\n".join(x for x in (" ".join(y.split()) for y in reader.lines) if x)
+        about = json.loads(meta["block"])
+        assert about["links"] == reader.links and about["payload_digest"] == payload and about["status"] == "HTTP/1.1 200 OK"
+        assert about["source"]["WARC-Target-URI"] == url and about["source"]["WARC-Record-ID"] == meta["refers_to"] == text["refers_to"]
+        assert dict(about["headers"])["Content-Length"] == str(len(page.encode()))
+        for r in (text, meta):
+            data = r["block"].encode()
+            assert r["content_length"] == len(data) and r["block_digest"] == "sha256:" + hashlib.sha256(data).hexdigest()
+
+
+def test_archive_round_trip(spark, scratch, small):
+    records = warc.derivatives(warc.responses_of_pages(spark.read.parquet(f"{small}/pages.parquet")))
+    files = warc.write_warc(records, scratch).collect()
+    back = warc.read_warc(spark, [f["path"] for f in files])
+    assert sum(f["records"] for f in files) == records.count()
+    assert sorted(map(str, back.collect())) == sorted(map(str, records.collect()))
+
+
+def test_defined_cases(spark):
+    pages = spark.createDataFrame([(1, "http://a/", None, 1), (1, "http://a/", None, 1), (None, None, "", 2), (3, "u", "<p>x&amp;y<script>1</script><p>z" + "é" * 100_000, 3)],
+                                  "page_id long, url string, html string, block long")
+    rows = warc.derivatives(warc.responses_of_pages(pages)).collect()
+    assert len(rows) == 8
+    text = {r["target_uri"]: bytes(r["block"]).decode() for r in rows if r["warc_type"] == "conversion"}
+    assert text == {"http://a/": "", None: "", "u": "x&y\nz" + "é" * 100_000}
+    assert len({r["record_id"] for r in rows}) == 6  # repeated pages give the same records
+    assert warc.derivatives(warc.responses_of_pages(pages.limit(0))).collect() == []
+
+
+def test_plain_text():
+    page = "<!-- <p>no --><head><TITLE>t</TITLE></head><b>a</b>b<br>c<td>d &lt;e&gt; &#233;\n f<style>x"
+    assert warc.plain_text(page) == "ab\nc\nd <e> é f"
+    assert html.unescape("&lt;") == "<"
