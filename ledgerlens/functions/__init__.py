@@ -7,7 +7,6 @@ from ledgerlens.functions.text import (
     drop_first_char,
     field,
     hex_bits,
-    n_fields,
     split_fields,
     text_lines,
 )
@@ -21,5 +20,5 @@ from ledgerlens.functions.time import (
 __all__ = [
     "INT_TYPE", "code_points", "drop_first_char", "epoch_in_range", "epoch_seconds_of_local",
     "field", "hex_bits", "int_status", "json_array", "json_int", "json_string", "list_line",
-    "month_index", "month_label", "n_fields", "python_int", "split_fields", "text_lines",
+    "month_index", "month_label", "python_int", "split_fields", "text_lines",
 ]

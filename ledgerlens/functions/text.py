@@ -19,10 +19,6 @@ def field(fields: Column, index: int) -> Column:
     return F.get(fields, index)
 
 
-def n_fields(fields: Column) -> Column:
-    return F.size(fields)
-
-
 def drop_first_char(s: Column) -> Column:
     """``s[1:]``."""
     return F.substring(s, 2, 2147483647)

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 SECONDS_PER_DAY = 86400
 
-# Years outside 1000..9999 print differently in Python's strftime and in
-# Spark, so epochs outside this range are treated as invalid timestamps.
-MIN_EPOCH = -30610224000    # 1000-01-01T00:00:00Z
-MAX_EPOCH = 253402300799    # 9999-12-31T23:59:59Z
+# Epochs whose day number fits Spark's date type (32 bits), years of about
+# +-5.8 million; a calendar conversion fails beyond that.
+MAX_EPOCH = (2 ** 31 - 1) * SECONDS_PER_DAY
+MIN_EPOCH = -MAX_EPOCH
 
 
 def epoch_in_range(epoch: Column) -> Column:
@@ -35,11 +35,12 @@ def month_index(epoch: Column) -> Column:
 
 
 def month_label(index: Column) -> Column:
-    """``"yyyy - MM"``, the strftime("%Y - %m") label of a month index."""
+    """The strftime("%Y - %m") label of a month index: ``"yyyy - MM"``, with
+    the year in as many digits as it has."""
     year = F.floor(index / 12).cast("int")
     month = (index - year * 12 + 1).cast("int")
     return F.concat(
-        F.lpad(year.cast("string"), 4, "0"), F.lit(" - "), F.lpad(month.cast("string"), 2, "0")
+        year.cast("string"), F.lit(" - "), F.lpad(month.cast("string"), 2, "0")
     )
 
 

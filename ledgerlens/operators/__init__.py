@@ -3,7 +3,6 @@
 from ledgerlens.operators.aggregates import (
     constant_key_sum,
     count_by,
-    mean_by,
     mean_of,
     sum_by,
     sum_count_by,
@@ -41,7 +40,7 @@ from ledgerlens.operators.topk import preview, top_k
 __all__ = [
     "BLOCKS", "CONTRACTS", "TRANSACTIONS", "TableContract", "accepted", "aggregate_through",
     "attach", "constant_key_sum", "count_by", "emit_list_lines", "fits_broadcast",
-    "flatten_catalogue", "join_totals_with_copies", "mean_by", "mean_of", "pairs_json",
+    "flatten_catalogue", "join_totals_with_copies", "mean_of", "pairs_json",
     "parse_lines", "parse_reference_list", "preview", "rejected", "repeat_rows", "result_path",
     "run_stamp", "semi_filter", "sum_by", "sum_count_by", "top_k", "weighted", "write_lines",
     "write_result",

@@ -54,11 +54,6 @@ def mean_of(s: Column, n: Column) -> Column:
     return s.cast("double") / n.cast("double")
 
 
-def mean_by(df: DataFrame, keys, value: str | Column, name: str = "mean") -> DataFrame:
-    keys = _cols(keys)
-    return sum_count_by(df, keys, value).select(*keys, mean_of(F.col("s"), F.col("n")).alias(name))
-
-
 def constant_key_sum(df: DataFrame, value: str | Column, name: str = "total",
                      key: str = "k") -> DataFrame:
     """Grand total under the constant key 1; empty input gives no row."""

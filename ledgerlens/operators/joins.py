@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from ledgerlens.operators.aggregates import exact_sum
 
 DEFAULT_BROADCAST_MAX_ROWS = 1_000_000
+# bytes of a broadcast list's columns, whatever its rows
+BROADCAST_MAX_BYTES = 256 << 20
 # a fact row may be joined to at most this many list rows on the direct path
 DEFAULT_MAX_FANOUT = 16
 WEIGHT = "_w"
@@ -39,25 +41,38 @@ def max_fanout(df: DataFrame) -> int:
     return int(conf) if conf else DEFAULT_MAX_FANOUT
 
 
-def list_shape(w: DataFrame, on: str) -> tuple[int, int]:
-    """(rows, largest number of rows sharing one key) of a weighted list.
+def _row_bytes(df: DataFrame):
+    return F.octet_length(F.concat_ws("", *[F.col(c).cast("string") for c in df.columns]))
 
-    One job of partial aggregates; only the two numbers reach the driver.
+
+def list_shape(w: DataFrame, on: str) -> tuple[int, int, int]:
+    """(rows, largest number of rows sharing one key, bytes) of a weighted list.
+
+    One job of partial aggregates; only the three numbers reach the driver.
     """
-    per_key = w.groupBy(on).agg(F.count(F.lit(1)).alias("_k"))
-    row = per_key.agg(F.sum("_k").alias("rows"), F.max("_k").alias("widest")).first()
-    return int(row.rows or 0), int(row.widest or 0)
+    per_key = w.groupBy(on).agg(F.count(F.lit(1)).alias("_k"), F.sum(_row_bytes(w)).alias("_b"))
+    row = per_key.agg(F.sum("_k").alias("rows"), F.max("_k").alias("widest"), F.sum("_b").alias("bytes")).first()
+    return int(row.rows or 0), int(row.widest or 0), int(row.bytes or 0)
 
 
 def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
+    """True when ``df`` has at most ``max_rows`` rows and ``BROADCAST_MAX_BYTES``.
 
     A plain ``count()`` (partial counts per task, one number per task to the
     final step) rather than ``limit(n + 1).count()``, whose global limit would
     funnel up to n + 1 rows of every task into a single task.
     """
     bound = broadcast_max_rows(df) if max_rows is None else max_rows
-    return df.count() <= bound
+    row = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(_row_bytes(df)).alias("bytes")).first()
+    return row.rows <= bound and (row.bytes or 0) <= BROADCAST_MAX_BYTES
+
+
+def times(v, w):
+    """``v * w``; raises where the product overflows, in both ANSI modes (a null
+    product would otherwise be skipped by the sum)."""
+    product = v * w
+    return F.when(product.isNull() & v.isNotNull() & w.isNotNull(), F.raise_error(
+        F.lit("weighted value overflows its type"))).otherwise(product)
 
 
 def weighted(members: DataFrame, on: str, attrs: tuple[str, ...] = (), *,
@@ -88,17 +103,17 @@ def aggregate_through(facts: DataFrame, members: DataFrame, on: str, *,
     narrow = not member_keys
     if broadcast is None:
         if member_keys:
-            rows, widest = list_shape(w, on)
+            rows, widest, size = list_shape(w, on)
             narrow = widest <= max_fanout(w)
+            broadcast = rows <= (broadcast_max_rows(w) if max_rows is None else max_rows) and size <= BROADCAST_MAX_BYTES
         else:
-            rows = w.count()
-        broadcast = rows <= (broadcast_max_rows(w) if max_rows is None else max_rows)
+            broadcast = fits_broadcast(w, max_rows)
     if broadcast and narrow:
         # at most ``max_fanout`` list rows per key (one when the list attaches
         # nothing): joining raw fact rows multiplies them by a proven bound
         joined = facts.select(on, *fact_keys, v.alias("_v")).join(F.broadcast(w), on)
         # nearly every list entry has weight 1: skip the decimal multiply then
-        scaled = F.when(F.col(WEIGHT) == 1, F.col("_v")).otherwise(F.col("_v") * F.col(WEIGHT))
+        scaled = F.when(F.col(WEIGHT) == 1, F.col("_v")).otherwise(times(F.col("_v"), F.col(WEIGHT)))
         partial = joined.select(*keys, scaled.alias("_s"), F.col(WEIGHT).alias("_c"))
     elif broadcast:
         # a key carries many attributes (one address in many scam entries):
@@ -107,7 +122,7 @@ def aggregate_through(facts: DataFrame, members: DataFrame, on: str, *,
         listed = facts.join(F.broadcast(w.select(on).distinct()), on, "left_semi")
         pre = listed.groupBy(on, *fact_keys).agg(exact_sum(v).alias("_v"), F.count(F.lit(1)).alias("_n"))
         joined = pre.join(F.broadcast(w), on)
-        partial = joined.select(*keys, (F.col("_v") * F.col(WEIGHT)).alias("_s"),
+        partial = joined.select(*keys, times(F.col("_v"), F.col(WEIGHT)).alias("_s"),
                                 (F.col("_n") * F.col(WEIGHT)).alias("_c"))
     else:
         pre = facts.groupBy(on, *fact_keys).agg(exact_sum(v).alias("_v"), F.count(F.lit(1)).alias("_n"))
@@ -115,7 +130,7 @@ def aggregate_through(facts: DataFrame, members: DataFrame, on: str, *,
         # side; ``merge`` stops a size estimate from broadcasting what the row
         # count just ruled out
         joined = w.join(pre.hint("merge"), on)
-        partial = joined.select(*keys, (F.col("_v") * F.col(WEIGHT)).alias("_s"),
+        partial = joined.select(*keys, times(F.col("_v"), F.col(WEIGHT)).alias("_s"),
                                 (F.col("_n") * F.col(WEIGHT)).alias("_c"))
     return partial.groupBy(*keys).agg(exact_sum(F.col("_s")).alias("s"), F.sum("_c").alias("n"))
 

@@ -68,10 +68,15 @@ def parse_lines(lines: DataFrame, contract: TableContract, *, keep: tuple[str, .
     checked    integer fields that must pass ``int()``; their failure rejects
     integers   further integer fields to return (null when invalid)
     timestamp  epoch-seconds field bucketed into ``month`` (int month index).
-               ``on_bad_timestamp='fail'`` raises on an accepted line whose
-               timestamp is not an integer in years 1000..9999, as the
-               unchecked ``int()`` of the original jobs does; ``'reject'``
-               rejects such lines with reason ``<field>``.
+               ``on_bad_timestamp='fail'`` raises on a line that no predicate
+               rejects whose timestamp is no usable epoch, as the unchecked
+               calls of the original jobs do; ``'reject'`` rejects such lines
+               with reason ``<field>`` or ``<field>:range``.
+
+    A line that ``int()`` accepts is accepted, whatever its number of digits;
+    it raises where a returned integer has more than 38.  Both errors are part
+    of ``reason`` itself, so whatever filters on it meets them: no join, later
+    filter or pruned column can skip them.
     skip_header  reject the export's header line (the column names joined by
                commas) with reason ``header``; by default it is parsed like
                any line, so it survives where no integer is checked.
@@ -101,25 +106,33 @@ def parse_lines(lines: DataFrame, contract: TableContract, *, keep: tuple[str, .
         F.col("_n") != contract.arity, F.lit("arity"))
     for c in checked:
         status = int_status(F.col(f"_raw_{c}"), F.col(c))
-        reason = reason.when(status == "not_integer", F.lit(c)).when(
-            status == "overflow", F.lit(f"{c}:overflow"))
-        if c == timestamp:
-            reason = reason.when(~epoch_in_range(F.col(c)), F.lit(f"{c}:range"))
+        reason = reason.when(status == "not_integer", F.lit(c))
+        if c == timestamp and on_bad_timestamp == REJECT:
+            reason = reason.when(F.col(c).isNull() | ~epoch_in_range(F.col(c)), F.lit(f"{c}:range"))
+    for c in integers:
+        wide = int_status(F.col(f"_raw_{c}"), F.col(c)) == "overflow"
+        reason = reason.when(wide, _fails(f"{contract.name}.{c} has more than 38 digits: ", F.col(f"_raw_{c}")))
+    if timestamp and on_bad_timestamp == FAIL:
+        epoch = F.col(timestamp)
+        reason = reason.when(epoch.isNull() | ~epoch_in_range(epoch), _fails(
+            f"{contract.name}.{timestamp} is not a usable epoch: ", F.coalesce(F.col(f"_raw_{timestamp}"), F.lit("<missing>"))))
 
     out_cols = list(keep) + [c for c in numeric if c in checked or c in integers]
     carried = out_cols + ([timestamp] if timestamp and timestamp not in out_cols else [])
-    raw_ts = [f"_raw_{timestamp}"] if timestamp else []
     barrier = typed.select(
-        F.inline(F.array(F.struct(*[F.col(c) for c in carried + raw_ts], reason.alias("reason"))))
+        F.inline(F.array(F.struct(*[F.col(c) for c in carried], reason.alias("reason"))))
     )
     if not timestamp:
         return barrier.select(*out_cols, "reason")
 
-    month = F.when(F.col("reason").isNull(), strict_month(
-        F.col(timestamp), F.col(f"_raw_{timestamp}"), f"{contract.name}.{timestamp}"))
+    month = F.when(F.col("reason").isNull(), month_index(F.col(timestamp)))
     return barrier.select(*out_cols, month.alias("month"), "reason")
 
 
+def _fails(what: str, shown: Column) -> Column:
+    return F.raise_error(F.concat(F.lit(what), shown)).cast("string")
+
+
 def strict_month(epoch: Column, raw: Column | None = None, what: str = "timestamp") -> Column:
     """Month index of ``epoch``; raises (fails the job) when it is unusable.
 

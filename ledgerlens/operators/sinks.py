@@ -34,16 +34,28 @@ def write_result(df: DataFrame, root: str, job: str, run_ts: datetime, *,
     return path
 
 
-def pairs_json(df: DataFrame, key: str, value: str, *, nested_one: bool = False) -> DataFrame:
-    """One ``json.dumps([key, value])`` text per row (integral values).
+def pairs_json(df: DataFrame, *, nested_one: bool = False) -> DataFrame:
+    """One ``json.dumps([key, value])`` text per row: the first column is the
+    key, the others the value (in a list of their own if there are several).
 
-    ``nested_one`` renders ``[key, [value, 1]]``, the shape of a total joined
-    with a membership flag.
+    Integral values are JSON numbers of any size, strings JSON strings, doubles
+    in Spark's number format.  ``nested_one`` renders ``[key, [value, 1]]``, the
+    shape of a total joined with a membership flag.
     """
-    v = json_int(F.col(value))
+    key, *values = df.columns
+    kinds = dict(df.dtypes)
+    rendered = []
+    for c in values:
+        if kinds[c] in ("bigint", "int") or kinds[c].startswith("decimal"):
+            rendered.append(json_int(F.col(c)))
+        elif kinds[c] == "string":
+            rendered.append(json_string(F.col(c)))
+        else:
+            rendered.append(F.col(c).cast("string"))
     if nested_one:
-        v = json_array(v, F.lit("1"))
-    return df.select(json_array(json_string(F.col(key)), v).alias("value"))
+        rendered.append(F.lit("1"))
+    value = rendered[0] if len(rendered) == 1 else json_array(*rendered)
+    return df.select(json_array(json_string(F.col(key).cast("string")), value).alias("value"))
 
 
 def emit_list_lines(pairs: DataFrame, id_col: str = "id", address_col: str = "address") -> DataFrame:

@@ -3,17 +3,21 @@
 Inputs are DataFrames of raw lines (``value``) or of (id, address) pairs, so
 the same functions run on files read with ``sources.read_lines`` and on lines
 rendered from the test tables.  Outputs use plain types: month labels and
-keys as strings, counts as bigint, means as double and exact totals as the
-decimal digits in a string (they exceed bigint).
+keys as strings, counts as bigint, means as double and exact totals as
+``decimal(38,0)`` (they exceed bigint).
+
+Where a question takes lines, ``Lines`` may stand for the plain DataFrame to
+choose how unusable lines are treated.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.integers import int_status
-from ledgerlens.functions.render import json_array, json_int, json_string
 from ledgerlens.functions.text import field, hex_bits, split_fields
 from ledgerlens.functions.time import month_label
 from ledgerlens.operators.aggregates import (
@@ -26,12 +30,11 @@ from ledgerlens.operators.aggregates import (
 )
 from ledgerlens.operators.catalogue import flatten_catalogue
 from ledgerlens.operators.joins import (
-    WEIGHT,
     aggregate_through,
+    attach,
     fits_broadcast,
     join_totals_with_copies,
     semi_filter,
-    weighted,
 )
 from ledgerlens.operators.parse import (
     BLOCKS,
@@ -45,7 +48,7 @@ from ledgerlens.operators.parse import (
     strict_month,
 )
 from ledgerlens.operators.materialize import shared
-from ledgerlens.operators.sinks import emit_list_lines
+from ledgerlens.operators.sinks import emit_list_lines, pairs_json
 from ledgerlens.operators.topk import preview, top_k
 from ledgerlens.plans.silver import is_silver
 from ledgerlens.sources.text import catalogue_from_json_lines
@@ -88,14 +91,27 @@ def _mean(df: DataFrame, name: str) -> DataFrame:
 
 
 def _total(col: str, name: str):
-    return F.col(col).cast("string").alias(name)
+    return F.col(col).alias(name)
+
+
+@dataclass(frozen=True)
+class Lines:
+    """Lines of an export with the rules for reading them."""
+
+    df: DataFrame
+    on_bad_timestamp: str = FAIL
+    skip_header: bool = False
+    dedupe: bool = False  # a contract listed several times counts once
+
+    @staticmethod
+    def of(lines: DataFrame | Lines) -> Lines:
+        return lines if isinstance(lines, Lines) else Lines(lines)
 
 
 # ---------------------------------------------------------------- parsing
 
 def transactions(tx_lines: DataFrame, checks: tuple[str, ...], *, keep=(), value: str | None = None,
-                 integers: tuple[str, ...] = (), month: bool = True,
-                 on_bad_timestamp: str = FAIL) -> DataFrame:
+                 integers: tuple[str, ...] = (), month: bool = True) -> DataFrame:
     """Accepted transaction lines with the requested fields.
 
     ``month=True`` adds the month bucket of ``block_timestamp``; questions
@@ -103,11 +119,12 @@ def transactions(tx_lines: DataFrame, checks: tuple[str, ...], *, keep=(), value
     timestamp cannot fail them.
     """
     integers = tuple(dict.fromkeys(((value,) if value else ()) + tuple(integers)))
-    if is_silver(tx_lines):
-        return _from_silver(tx_lines, checks, keep, integers, month, on_bad_timestamp)
+    lines = Lines.of(tx_lines)
+    if is_silver(lines.df):
+        return _from_silver(lines.df, checks, keep, integers, month, lines.on_bad_timestamp)
     return accepted(parse_lines(
-        tx_lines, TRANSACTIONS, keep=tuple(keep), checked=checks, integers=integers,
-        timestamp="block_timestamp" if month else None, on_bad_timestamp=on_bad_timestamp))
+        lines.df, TRANSACTIONS, keep=tuple(keep), checked=checks, integers=integers, skip_header=lines.skip_header,
+        timestamp="block_timestamp" if month else None, on_bad_timestamp=lines.on_bad_timestamp))
 
 
 def _from_silver(silver: DataFrame, checks, keep, integers, month: bool,
@@ -116,27 +133,29 @@ def _from_silver(silver: DataFrame, checks, keep, integers, month: bool,
     cond = F.lit(True)
     for c in checks:
         cond = cond & F.col(c).isNotNull()
-    ts_checked = "block_timestamp" in checks or (month and on_bad_timestamp == REJECT)
-    if ts_checked:
+    if month and on_bad_timestamp == REJECT:
         cond = cond & F.col("month").isNotNull()
     cols = list(dict.fromkeys(list(keep) + [c for c in checks if c != "block_timestamp"]
                               + list(integers)))
     if "block_timestamp" in checks or "block_timestamp" in integers:
         cols.append("block_timestamp")
-    rows = silver.filter(cond)
-    out = [F.col(c) for c in dict.fromkeys(cols)]
-    if month:
-        m = F.col("month")
-        if not ts_checked:
-            m = F.when(m.isNull(), F.raise_error(F.lit(
-                "transactions.block_timestamp is not a usable epoch")).cast("int")).otherwise(m)
-        out.append(m.alias("month"))
-    return rows.select(*out)
+    rows = silver.filter(cond).select(*dict.fromkeys(cols), *(["month"] if month else []))
+    if not month or on_bad_timestamp == REJECT:
+        return rows
+    # as in parse_lines, a bad timestamp fails every question that buckets by
+    # month: the check is what the filter above the barrier reads
+    good = F.when(F.col("month").isNull(), F.raise_error(F.lit(
+        "transactions.block_timestamp is not a usable epoch")).cast("boolean")).otherwise(F.lit(True))
+    checked = rows.select(F.inline(F.array(F.struct(*[F.col(c) for c in rows.columns], good.alias("_good")))))
+    return checked.filter("_good").drop("_good")
 
 
 def contracts(ct_lines: DataFrame) -> DataFrame:
-    """Contract addresses of 6-field lines (a header line is kept, as a key)."""
-    return accepted(parse_lines(ct_lines, CONTRACTS, keep=("address",), checked=CONTRACT_CHECKS))
+    """Contract addresses of 6-field lines (a header line is kept, as a key,
+    unless the lines say otherwise)."""
+    lines = Lines.of(ct_lines)
+    rows = accepted(parse_lines(lines.df, CONTRACTS, keep=("address",), checked=CONTRACT_CHECKS, skip_header=lines.skip_header))
+    return rows.distinct() if lines.dedupe else rows
 
 
 def scam_pairs_from_catalogue(catalogue: DataFrame) -> DataFrame:
@@ -165,20 +184,24 @@ def monthly_mean_gas_price(tx_lines: DataFrame) -> DataFrame:
     return _mean(sum_count_by(tx, "month", "gas_price"), "mean_gas_price")
 
 
-def monthly_sums_with_count_lookup(tx_lines: DataFrame) -> DataFrame:
+def monthly_summary(tx_lines: DataFrame) -> DataFrame:
+    """Count, total and mean value per month from one pass over the lines."""
+    tx = transactions(tx_lines, MONTHLY_CHECKS, value="value")
+    return _labelled(sum_count_by(tx, "month", "value"), F.col("n"), _total("s", "total_value"),
+                     mean_of(F.col("s"), F.col("n")).alias("mean_value"))
+
+
+def monthly_sums_with_count_lookup(tx_lines: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Monthly mean as sums joined with a per-month count table.
 
-    The count table has one row per month; it is attached with a size-checked
-    broadcast join instead of a dictionary shipped from the driver.
+    ``counts`` (``month``, ``n``) is a second input, by default counted from the
+    same lines; it is attached with a size-checked broadcast join instead of a
+    dictionary shipped from the driver.  ``monthly_summary`` has the same
+    columns from one pass.
     """
     tx = transactions(tx_lines, MONTHLY_CHECKS, value="value")
-    # both sides read one materialised aggregate, so the input is scanned
-    # once; months are bounded (years 1000..9999, at most
-    # 108 000 keys), which proves the count table small enough to broadcast
-    per_month = shared(sum_count_by(tx, "month", "value"))
-    sums = per_month.select("month", F.col("s").alias("total"))
-    counts = per_month.select("month", "n")
-    joined = sums.join(F.broadcast(counts), "month")
+    counts = count_by(tx, "month") if counts is None else counts
+    joined = attach(sum_by(tx, "month", "value", "total"), counts, "month")
     return _labelled(joined, F.col("n"), _total("total", "total_value"),
                      mean_of(F.col("total"), F.col("n")).alias("mean_value"))
 
@@ -199,8 +222,15 @@ def _top_contract_rows(totals: DataFrame, ct_lines: DataFrame, k: int) -> DataFr
 
 def _contract_totals(tx_lines: DataFrame, ct_lines: DataFrame, k: int) -> DataFrame:
     tx = transactions(tx_lines, VALUE_CHECKS, keep=("to_address",), value="value", month=False)
-    totals = sum_by(tx, "to_address", "value", "total").withColumnRenamed("to_address", "address")
-    return _top_contract_rows(totals, ct_lines, k)
+    tx = _to_contracts(tx.withColumnRenamed("to_address", "address"), ct_lines)
+    return _top_contract_rows(sum_by(tx, "address", "value", "total"), ct_lines, k)
+
+
+def _to_contracts(tx: DataFrame, ct_lines: DataFrame) -> DataFrame:
+    """Without the transactions to other addresses where the contract list can
+    be broadcast, so that only contracts cross the aggregate's shuffle."""
+    listed = contracts(ct_lines).distinct()
+    return semi_filter(tx, listed, "address", bounded=True) if fits_broadcast(listed) else tx
 
 
 def top_contracts(tx_lines: DataFrame, ct_lines: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -242,6 +272,10 @@ def top_contract_monthly_mean_gas(tx_lines: DataFrame, ct_lines: DataFrame,
         F.col("to_address").alias("address"), "value", "gas",
         F.when(gas_ok, strict_month(F.col("block_timestamp"), what="transactions.block_timestamp"))
         .alias("month"))
+    # the bucket of every line is computed below the filter, so a bad timestamp
+    # fails the job however the list is joined
+    bucketed = bucketed.select(F.inline(F.array(F.struct(*bucketed.columns))))
+    bucketed = _to_contracts(bucketed.filter(F.col("month").isNotNull() | F.col("gas").isNull()), ct_lines)
     per_month = shared(bucketed.groupBy("address", "month").agg(
         exact_sum(F.col("value")).alias("sv"), exact_sum(F.col("gas")).alias("sg"),
         F.count("gas").alias("ng")))
@@ -255,7 +289,8 @@ def top_contract_monthly_mean_gas(tx_lines: DataFrame, ct_lines: DataFrame,
 # ------------------------------------------------------------- blocks (C, D2)
 
 def top_miners(bl_lines: DataFrame, k: int = TOP_K) -> DataFrame:
-    bl = accepted(parse_lines(bl_lines, BLOCKS, keep=("miner",), checked=BLOCK_SIZE_CHECKS))
+    lines = Lines.of(bl_lines)
+    bl = accepted(parse_lines(lines.df, BLOCKS, keep=("miner",), checked=BLOCK_SIZE_CHECKS, integers=BLOCK_SIZE_CHECKS, skip_header=lines.skip_header))
     totals = sum_by(bl, "miner", "size", "total")
     return top_k(totals, k, "total", ("miner",)).select("miner", _total("total", "total_size"))
 
@@ -263,7 +298,8 @@ def top_miners(bl_lines: DataFrame, k: int = TOP_K) -> DataFrame:
 def hex_overhead_bits(bl_lines: DataFrame) -> DataFrame:
     """Total bits in the five hex columns of every 19-field block line."""
     hex_cols = ("sha3_uncles", "logs_bloom", "transactions_root", "state_root", "receipts_root")
-    bl = accepted(parse_lines(bl_lines, BLOCKS, keep=hex_cols))
+    lines = Lines.of(bl_lines)
+    bl = accepted(parse_lines(lines.df, BLOCKS, keep=hex_cols, skip_header=lines.skip_header))
     bits = hex_bits(*[F.col(c) for c in hex_cols])
     return constant_key_sum(bl, bits, "total_bits")
 
@@ -320,20 +356,9 @@ def scam_leader_monthly_mean(tx_lines: DataFrame, pairs: DataFrame) -> DataFrame
     materialised aggregate.
     """
     tx = transactions(tx_lines, VALUE_CHECKS, keep=("to_address",), value="value")
-    tx = tx.withColumnRenamed("to_address", "address")
-    by_pair = weighted(pairs, "address", ("id",))
-    small = fits_broadcast(by_pair)
-    if small:
-        # the list is checked small: drop unlisted transactions before any shuffle
-        tx = semi_filter(tx, by_pair, "address", bounded=True)
-    per_month = tx.groupBy("address", "month").agg(
-        exact_sum(F.col("value")).alias("s0"), F.count(F.lit(1)).alias("n0"))
-    weighted_rows = (per_month.join(F.broadcast(by_pair), "address") if small
-                     else by_pair.join(per_month.hint("merge"), "address"))
-    per_id_month = shared(
-        weighted_rows.select("id", "month", (F.col("s0") * F.col(WEIGHT)).alias("s"),
-                             (F.col("n0") * F.col(WEIGHT)).alias("n"))
-        .groupBy("id", "month").agg(exact_sum(F.col("s")).alias("s"), F.sum("n").alias("n")))
+    per_id_month = shared(aggregate_through(
+        tx.withColumnRenamed("to_address", "address"), pairs, "address",
+        fact_keys=("month",), member_keys=("id",), value="value"))
     totals = per_id_month.groupBy("id").agg(exact_sum(F.col("s")).alias("s"))
     leader = top_k(totals, 1, "s", ("id",)).select("id")
     agg = (per_id_month.join(F.broadcast(leader), "id", "left_semi")
@@ -359,8 +384,12 @@ def reject_report(tx_lines: DataFrame) -> DataFrame:
     One scan: every line is reduced to its arity verdict and the status of
     each checked field, and counted per combination of those (a few dozen
     at most).  Each family's reason is then derived from the combinations,
-    so the per-line work does not grow with the number of families.
+    so the per-line work does not grow with the number of families.  It needs
+    the raw lines: a silver table no longer has the lines it left out.
     """
+    tx_lines = Lines.of(tx_lines).df
+    if is_silver(tx_lines):
+        raise ValueError("reject_report needs transaction lines, not a silver table")
     fields = sorted({c for _, checks in FAMILIES for c in checks})
     f = tx_lines.select(split_fields(F.col("value")).alias("_f"))
     status = f.select(
@@ -372,8 +401,7 @@ def reject_report(tx_lines: DataFrame) -> DataFrame:
     for family, checks in FAMILIES:
         r = F.when(~F.col("_arity_ok"), F.lit("arity"))
         for c in checks:
-            r = r.when(F.col(c) == "not_integer", F.lit(c)).when(
-                F.col(c) == "overflow", F.lit(f"{c}:overflow"))
+            r = r.when(F.col(c) == "not_integer", F.lit(c))
         verdicts.append(F.struct(F.lit(family).alias("family"), r.otherwise(F.lit("ok")).alias("reason")))
     per_family = combos.select("_k", F.inline(F.array(*verdicts)))
     return per_family.groupBy("family", "reason").agg(F.sum("_k").alias("n_lines"))
@@ -385,7 +413,7 @@ def line_arity_profile(lines: DataFrame) -> DataFrame:
     f = lines.select(split_fields(F.col("value")).alias("_f"))
     prof = f.select(
         F.size("_f").cast("bigint").alias("n_fields"),
-        (int_status(field(F.col("_f"), 0)) == "ok").cast("bigint").alias("_int"),
+        (int_status(field(F.col("_f"), 0)) != "not_integer").cast("bigint").alias("_int"),
     )
     return prof.groupBy("n_fields").agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum("_int").alias("n_int_first"))
@@ -395,8 +423,26 @@ def line_arity_profile(lines: DataFrame) -> DataFrame:
 
 def monthly_count_pairs(tx_lines: DataFrame) -> DataFrame:
     """``["yyyy - MM", n]`` JSON text per month."""
-    counts = monthly_count(tx_lines)
-    return counts.select(json_array(json_string(F.col("month")), json_int(F.col("n"))).alias("value"))
+    return pairs_json(monthly_count(tx_lines))
+
+
+def contract_lines_report(ct_lines: DataFrame) -> DataFrame:
+    """(reason, n_lines) of contract lines; ``ok`` for those in use."""
+    return _reasons(parse_lines(Lines.of(ct_lines).df, CONTRACTS, checked=CONTRACT_CHECKS))
+
+
+def block_lines_report(bl_lines: DataFrame) -> DataFrame:
+    """(reason, n_lines) of block lines for the block-size question."""
+    return _reasons(parse_lines(Lines.of(bl_lines).df, BLOCKS, checked=BLOCK_SIZE_CHECKS))
+
+
+def list_lines_report(list_lines: DataFrame) -> DataFrame:
+    """(reason, n_lines) of reference-list lines: those without a comma."""
+    return _reasons(parse_reference_list(list_lines))
+
+
+def _reasons(parsed: DataFrame) -> DataFrame:
+    return parsed.groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 def address_totals_preview(tx_lines: DataFrame, n: int = 10) -> DataFrame:

@@ -2,11 +2,12 @@
 
     python -m ledgerlens.plans.jobs top_contracts \\
         --transactions s3a://data/transactions.csv --contracts s3a://data/contracts.csv \\
-        --out s3a://results/ [--format json|parquet|pairs]
+        --out s3a://results/ [--format json|parquet|pairs|pairs-one|lines]
 
 The result lands in ``<out>/<question><dd-mm-YYYY_HH-MM-SS>/``, written by the
 executors.  ``--format pairs`` writes one ``[key, value]`` JSON text per row
-(doubles in Spark's number format).  ``build_silver`` parses the transaction
+(doubles in Spark's number format), ``pairs-one`` ``[key, [value, 1]]``, and
+``lines`` the ``id, address`` lines that ``--scams`` reads.  ``build_silver`` parses the transaction
 export once into a month-partitioned table; ``--transactions-silver`` then
 points every transaction question at that table instead of the raw lines.
 """
@@ -18,39 +19,46 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ledgerlens.functions.render import json_array, json_int, json_string
 from ledgerlens.operators.catalogue import flatten_catalogue
-from ledgerlens.operators.sinks import result_path, write_result
+from ledgerlens.operators.parse import FAIL, REJECT
+from ledgerlens.operators.sinks import emit_list_lines, pairs_json, result_path, write_lines, write_result
 from ledgerlens.plans import analyses as A
 from ledgerlens.plans.silver import read_silver_transactions, write_silver_transactions
+from ledgerlens.session import apply_cluster_defaults
 from ledgerlens.sources.text import read_catalogue, read_lines
 
 
 def _scam_pairs(spark: SparkSession, args) -> DataFrame:
     if args.catalogue:
-        return flatten_catalogue(read_catalogue(spark, args.catalogue, multi_line=args.catalogue_multiline))
-    return A.scam_pairs_from_list(read_lines(spark, args.scams), strict=args.strict)
+        pairs = flatten_catalogue(read_catalogue(spark, args.catalogue, multi_line=args.catalogue_multiline))
+    else:
+        pairs = A.scam_pairs_from_list(read_lines(spark, args.scams), strict=args.strict)
+    return pairs.distinct() if args.dedupe else pairs
+
+
+def _lines(args, df: DataFrame) -> A.Lines:
+    return A.Lines(df, args.on_bad_timestamp, args.skip_header, args.dedupe)
 
 
 def _tx(spark, args):
     if args.transactions_silver:
-        return read_silver_transactions(spark, args.transactions_silver)
-    return read_lines(spark, args.transactions)
+        return _lines(args, read_silver_transactions(spark, args.transactions_silver))
+    return _lines(args, read_lines(spark, args.transactions))
 
 
 def _ct(spark, args):
-    return read_lines(spark, args.contracts)
+    return _lines(args, read_lines(spark, args.contracts))
 
 
 def _bl(spark, args):
-    return read_lines(spark, args.blocks)
+    return _lines(args, read_lines(spark, args.blocks))
 
 
 JOBS: dict[str, Callable] = {
     "monthly_count": lambda s, a: A.monthly_count(_tx(s, a)),
     "monthly_mean_value": lambda s, a: A.monthly_mean_value(_tx(s, a)),
+    "monthly_summary": lambda s, a: A.monthly_summary(_tx(s, a)),
     "monthly_mean_gas_price": lambda s, a: A.monthly_mean_gas_price(_tx(s, a)),
     "address_totals": lambda s, a: A.address_totals(_tx(s, a)),
     "top_contracts": lambda s, a: A.top_contracts(_tx(s, a), _ct(s, a)),
@@ -67,25 +75,12 @@ JOBS: dict[str, Callable] = {
         _tx(s, a), _scam_pairs(s, a), a.scam_id or A.REFERENCE_SCAM_ID),
     "scam_leader_monthly_mean": lambda s, a: A.scam_leader_monthly_mean(_tx(s, a), _scam_pairs(s, a)),
     "reject_report": lambda s, a: A.reject_report(_tx(s, a)),
+    "contract_lines_report": lambda s, a: A.contract_lines_report(_ct(s, a)),
+    "block_lines_report": lambda s, a: A.block_lines_report(_bl(s, a)),
+    "list_lines_report": lambda s, a: A.list_lines_report(read_lines(s, a.scams)),
 }
 
 
-def pairs_lines(df: DataFrame) -> DataFrame:
-    """``[key, value]`` per row: key = first column, value = the others."""
-    key, *values = df.columns
-    rendered = []
-    for c in values:
-        t = dict(df.dtypes)[c]
-        if t.startswith("decimal") or t in ("bigint", "int"):
-            rendered.append(json_int(F.col(c)))
-        elif t == "string":
-            rendered.append(json_string(F.col(c)))
-        else:
-            rendered.append(F.col(c).cast("string"))
-    value = rendered[0] if len(rendered) == 1 else json_array(*rendered)
-    return df.select(json_array(json_string(F.col(key).cast("string")), value).alias("value"))
-
-
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     p.add_argument("question", choices=sorted(JOBS) + ["build_silver"])
@@ -100,8 +95,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--addresses", help="comma-separated list for the listed-address question")
     p.add_argument("--scam-id")
     p.add_argument("--strict", action="store_true", help="fail on a list line without a comma")
+    p.add_argument("--on-bad-timestamp", default=FAIL, choices=(FAIL, REJECT),
+                   help="fail the job on an unusable timestamp, or drop the line")
+    p.add_argument("--skip-header", action="store_true", help="drop the export's header line")
+    p.add_argument("--dedupe", action="store_true", help="an address listed several times counts once")
     p.add_argument("--out", required=True, help="result root folder (any Hadoop URI)")
-    p.add_argument("--format", default="json", choices=("json", "parquet", "pairs"))
+    p.add_argument("--format", default="json", choices=("json", "parquet", "pairs", "pairs-one", "lines"))
     return p
 
 
@@ -113,9 +112,13 @@ def run(spark: SparkSession, argv: list[str], run_ts: datetime | None = None) ->
         write_silver_transactions(read_lines(spark, args.transactions), path)
         return path
     result = JOBS[args.question](spark, args)
-    if args.format == "pairs":
+    if args.format in ("pairs", "pairs-one", "lines"):
         path = result_path(args.out, args.question, run_ts)
-        pairs_lines(result).write.mode("errorifexists").text(path)
+        if args.format == "lines":
+            result = emit_list_lines(result)
+        else:
+            result = pairs_json(result, nested_one=args.format == "pairs-one")
+        write_lines(result, path)
         return path
     return write_result(result, args.out, args.question, run_ts, fmt=args.format)
 
@@ -125,6 +128,7 @@ def main() -> None:  # pragma: no cover - thin command-line wrapper
 
     parser().parse_args(sys.argv[1:])  # usage errors and --help before any JVM starts
     spark = SparkSession.builder.appName("ledgerlens-job").getOrCreate()
+    apply_cluster_defaults(spark)
     try:
         print(run(spark, sys.argv[1:]))
     finally:

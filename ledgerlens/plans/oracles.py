@@ -9,7 +9,6 @@ and divide by the count, as the Spark side does.
 
 from __future__ import annotations
 
-from ledgerlens.functions.integers import _tables
 from ledgerlens.plans.registry import FIXTURE_LISTED_ADDRESSES, FIXTURE_SCAM_ID
 
 _M = "(l_orderkey * 7 + l_linenumber) % 101"
@@ -32,7 +31,7 @@ GAS_VALUE_OK = "m NOT IN (0, 1, 2, 3)"
 
 CONTRACTS = f"""ct0 AS (
   SELECT {_ADDR.format(k='s_suppkey')} AS address, s_suppkey FROM supplier
-  WHERE s_acctbal > 0 AND s_suppkey % 17 <> 0),
+  WHERE s_suppkey % 17 <> 0),
 ct AS (SELECT address FROM ct0 UNION ALL SELECT address FROM ct0 WHERE s_suppkey % 10 = 0)"""
 
 PAIRS = f"""pairs AS (
@@ -59,13 +58,25 @@ SELECT month, {_mean(measure)} AS {name}
 FROM tx {join} WHERE {where} GROUP BY month"""
 
 
+# Fixed value: what Python strips around a number (Unicode white space).
+_WHITE = r"\t\n\v\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
 def _int_ok_sql(col: str) -> str:
-    ws, dg, foreign, ascii_values = _tables()
-    guard = rf"[{ws}]*[+-]?[{dg}]+(_[{dg}]+)*[{ws}]*"
-    norm = f"translate(regexp_replace({col}, '[{ws}_]', '', 'g'), '{foreign}', '{ascii_values}')"
-    return (f"(regexp_full_match({col}, '{guard}') "
-            f"AND TRY_CAST({norm} AS DECIMAL(38,0)) IS NOT NULL)")
+    """Python's rule for integer text: one sign, decimal digits of any script,
+    single underscores between digits, white space around."""
+    return rf"regexp_full_match({col}, '[{_WHITE}]*[+-]?\p{{Nd}}+(_\p{{Nd}}+)*[{_WHITE}]*')"
+
+
+TEXT_LINES = """l AS (
+  SELECT unnest(string_split_regex(regexp_replace(text, '(\\r\\n|\\r|\\n)$', ''), '\\r\\n|\\r|\\n')) AS line
+  FROM documents WHERE text <> '')"""
 
+ODD = """odd AS (
+  SELECT (l_orderkey * 7 + l_linenumber) % 11 AS m, CAST(round(l_discount * 100) AS BIGINT) AS gas_price,
+         CASE (l_orderkey * 7 + l_linenumber) % 11 WHEN 3 THEN '12000 - 01' WHEN 6 THEN '500 - 01'
+              ELSE strftime(l_shipdate, '%Y - %m') END AS month
+  FROM lineitem)"""
 
 _LISTED = ", ".join(f"'{a}'" for a in FIXTURE_LISTED_ADDRESSES)
 
@@ -79,9 +90,7 @@ tot AS (SELECT id, sum(value) AS total FROM tx JOIN pairs ON tx.to_address = pai
 top AS (SELECT id, total FROM tot ORDER BY total DESC, id LIMIT 10)"""
 
 ORACLES: dict[str, str] = {
-    "line_arity_profile": f"""WITH l AS (
-  SELECT unnest(string_split_regex(regexp_replace(text, '(\\r\\n|\\r|\\n)$', ''), '\\r\\n|\\r|\\n')) AS line
-  FROM documents WHERE text <> ''),
+    "line_arity_profile": f"""WITH {TEXT_LINES},
 f AS (SELECT string_split(line, ',') AS f FROM l)
 SELECT CAST(len(f) AS BIGINT) AS n_fields, count(*) AS n_lines,
        CAST(sum(CASE WHEN {_int_ok_sql('f[1]')} THEN 1 ELSE 0 END) AS BIGINT) AS n_int_first
@@ -104,6 +113,28 @@ SELECT family, reason, count(*) AS n_lines FROM r GROUP BY family, reason""",
     "monthly_count": f"""WITH {TX}
 SELECT month, count(*) AS n FROM tx WHERE {VALUE_OK} GROUP BY month""",
 
+    "monthly_summary": f"""WITH {TX}
+SELECT month, count(*) AS n, CAST(sum(value) AS VARCHAR) AS total_value, {_mean('value')} AS mean_value
+FROM tx WHERE {VALUE_OK} GROUP BY month""",
+
+    "monthly_mean_gas_price_reject": f"""WITH {ODD}
+SELECT month, {_mean('gas_price')} AS mean_gas_price FROM odd WHERE m NOT IN (4, 5) GROUP BY month""",
+
+    "odd_lines_monthly_count": f"""WITH {ODD}
+SELECT month, count(*) AS n FROM odd WHERE m NOT IN (4, 5) GROUP BY month""",
+
+    "contract_lines_report": """SELECT CASE WHEN s_suppkey % 17 = 0 THEN 'arity' ELSE 'ok' END AS reason,
+  CAST(sum(CASE WHEN s_suppkey % 10 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS n_lines FROM supplier GROUP BY 1""",
+
+    "block_lines_report": """SELECT CASE WHEN o_orderkey % 61 = 0 THEN 'arity' WHEN o_orderkey % 53 = 0 THEN 'size' ELSE 'ok' END AS reason,
+  count(*) AS n_lines FROM orders GROUP BY 1""",
+
+    "list_lines_report": f"""WITH {TEXT_LINES}
+SELECT CASE WHEN contains(line, ',') THEN 'ok' ELSE 'arity' END AS reason, count(*) AS n_lines FROM l GROUP BY 1""",
+
+    "top_contracts_pairs_json": f"""{_TOP_CONTRACTS}
+SELECT '["' || address || '", [' || CAST(total AS VARCHAR) || ', 1]]' AS value FROM top""",
+
     "monthly_mean_value": _monthly_mean(VALUE_OK, "value", "mean_value"),
 
     "monthly_mean_gas_price": _monthly_mean(GAS_PRICE_OK, "gas_price", "mean_gas_price"),

@@ -41,6 +41,15 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None,
     return spark
 
 
+def apply_cluster_defaults(spark: SparkSession) -> None:
+    """Give a session the defaults above that its launcher and Spark's own
+    configuration leave unset."""
+    given = {k for k, _ in spark.sparkContext.getConf().getAll()}
+    for key, value in CLUSTER_DEFAULTS.items():
+        if key not in given:
+            spark.conf.set(key, value)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 

@@ -9,7 +9,7 @@ transactions (from ``lineitem``), ``m = (l_orderkey * 7 + l_linenumber) % 101``
     m = 0  14 fields                    m = 3  field 10 ``"0x,0y"`` (16 fields)
     m = 1  value ``NaN``                m = 4  to_address empty (kept as a key)
     m = 2  gas ``1.5``                  m = 5  gas_price empty
-contracts (from ``supplier`` with ``s_acctbal > 0``): listed twice when
+contracts (from ``supplier``): listed twice when
     ``s_suppkey % 10 = 0``; a quoted comma (7 fields) when ``s_suppkey % 17 = 0``
 blocks (from ``orders``): size ``big`` when ``o_orderkey % 53 = 0``; 20 fields
     when ``o_orderkey % 61 = 0``
@@ -84,6 +84,25 @@ def transaction_lines(lineitem: DataFrame) -> DataFrame:
     return lineitem.select(F.when(m == 0, short).otherwise(full).alias("value"))
 
 
+def odd_transaction_lines(lineitem: DataFrame) -> DataFrame:
+    """Lines whose numbers are integers to Python but unusual, and bad times.
+
+    ``m = (l_orderkey * 7 + l_linenumber) % 11``: 0 value of 41 digits, 1 value
+    with underscores and blanks around, 2 value in Arabic-Indic digits, 3 a
+    timestamp in year 12000, 4 the timestamp ``soon``, 5 a timestamp of 25
+    digits, 6 year 500, 7 a blank recipient (a third of the rest is as usual).
+    """
+    m = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 11
+    value = (F.when(m == 0, F.lit("9" * 41)).when(m == 1, F.lit(" 1_000_000 ")).when(m == 2, F.lit("\u0661\u0662\u0663"))
+             .otherwise(cents(F.col("l_extendedprice")).cast("string")))
+    time = (F.when(m == 3, F.lit("316516204800")).when(m == 4, F.lit("soon")).when(m == 5, F.lit("9" * 25)).when(m == 6, F.lit("-46388678400"))
+            .otherwise(epoch_seconds_of_local(F.col("l_shipdate")).cast("string")))
+    fields = [F.lit("h"), F.lit("0"), F.lit("0xb"), F.lit("1"), F.lit("0"), F.lit("0xf"),
+              F.when(m == 7, F.lit("")).otherwise(address(F.col("l_suppkey"))), value, F.lit("21000"),
+              cents(F.col("l_discount")).cast("string"), F.lit("0x"), time, F.lit(""), F.lit(""), F.lit("2")]
+    return lineitem.select(F.concat_ws(",", *fields).alias("value"))
+
+
 def contract_lines(supplier: DataFrame) -> DataFrame:
     k = F.col("s_suppkey")
     line = F.concat_ws(
@@ -92,8 +111,7 @@ def contract_lines(supplier: DataFrame) -> DataFrame:
         F.lit("False"), F.lit("False"), F.lit("1"),
     )
     copies = F.when(k % 10 == 0, F.lit(2)).otherwise(F.lit(1))
-    return (supplier.filter(F.col("s_acctbal") > 0)
-            .select(F.explode(F.array_repeat(line, copies)).alias("value")))
+    return supplier.select(F.explode(F.array_repeat(line, copies)).alias("value"))
 
 
 def block_lines(orders: DataFrame) -> DataFrame:

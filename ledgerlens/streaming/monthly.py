@@ -2,10 +2,10 @@
 
 New export files landing in a folder are parsed with the same line parser
 as the batch questions and folded into per-month state (sum, count); the
-state holds one row per month, at most 108 000 keys (years 1000..9999), so
-it stays small however long the stream runs.  Calendar months are not
-fixed-length event-time windows, so the aggregate is keyed by the month
-index and emitted in ``update`` mode instead of watermark-closed windows.
+state holds one row per month, so it stays small however long the stream
+runs.  Calendar months are not fixed-length event-time windows, so the
+aggregate is keyed by the month index and emitted whole (``complete`` mode)
+instead of in watermark-closed windows.
 """
 
 from __future__ import annotations
@@ -19,6 +19,9 @@ from ledgerlens.operators.aggregates import exact_sum, mean_of
 from ledgerlens.plans.analyses import MONTHLY_CHECKS, transactions
 
 
+VERSION = "version-"
+
+
 def read_line_stream(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
@@ -36,34 +39,59 @@ def monthly_state(lines: DataFrame, checks: tuple[str, ...] = MONTHLY_CHECKS,
         F.col("s").cast("string").alias("total"), mean_of(F.col("s"), F.col("n")).alias("mean"))
 
 
+def _folders(spark: SparkSession, table_path: str) -> tuple[object, dict[int, bool]]:
+    """File system of the table, and its version folders with their completeness."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = hadoop(table_path)
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = {}
+    if fs.exists(root):
+        for status in fs.listStatus(root):
+            name = status.getPath().getName()
+            if name.startswith(VERSION):
+                found[int(name[len(VERSION):])] = fs.exists(hadoop(status.getPath(), "_SUCCESS"))
+    return fs, found
+
+
+def read_monthly(spark: SparkSession, table_path: str) -> DataFrame:
+    """The newest complete version of the result table."""
+    _, found = _folders(spark, table_path)
+    complete = [v for v, done in found.items() if done]
+    if not complete:
+        raise FileNotFoundError(f"no complete version in {table_path}")
+    return spark.read.parquet(f"{table_path}/{VERSION}{max(complete)}")
+
+
+def write_version(batch: DataFrame, batch_id: int, table_path: str) -> None:
+    """Write the whole result as a version of its own, then delete versions
+    before the last complete one.
+
+    Nothing that a reader may be shown is overwritten: a write that stops leaves
+    an incomplete folder, which readers pass over and the replay of the same
+    batch replaces.  Every other error fails the batch."""
+    session = batch.sparkSession
+    batch.write.mode("overwrite").parquet(f"{table_path}/{VERSION}{batch_id}")
+    fs, found = _folders(session, table_path)
+    kept = sorted((v for v, done in found.items() if done and v <= batch_id), reverse=True)[:2]
+    for v in found:
+        if v < batch_id and v not in kept:
+            fs.delete(session.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table_path}/{VERSION}{v}"), True)
+
+
 def start_monthly(spark: SparkSession, folder: str, table_path: str, checkpoint_location: str, *,
                   checks: tuple[str, ...] = MONTHLY_CHECKS, value: str = "value",
                   max_files_per_trigger: int | None = None,
                   trigger_available_now: bool = False) -> StreamingQuery:
-    """Run the monthly aggregate; each micro-batch rewrites the result table.
+    """Run the monthly aggregate; each micro-batch writes a version of the table.
 
-    The changed months of a batch are merged into the previous result and
-    the table is rewritten whole, which is idempotent if a batch is replayed
-    after a failure (the checkpoint records progress and state).
+    The state already holds every month (one row each), so ``complete`` mode
+    gives the whole result and nothing is merged with what was written before.
+    ``read_monthly`` reads the newest complete version.
     """
     result = monthly_state(read_line_stream(spark, folder, max_files_per_trigger), checks, value)
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        try:
-            previous = session.read.parquet(table_path)
-        except Exception:  # first batch: no table yet
-            previous = None
-        merged = batch
-        if previous is not None:
-            merged = previous.join(batch.select("month"), "month", "left_anti").unionByName(batch)
-        staged = f"{table_path}.batch-{batch_id}"
-        merged.write.mode("overwrite").parquet(staged)
-        session.read.parquet(staged).write.mode("overwrite").parquet(table_path)
-
-    writer = (result.writeStream.outputMode("update")
+    writer = (result.writeStream.outputMode("complete")
               .option("checkpointLocation", checkpoint_location)
-              .foreachBatch(upsert))
+              .foreachBatch(lambda batch, batch_id: write_version(batch, batch_id, table_path)))
     if trigger_available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()

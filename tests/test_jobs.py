@@ -3,7 +3,10 @@
 import json
 from datetime import datetime
 
+import pytest
 from conftest import SF_SMALL
+from pyspark.errors import PySparkException
+
 from ledgerlens.operators.sinks import emit_list_lines
 from ledgerlens.plans import jobs
 from ledgerlens.plans.registry import FIXTURE_SCAM_ID, QUERIES, bl, catalogue, ct, scam_list, tx
@@ -81,3 +84,40 @@ def test_catalogue_document_job(spark, scratch):
                             "--catalogue-multiline", "--out", f"{scratch}/out", "--format", "pairs"], when)
     got = sorted(json.loads(r.value) for r in spark.read.text(path).collect())
     assert got == [["5622", "0x1"], ["5622", "0x2"]]
+
+
+def test_list_lines_feed_the_scam_questions(spark, scratch):
+    """The catalogue's job writes the lines that the next job reads."""
+    tx(spark, SF_SMALL).write.text(f"{scratch}/transactions")
+    catalogue(spark, SF_SMALL).write.text(f"{scratch}/catalogue")
+    when = datetime(2022, 1, 2, 3, 4, 5)
+    listed = jobs.run(spark, ["scam_flatten", "--catalogue", f"{scratch}/catalogue", "--out", f"{scratch}/out", "--format", "lines"], when)
+    for name in ("scam_monthly_mean", "scam_top_totals"):
+        path = jobs.run(spark, [name, "--transactions", f"{scratch}/transactions", "--scams", listed, "--out", f"{scratch}/out"], when)
+        expect = QUERIES[name](spark, SF_SMALL)
+        assert rows(spark.read.json(path).select(*expect.columns)) == rows(expect)
+
+
+def test_pair_shapes_and_line_rules(spark, scratch):
+    ct(spark, SF_SMALL).write.text(f"{scratch}/contracts")
+    lines = [r.value for r in tx(spark, SF_SMALL).collect()]
+    bad = ",".join(["h", "0", "0xb", "1", "0", "0xf", "0xnone", "5", "1", "1", "0x", "soon", "", "", "2"])
+    with open(f"{scratch}/tx.csv", "w") as fh:
+        fh.write("\n".join([*lines, bad]) + "\n")
+    when = datetime(2022, 1, 2, 3, 4, 5)
+    common = ["--transactions", f"{scratch}/tx.csv", "--contracts", f"{scratch}/contracts", "--out", f"{scratch}/out"]
+    path = jobs.run(spark, ["top_contracts", *common, "--format", "pairs-one"], when)
+    pairs = sorted(json.loads(r.value) for r in spark.read.text(path).collect())
+    assert pairs == sorted([r.address, [int(r.total_value), 1]] for r in QUERIES["top_contracts"](spark, SF_SMALL).collect())
+    with pytest.raises(PySparkException, match="not a usable epoch"):
+        jobs.run(spark, ["contract_monthly_mean_gas", *common], when)
+    path = jobs.run(spark, ["contract_monthly_mean_gas", *common, "--on-bad-timestamp", "reject", "--skip-header"], datetime(2023, 1, 1))
+    assert rows(spark.read.json(path).select("month", "mean_gas")) == rows(QUERIES["contract_monthly_mean_gas"](spark, SF_SMALL))
+
+
+def test_reject_report_refuses_silver(spark, scratch):
+    tx(spark, SF_SMALL).write.text(f"{scratch}/transactions")
+    when = datetime(2022, 1, 2, 3, 4, 5)
+    silver = jobs.run(spark, ["build_silver", "--transactions", f"{scratch}/transactions", "--out", f"{scratch}/s"], when)
+    with pytest.raises(ValueError, match="silver"):
+        jobs.run(spark, ["reject_report", "--transactions-silver", silver, "--out", f"{scratch}/out"], when)

@@ -70,9 +70,9 @@ def test_pairs_json_matches_json_dumps(spark):
     from decimal import Decimal
     df = spark.createDataFrame([("2020 - 01", Decimal(12)), ('we"ird\\', Decimal(10**20))],
                                "k string, v decimal(38,0)")
-    got = sorted(r.value for r in pairs_json(df, "k", "v").collect())
+    got = sorted(r.value for r in pairs_json(df).collect())
     assert got == sorted(json.dumps([k, v]) for k, v in [("2020 - 01", 12), ('we"ird\\', 10**20)])
-    nested = pairs_json(df, "k", "v", nested_one=True).collect()
+    nested = pairs_json(df, nested_one=True).collect()
     assert sorted(r.value for r in nested)[0] == json.dumps(["2020 - 01", [12, 1]])
 
 

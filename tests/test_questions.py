@@ -152,3 +152,35 @@ def test_reject_report_counts_every_line(spark, data):
     assert value["arity"] == sum(len(l.split(",")) != 15 for l in data["tx"])
 
 
+
+
+def test_plans_and_modes_agree_on_bad_lines(spark):
+    """A question gives the same rows or the same error whatever the list's
+    size, the fan-out bound or the ANSI mode."""
+    from pyspark.errors import PySparkException
+
+    def line(to, value="5", ts="1583020800"):
+        return ",".join(["h", "0", "0xb", "1", "0", "0xf", to, value, "7", "1", "0x", ts, "", "", "2"])
+
+    pairs = spark.createDataFrame([("1", "0xa"), ("1", "0xa"), ("2", "0xa")], "id string, address string")
+    contracts = spark.createDataFrame([("0xa,0x,,False,False,1",)], "value string")
+    wide = "9" * 38
+    cases = [[line("0xa"), line("0xb", ts="soon")], [line("0xa", ts="soon")], [line("0xa", wide), line("0xa", wide)], [line("0xa"), line("0xb", "9" * 41)]]
+    questions = [lambda t: A.scam_monthly_mean(t, pairs), lambda t: A.scam_top_totals(t, pairs), lambda t: A.scam_leader_monthly_mean(t, pairs),
+                 lambda t: A.contract_monthly_mean_gas(t, contracts), lambda t: A.scam_id_monthly_mean(t, pairs, "1")]
+    for lines in cases:
+        tx = spark.createDataFrame([(x,) for x in lines], "value string")
+        for question in questions:
+            seen = set()
+            for ansi, bound, fan in (("true", "1000000", "16"), ("false", "0", "16"), ("false", "1000000", "1")):
+                spark.conf.set("spark.sql.ansi.enabled", ansi)
+                spark.conf.set("spark.ledgerlens.broadcastMaxRows", bound)
+                spark.conf.set("spark.ledgerlens.maxFanout", fan)
+                try:
+                    seen.add(str(sorted(map(str, question(tx).collect()))))
+                except PySparkException:
+                    seen.add("error")
+                finally:
+                    for key in ("spark.sql.ansi.enabled", "spark.ledgerlens.broadcastMaxRows", "spark.ledgerlens.maxFanout"):
+                        spark.conf.unset(key)
+            assert len(seen) == 1, (lines, seen)

@@ -1,11 +1,15 @@
 """The incremental monthly aggregate equals the batch question on the same lines."""
 
 import math
+import os
+
+import pytest
 
 from conftest import SF_SMALL
 from ledgerlens.plans import analyses as A
 from ledgerlens.plans.registry import tx
-from ledgerlens.streaming.monthly import start_monthly
+from ledgerlens.streaming import monthly as M
+from ledgerlens.streaming.monthly import read_monthly, start_monthly
 
 
 def test_stream_matches_batch(spark, scratch):
@@ -13,7 +17,6 @@ def test_stream_matches_batch(spark, scratch):
     rows = [r.value for r in lines.collect()]
     half = len(rows) // 2
     src = f"{scratch}/incoming"
-    import os
     os.makedirs(src)
     with open(f"{src}/part-0.csv", "w") as fh:
         fh.write("\n".join(rows[:half]) + "\n")
@@ -25,7 +28,7 @@ def test_stream_matches_batch(spark, scratch):
         q.processAllAvailable()
     finally:
         q.stop()
-    got = {r.month: (r.n, r.mean) for r in spark.read.parquet(f"{scratch}/monthly").collect()}
+    got = {r.month: (r.n, r.mean) for r in read_monthly(spark, f"{scratch}/monthly").collect()}
     counts = {r.month: r.n for r in A.monthly_count(lines).collect()}
     means = {r.month: r.mean_value for r in A.monthly_mean_value(lines).collect()}
     assert got.keys() == counts.keys()
@@ -35,7 +38,6 @@ def test_stream_matches_batch(spark, scratch):
 
 
 def test_available_now_run_stops_by_itself(spark, scratch):
-    import os
     lines = tx(spark, SF_SMALL)
     rows = [r.value for r in lines.collect()]
     src = f"{scratch}/incoming"
@@ -46,5 +48,24 @@ def test_available_now_run_stops_by_itself(spark, scratch):
     q = start_monthly(spark, src, f"{scratch}/monthly", f"{scratch}/ckpt",
                       max_files_per_trigger=1, trigger_available_now=True)
     assert q.awaitTermination(300)
-    got = {r.month: r.n for r in spark.read.parquet(f"{scratch}/monthly").collect()}
+    got = {r.month: r.n for r in read_monthly(spark, f"{scratch}/monthly").collect()}
     assert got == {r.month: r.n for r in A.monthly_count(lines).collect()}
+
+
+def test_failed_writes_and_reads_lose_no_month(spark, scratch, monkeypatch):
+    table = f"{scratch}/monthly"
+    batch = lambda n: spark.createDataFrame([(f"2020 - {m:02d}", m) for m in range(1, n + 1)], "month string, n long")
+    M.write_version(batch(3), 0, table)
+    M.write_version(batch(4), 1, table)
+    os.makedirs(f"{table}/version-2")  # a write that stopped half way
+    assert read_monthly(spark, table).count() == 4
+    with monkeypatch.context() as m:
+        m.setattr(M, "_folders", lambda *_: (_ for _ in ()).throw(OSError("unreadable")))
+        with pytest.raises(OSError):
+            M.write_version(batch(5), 2, table)
+    M.write_version(batch(5), 2, table)  # the replay of the batch
+    assert read_monthly(spark, table).count() == 5
+    M.write_version(batch(6), 3, table)
+    assert sorted(d for d in os.listdir(table)) == ["version-2", "version-3"]
+    with pytest.raises(FileNotFoundError):
+        read_monthly(spark, f"{scratch}/none")
