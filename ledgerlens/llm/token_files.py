@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -40,7 +41,7 @@ from ledgerlens.session import checkpoint_dir
 MAGIC = b"IDPACK01"
 BLOCK = 4096
 #: Pieces of text whose ids a worker remembers.
-MEMO = 300_000
+MEMO = 700_000
 
 
 def bit_width(vocabulary: int) -> int:
@@ -182,6 +183,16 @@ class TextEncoder:
                 and splits[0].get("type") == "Split" and splits[0]["behavior"] == "Removed" and splits[0]["invert"]
                 and r"[^\s" in splits[0]["pattern"]["Regex"] and not added)
 
+    @staticmethod
+    def _split(piece: str) -> tuple[str, ...]:
+        """A piece as parts that are encoded alike: the splitting parts letters
+        from a full stop or comma, and the normaliser lowers ASCII letters."""
+        word, end = (piece[:-1], piece[-1:]) if piece[-1] in ".," else (piece, "")
+        if not word.isalpha():
+            return (piece,)
+        word = word.lower() if word.isascii() else word
+        return (word, end) if end else (word,)
+
     def encode(self, batch: list[str]) -> Iterator[np.ndarray]:
         if not self.cut:
             for t in batch:
@@ -192,10 +203,14 @@ class TextEncoder:
             self.memo = {"": b""}
         memo = self.memo
         new = [x for x in set().union(*cut) if x not in memo]
-        for i in range(0, len(new), 2000):
-            part = new[i:i + 2000]
+        split = [self._split(x) for x in new]
+        parts = list({p for s in split for p in s if p not in memo})
+        for i in range(0, len(parts), 2000):
+            part = parts[i:i + 2000]
             for x, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                memo[x] = np.array(e.ids, np.uint32).tobytes()
+                memo[x] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        for x, s in zip(new, split, strict=True):
+            memo[x] = b"".join([memo[p] for p in s])
         for pieces in cut:
             yield np.frombuffer(b"".join([memo[x] for x in pieces]), np.uint32)
 
