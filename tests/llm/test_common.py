@@ -1,0 +1,29 @@
+import numpy as np
+import pyarrow as pa
+
+from ledgerlens.llm import common as C
+
+
+def test_cut_by_bytes_and_rows(monkeypatch):
+    monkeypatch.setattr(C, "SLICE_ROWS", 4)
+    values = ["x" * n for n in (1, 2, 3, 100, 1, 1, 1, 1, 1, 1)] + [None]
+    batch = pa.RecordBatch.from_pydict({"t": pa.array(values, pa.string()), "size": pa.array([len(v or "") for v in values])})
+    for pieces in (list(C.slices([batch], "t", 6)), list(C.sized([batch], "size", 6))):
+        assert [v for p in pieces for v in p.column(0).to_pylist()] == values
+        sizes = [p.num_rows for p in pieces]
+        assert max(sizes) <= 4 and sizes[:2] == [3, 1]
+    assert list(C.slices([batch.slice(0, 0)], "t")) == []
+
+
+def test_gather():
+    assert C.gather(np.array([5, 0, 9]), np.array([2, 0, 3])).tolist() == [5, 6, 9, 10, 11]
+    assert len(C.gather(np.array([3]), np.array([0]))) == 0
+
+
+def test_release_deletes_only_what_is_named(spark):
+    df = spark.range(5)
+    a, b = C.shared(df, "a"), C.shared(df, "b")
+    mine, C.written[-1:] = [C.written[-1]], []
+    C.release(spark, mine)
+    assert mine == [] and a.count() == 5
+    assert not b.inputFiles() or not spark.read.parquet(C.written[-1]).isEmpty()
