@@ -1,24 +1,48 @@
 """A corpus pipeline of the operators in ``ledgerlens.llm``.
 
 Each stage takes the documents that the stage before it kept and returns
-documents with the same columns; the last returns their token ids.
+documents with the same columns; the last returns their token ids.  A stage's
+result is written and read again before the next stage is called, so a stage
+first deletes the working tables that earlier ones left behind.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import bpe, suffix_dedup, toxicity
-from ledgerlens.llm.common import read_table, shared
+from ledgerlens.llm.common import read_table, release, written
 from ledgerlens.llm.minhash import near_duplicates
 from ledgerlens.llm.mixing import mix
+from ledgerlens.operators.materialize import shared
 
 MIX_SEED = "pipeline-mixture"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_working: list[str] = []  # working tables of the stage called last
+
+
+def stage(function: Stage) -> Stage:
+    """Delete the working tables of the stage before, whose result is written."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _working)
+        before = len(written)
+        out = function(spark, docs, sf_dir)
+        _working.extend(written[before:])
+        del written[before:]
+        return out
+
+    return run_stage
 
 
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the clause grammar, learned from the labelled ones among
     them, scores below one half."""
@@ -26,12 +50,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model, COLUMNS, below=0.5)
 
 
+@stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates."""
     kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").select(*COLUMNS)
+    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").select(*COLUMNS)
 
 
+@stage
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes of passages that occur elsewhere."""
     rest = [c for c in COLUMNS if c not in ("text", "n_chars")]
@@ -39,11 +65,13 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Equal shares of the characters for all sources; copies keep their id."""
     return mix(docs, seed=MIX_SEED, size=F.length(F.coalesce("text", F.lit("")))).select(*COLUMNS)
 
 
+@stage
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every copy."""
     out = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), ["doc_id", "lang", "source"])
@@ -63,6 +91,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written and read again."""
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = shared(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for name, function in STAGES[:-1]:
+        docs = shared(function(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

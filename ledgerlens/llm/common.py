@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
@@ -13,18 +14,43 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.operators.materialize import shared
+from ledgerlens.session import checkpoint_dir
 
-__all__ = ["column", "gather", "map_arrow", "names", "read_table", "shared", "slices", "texts"]
+__all__ = ["column", "gather", "map_arrow", "names", "read_table", "release", "shared", "sized", "slices", "texts", "written"]
 
 #: Text bytes that Python code holds decoded at a time.
 SLICE_BYTES = 4 << 20
+SLICE_ROWS = 8192
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+#: Paths of the tables that :func:`shared` has written.
+written: list[str] = []
+
+
+def shared(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as a table in the cluster's checkpoint folder and return
+    a scan of it: the lineage is cut there, and later steps read the table.  Its
+    path is added to ``written``."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/ledgerlens-{name}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    written.append(path)
+    return spark.read.parquet(path)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete these tables, which nothing reads any more, and empty the list."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    while paths:
+        path = hadoop(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Hand this package to the executors, as ``--py-files`` does, unless their
     PYTHONPATH names the folder it lies in."""
@@ -50,22 +76,28 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def cut(batch: pa.RecordBatch, sizes: np.ndarray, limit: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch whose rows' ``sizes`` add up to about ``limit``, of
+    ``SLICE_ROWS`` rows at most.  A single larger row is a piece of its own."""
+    ends, start = np.cumsum(sizes), 0
+    while start < batch.num_rows:
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        yield batch.slice(start, min(stop - start, SLICE_ROWS))
+        start = min(stop, start + SLICE_ROWS)
+
+
 def slices(batches: Iterator[pa.RecordBatch], name: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that column ``name`` holds about ``limit`` bytes in
-    each piece.  A single longer value stays whole, in a piece of its own."""
+    each piece."""
+    for batch in batches:
+        yield from cut(batch, np.asarray(pa.compute.fill_null(pa.compute.binary_length(column(batch, name)), 0), dtype=np.int64), limit)
+
+
+def sized(batches: Iterator[pa.RecordBatch], names: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches by what their columns of sizes say."""
     for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        col = column(batch, name)
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64)
-        ends = np.cumsum(sizes)
-        start = 0
-        while start < n:
-            base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
-            yield batch.slice(start, stop - start)
-            start = stop
+        yield from cut(batch, sum(column(batch, n).to_numpy() for n in names.split()), limit)
 
 
 def texts(col: pa.Array) -> list[str]:
