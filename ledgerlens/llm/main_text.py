@@ -295,8 +295,9 @@ def variant(blocks: list[Block], labels: list[bool], rng: np.random.Generator) -
 
 def fit(pages: DataFrame, text: str = "html", rows: int = TRAIN_PAGES) -> Chain:
     """Learn from ``rows`` pages at most, those with the smallest hashes."""
-    marked = pages.filter(F.col(text).rlike("(?i)<(article|main)[ >]")).select(F.col(text).alias("page"))
-    sample = [r["page"] for r in marked.orderBy(F.xxhash64("page"), "page").limit(rows).collect()]
+    marked = pages.filter(F.col(text).rlike("(?i)<(article|main)[ >]")).select(F.col(text).alias("page"), F.xxhash64(text).alias("h"))
+    least = [r["h"] for r in marked.select("h").distinct().orderBy("h").limit(rows).collect()]
+    sample = [r["page"] for r in marked.filter(F.col("h").isin(least)).distinct().orderBy("h").collect()] if least else []
     rng = np.random.default_rng(7)
     data = []
     for page in sample:
