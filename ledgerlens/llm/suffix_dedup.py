@@ -37,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import column, gather, map_arrow, shared, slices
+from ledgerlens.llm.common import column, gather, map_arrow, shared, sized, slices
 from ledgerlens.llm.minhash import _BYTE, _power_tables, mixed
 
 LENGTH, ANCHOR = 200, 32
 #: Windows cut into runs at a time; positions in them fit in ``_PLACE`` bits.
-PIECE = 4 << 20
+PIECE = 2 << 20
 _PLACE = 24
 #: Occurrences of an anchor hash in one shard; more are dealt over several.
 HOT = 4096
@@ -266,7 +266,7 @@ def _contexts(packed: DataFrame, runs: DataFrame, length: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "shard", "shards", "context"]
-        for piece in slices(batches, "packed", 1 << 20):
+        for piece in sized(batches, "size", 2 << 20):
             listed = column(piece, "runs")
             flat, at = listed.flatten(), listed.offsets.to_numpy() - listed.offsets[0].as_py()
             first, last = (flat.field(f).to_numpy() for f in ("first", "last"))
@@ -396,7 +396,7 @@ def remove_repeats(docs: DataFrame, schema: str, result, *, carry: list[str], ke
     names = [x.split()[0] for x in schema.split(", ")]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "packed", 1 << 20):
+        for piece in sized(batches, "size", 2 << 20):
             rows = [result(d, removed_spans(np.asarray(s.values) if s.is_valid else np.zeros(0, np.int64), length))
                     for d, s in zip(_unpack(piece), column(piece, "spans"), strict=True)]
             yield pa.RecordBatch.from_arrays([column(piece, "rest")] + [pa.array(c) for c in zip(*rows, strict=True)], ["rest", *names])
