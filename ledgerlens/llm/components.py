@@ -16,8 +16,9 @@ def components(links: DataFrame) -> DataFrame:
     then its smaller neighbours to the smallest of them, until all links point
     at the smallest node of their component; the number of rounds grows with
     the logarithm of the longest path.  Minima are aggregated before the
-    shuffle and joined back, so a hub's links are never gathered, and each round
-    is a written table, so a lost executor repeats one round at most."""
+    shuffle, written and joined back, so a hub's links are never gathered and its
+    partition can be split; each round is a written table too, so a lost executor
+    repeats one round at most."""
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = shared(edges, "links")
     before = None
@@ -27,7 +28,7 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = state["n"], state["h"]
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = shared(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
