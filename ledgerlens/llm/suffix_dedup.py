@@ -363,6 +363,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int, carry: lis
     runs = shared(_run_rows(docs, key, text, length), "suffix-runs")
     anchors = (runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi"))
                .filter("n > 1").select("anchor", "n", (F.col("lo") != F.col("hi")).alias("differ")))
+    anchors = shared(anchors, "suffix-anchors")  # a table, so that the join below can split a hot anchor's partition
     shards = F.ceil(F.col("n") / HOT)
     marked = shared(runs.join(anchors, "anchor").withColumn("shards", shards)
                     .withColumn("shard", F.when(shards > 1, F.pmod(F.xxhash64("context"), shards)).otherwise(F.lit(0).cast("long"))).drop("n"), "suffix-marked")
