@@ -92,10 +92,11 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return docs.select(key, packed(sketch(F.col(text))).alias("fingerprint"))
 
 
-def with_next(docs: DataFrame, key: str, carried: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, key: str, carried: list[str], prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """The rows with ``next_`` columns: those of the next row in ascending order
     of ``key`` (and of ``tie``, which tells rows of equal keys apart); after the
-    last row comes the first.
+    last row comes the first.  ``prepare`` adds columns to carry, before rows
+    move and after the guests are chosen.
 
     Rows are dealt out by ranges of the key.  The first row of each range also
     goes, as a guest, to the range before, so every row finds its next one in
@@ -114,7 +115,7 @@ def with_next(docs: DataFrame, key: str, carried: list[str]) -> DataFrame:
     guest = (docs.join(F.broadcast(table), F.col(key).eqNullSafe(F.col("__k")) & (F.col("tie") == F.col("__t")))
              .dropDuplicates(["__to"]).select(*docs.columns, F.col("__to").alias("__range"), F.lit(1).alias("__guest")))
     order = Window.partitionBy("__range").orderBy("__guest", F.col(key).asc_nulls_first(), "tie")
-    both = ranged.withColumn("__guest", F.lit(0)).unionByName(guest)
+    both = prepare(ranged.withColumn("__guest", F.lit(0)).unionByName(guest))
     ahead = both.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carried])
     return ahead.filter("__guest = 0").drop("__range", "__guest")
 
@@ -124,7 +125,7 @@ def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     the beginning of the next document, with their likeness to the text."""
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key), whole.alias("text")).withColumn("tie", F.xxhash64("text"))
-    first = with_next(rows.withColumn("own", sketch(F.col("text"))), key, ["text", "own"])
+    first = with_next(rows, key, ["text", "own"], lambda df: df.withColumn("own", sketch(F.col("text"))))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
     return (first.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("edited", edited)
