@@ -247,11 +247,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     member = (members.join(leaders.select("band", "a"), "band").join(groups, "id", "left")
               .select("band", "id", "n", "a", F.coalesce("component", "id").alias("component")))
     split = member.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"))
-    open_ = shared(member.filter("id <> a").join(split.filter("lo < hi AND m > 2").select("band"), "band").join(low, "id"), "minhash-open")
+    open_ = shared(member.filter("id <> a").join(split.filter("lo < hi AND m > 2").select("band"), "band")
+                   .join(classes.select("id", "low", "bands"), "id"), "minhash-open")
     x, y = open_.alias("x"), open_.alias("y")
+    shared_bands = F.filter(F.zip_with("x.bands", "y.bands", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())
+    first_shared = F.get(shared_bands, F.lit(0)) == F.col("x.band")  # each pair comes from one of its bands
     rest = (x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-                   & _alike("x.n", "y.n") & (agreeing("x.low", "y.low") >= AGREE))
-            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+                   & _alike("x.n", "y.n") & (agreeing("x.low", "y.low") >= AGREE) & first_shared)
+            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
     rest = shared(rest, "minhash-rest")
     if not rest.isEmpty():
         packed = packed_texts(docs, key, text, rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct())
