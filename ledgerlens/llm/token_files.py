@@ -41,7 +41,7 @@ from ledgerlens.session import checkpoint_dir
 MAGIC = b"IDPACK01"
 BLOCK = 4096
 #: Pieces of text whose ids a worker remembers.
-MEMO = 700_000
+MEMO = 1_000_000
 
 
 def bit_width(vocabulary: int) -> int:
@@ -202,17 +202,35 @@ class TextEncoder:
         if len(self.memo) > MEMO:
             self.memo = {"": b""}
         memo = self.memo
-        new = [x for x in set().union(*cut) if x not in memo]
+        found = [[memo.get(x) for x in pieces] for pieces in cut]
+        new = list({x for pieces, got in zip(cut, found, strict=True) if None in got for x, g in zip(pieces, got, strict=True) if g is None})
         split = [self._split(x) for x in new]
-        parts = list({p for s in split for p in s if p not in memo})
-        for i in range(0, len(parts), 2000):
-            part = parts[i:i + 2000]
-            for x, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                memo[x] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        self._learn(list({p for s in split for p in s if p not in memo}))
         for x, s in zip(new, split, strict=True):
             memo[x] = b"".join([memo[p] for p in s])
-        for pieces in cut:
-            yield np.frombuffer(b"".join([memo[x] for x in pieces]), np.uint32)
+        for pieces, got in zip(cut, found, strict=True):
+            yield np.frombuffer(b"".join([memo[x] for x in pieces] if None in got else got), np.uint32)
+
+    def _learn(self, parts: list[str]) -> None:
+        """Encode parts that are not in the memory.  Words of letters, which are
+        never split, are encoded many in one text with spaces between."""
+        words = [p for p in parts if p.isalpha()]
+        rest = [p for p in parts if not p.isalpha()]
+        for i in range(0, len(words), 200):
+            some = words[i:i + 200]
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, of = np.array(e.ids, np.uint32), np.array(e.word_ids)
+            ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(ids))
+            if len(ends) != len(some):
+                rest += some
+                continue
+            data, at = ids.tobytes(), 0
+            for x, end in zip(some, (4 * ends).tolist(), strict=True):
+                self.memo[x], at = data[at:end], end
+        for i in range(0, len(rest), 2000):
+            some = rest[i:i + 2000]
+            for x, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+                self.memo[x] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
 
 _OPEN: dict[str, TextEncoder] = {}
