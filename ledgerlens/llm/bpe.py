@@ -23,6 +23,7 @@ import heapq
 import json
 import mmap
 import re
+import struct
 import tempfile
 import uuid
 from collections import Counter
@@ -36,13 +37,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import column, gather, map_arrow, slices, texts
+from ledgerlens.llm.common import column, gather, map_arrow, shared, slices, texts
 
 #: Words compiled into the lexicon, and the bytes of the longest such word.
-LEXICON_WORDS = 200_000
+LEXICON_WORDS = 300_000
 LEXICON_BYTES = 64
 #: Words whose results a worker remembers; the memory is emptied when full.
-MEMO = 200_000
+MEMO = 400_000
 
 #: Fixed value: the splitting pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -66,6 +67,10 @@ def chunks(text: str) -> list[str]:
 
 def chunk_words(chunk: str) -> list[str]:
     """The pattern's words in a chunk."""
+    if chunk.isalpha():
+        return [" " + chunk]
+    if chunk[:-1].isalpha() and chunk[-1] in ".,":
+        return [" " + chunk[:-1], chunk[-1]]
     return _SPLIT.findall(chunk[1:] if chunk[:1] == " " else " " + chunk)
 
 
@@ -245,7 +250,7 @@ class Lexicon:
         self.token_bytes = self.merger.token_bytes
         special = sorted(self.merger.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.memo: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.memo: dict[str, tuple[bytes, str]] = {}  # ids of a chunk as 32-bit numbers, and in decimal
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """Places of the words in the lexicon, -1 for others; all words take
@@ -270,24 +275,30 @@ class Lexicon:
             place[live] += self.arc_out[arc]
         return np.where((state >= 0) & self.final[state], place, -1)
 
-    def word_ids(self, words: list[str]) -> list[tuple[int, ...]]:
+    def word_ids(self, words: list[str]) -> list[tuple[bytes, str]]:
         data = [w.encode() for w in words]
-        start, ids, merge = self.id_start, self.ids, self.merger.merge
-        return [tuple(ids[start[p]:start[p + 1]].tolist()) if p >= 0 else merge(w)
-                for w, p in zip(data, self.places(data).tolist(), strict=True)]
+        place = self.places(data)
+        merge = self.merger.merge
+        ids = [() if p >= 0 else merge(w) for w, p in zip(data, place.tolist(), strict=True)]
+        found = np.flatnonzero(place >= 0)
+        start, stop = self.id_start[place[found]], self.id_start[place[found] + 1]
+        flat, at = self.ids[gather(start, stop - start)].tolist(), 0
+        for k, n in zip(found.tolist(), (stop - start).tolist(), strict=True):
+            ids[k] = tuple(flat[at:at + n])
+            at += n
+        return [(struct.pack(f"<{len(x)}i", *x), ",".join(map(str, x))) for x in ids]
 
     def learn(self, new: list[str]) -> None:
         """Put the ids of new chunks of text into the memory."""
         special = self.merger.special
         for c in special:
-            self.memo[c] = (special[c],), str(special[c])
+            self.memo[c] = struct.pack("<i", special[c]), str(special[c])
         new = [c for c in new if c not in special]
         parts = [chunk_words(c) for c in new]
         words = list({w for p in parts for w in p})
         known = dict(zip(words, self.word_ids(words), strict=True))
         for c, p in zip(new, parts, strict=True):
-            ids = known[p[0]] if len(p) == 1 else tuple(i for w in p for i in known[w])
-            self.memo[c] = ids, ",".join(map(str, ids))
+            self.memo[c] = known[p[0]] if len(p) == 1 else (b"".join([known[w][0] for w in p]), ",".join([known[w][1] for w in p]))
 
     def pieces(self, text: str) -> list[str]:
         """Chunks of the text; a special token is a chunk of its own."""
@@ -296,7 +307,7 @@ class Lexicon:
         parts = [p for p in self.special.split(text) if p]
         return [c for p in parts for c in ((p,) if p in self.merger.special else chunks(p))]
 
-    def encode(self, batch: list[str]) -> Iterator[tuple[list[int], str]]:
+    def encode(self, batch: list[str]) -> Iterator[tuple[np.ndarray, str]]:
         """Ids of each text, and the ids written in decimal with commas."""
         cut = [self.pieces(t) for t in batch]
         if len(self.memo) > MEMO:
@@ -305,11 +316,11 @@ class Lexicon:
         self.learn([c for c in set(chain.from_iterable(cut)) if c not in memo])
         for p in cut:
             found = [memo[c] for c in p]
-            yield list(chain.from_iterable([ids for ids, _ in found])), ",".join([s for _, s in found])
+            yield np.frombuffer(b"".join([ids for ids, _ in found]), np.int32), ",".join([s for _, s in found])
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: np.ndarray) -> bytes:
         table = self.token_bytes
-        return b"".join([table[i] for i in ids]).decode("utf-8", "replace").encode()
+        return b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace").encode()
 
 
 # --- Spark jobs ----------------------------------------------------------------
@@ -339,9 +350,22 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def lexicon_words(docs: DataFrame, text: str = "text", size: int = LEXICON_WORDS) -> list[str]:
-    """The ``size`` most frequent words of at most ``LEXICON_BYTES`` bytes."""
-    words = word_counts(docs, text).filter((F.octet_length("word") > 0) & (F.octet_length("word") <= LEXICON_BYTES))
-    return [r["word"] for r in words.orderBy(F.desc("n"), "word").limit(size).select("word").collect()]
+    """The most frequent words of at most ``LEXICON_BYTES`` bytes: those of at
+    least the lowest count that ``size`` words reach, so ``size`` at most.
+    Words are counted over all texts; the count is found from how many words
+    each count has, so no task sorts or gathers more than its own words."""
+    counts = word_counts(docs, text).filter((F.octet_length("word") > 0) & (F.octet_length("word") <= LEXICON_BYTES))
+    counts = shared(counts, "word-counts")
+    # counts above the power of two below them are rounded to a 16th of it
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2("n")) - 4, F.lit(0)))
+    level = (F.floor(F.col("n") / step) * step).cast("long")
+    least, total = None, 0
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some 16 * 60 rows
+        total += r["count"]
+        if total > size:
+            break
+        least = r["level"]
+    return [] if least is None else [r["word"] for r in counts.filter(F.col("n") >= least).select("word").collect()]
 
 
 def compile_lexicon(words: list[str], vocabulary: str, path: str) -> None:
@@ -377,7 +401,7 @@ def share_lexicon(spark: SparkSession, words: list[str], vocabulary: str) -> str
 
 
 def mapped(docs: DataFrame, vocabulary: str, keep: list[str], schema: str,
-           result: Callable[[Lexicon, list[int], str], tuple], *, text: str = "text", words: int = LEXICON_WORDS) -> DataFrame:
+           result: Callable[[Lexicon, np.ndarray, str], tuple], *, text: str = "text", words: int = LEXICON_WORDS) -> DataFrame:
     """Columns ``keep``, then what ``result`` makes of each text's ids."""
     name = share_lexicon(docs.sparkSession, lexicon_words(docs, text, words), vocabulary)
     whole = docs.select(*keep, F.col(text).alias("__text"))
@@ -396,14 +420,14 @@ def mapped(docs: DataFrame, vocabulary: str, keep: list[str], schema: str,
 
 def encode(docs: DataFrame, vocabulary: str, keep: list[str], *, text: str = "text", words: int = LEXICON_WORDS) -> DataFrame:
     """Columns ``keep`` and ``ids``, the ids of column ``text``."""
-    return mapped(docs, vocabulary, keep, "ids array<int>", lambda _, ids, __: (np.array(ids, np.int32),), text=text, words=words)
+    return mapped(docs, vocabulary, keep, "ids array<int>", lambda _, ids, __: (ids,), text=text, words=words)
 
 
 def encode_digests(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", words: int = LEXICON_WORDS) -> DataFrame:
     """``key``, ``n_tokens``, the SHA-256 of the ids in decimal, joined by
     commas, and the SHA-256 of the text that the ids decode to."""
 
-    def digests(lexicon: Lexicon, ids: list[int], written: str) -> tuple:
+    def digests(lexicon: Lexicon, ids: np.ndarray, written: str) -> tuple:
         return len(ids), hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(lexicon.decode(ids)).hexdigest()
 
     return mapped(docs, vocabulary, [key], "n_tokens long, ids_sha256 string, decoded_sha256 string", digests, text=text, words=words)
