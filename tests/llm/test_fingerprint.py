@@ -1,6 +1,6 @@
 import hashlib
 
-from conftest import shingles
+from llm.conftest import shingles
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import fingerprint as P

@@ -3,7 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
-from conftest import shingles
+from llm.conftest import shingles
 
 from ledgerlens.llm import minhash as M
 from ledgerlens.llm.components import components

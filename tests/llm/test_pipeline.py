@@ -1,9 +1,9 @@
 import hashlib
 
 import corpus_pipeline as C
-from conftest import shingles
-from test_minhash import brute as near
-from test_suffix_dedup import brute as repeats
+from llm.conftest import shingles
+from llm.test_minhash import brute as near
+from llm.test_suffix_dedup import brute as repeats
 from tokenizers import Tokenizer
 
 from __spark_entry__ import queries
