@@ -14,7 +14,8 @@ weights under those symbols; a text scores the sum of its clauses less what its
 length alone leads one to expect, through a logistic function.  Clauses without
 an insult or threat are not read.
 
-What is learned, from a bounded sample of labelled rows: the insults (whole
+What is learned, from the distinct texts of a bounded sample of labelled rows
+(copies of a text count once, as toxic if any is labelled so): the insults (whole
 words or word beginnings that mark the toxic rows, by greedy cover), their
 weights, and the weights of the output symbols.
 
@@ -39,9 +40,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import column, map_arrow, shared, slices, texts
 
-#: Labelled rows that the grammar is fitted on at most, and word beginnings
-#: that are looked at.
-FIT_ROWS, CANDIDATES = 20_000, 1_500
+#: Labelled rows that the grammar is fitted on at most.
+FIT_ROWS = 20_000
 #: Words between a negation or target and what it marks.
 REACH = 3
 #: Held-out fold of the labelled rows: crc32 of the id's text, modulo 5.
@@ -230,24 +230,35 @@ def held_out(key: str) -> F.Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """``id``, ``text``, ``toxic`` of at most ``rows`` labelled rows outside the
-    held-out fold, those with the smallest hashes of their ids."""
+    """``row``, ``text``, ``toxic`` of the distinct texts of at most ``rows``
+    labelled rows outside the held-out fold, those with the smallest hashes of
+    their ids; ``row`` is the text's hash."""
     known = (labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out("doc_id"))
              .groupBy(F.col("doc_id").alias("id")).agg((F.max("toxic") > 0).cast("int").alias("toxic")))
     chosen = shared(known.orderBy(F.xxhash64("id"), "id").limit(rows), "toxic-labels")
     texts_ = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return shared(texts_.join(F.broadcast(chosen), "id"), "toxic-rows")
+    once = texts_.join(F.broadcast(chosen), "id").groupBy("text").agg(F.max("toxic").alias("toxic"))
+    return shared(once.select(F.xxhash64("text").alias("row"), "text", "toxic"), "toxic-rows")
 
 
 def greedy_cover(has: np.ndarray, toxic: np.ndarray, stems: list[str], least: float = 3.0) -> list[int]:
-    """Stems that mark the toxic rows, best first.  A row counts half as much
-    for each stem chosen that it already has, so words that only come along with
-    others, as in copies of one text, gain little; a beginning or continuation
-    of a chosen stem counts only where the chosen one is not."""
-    weight, has = toxic.astype(float), has > 0
+    """:func:`cover` of a matrix of rows and stems."""
+    return cover(*np.nonzero(has), toxic.astype(float), stems, least)
+
+
+def cover(row: np.ndarray, stem: np.ndarray, weight: np.ndarray, stems: list[str], least: float = 3.0) -> list[int]:
+    """Stems that mark the toxic rows, best first; ``row`` and ``stem`` are the
+    pairs of a row and a stem in it.  A row counts half as much for each stem
+    chosen that it already has, so words that only come along with others gain
+    little; a beginning or continuation of a chosen stem counts only where the
+    chosen one is not."""
+    by = np.argsort(stem, kind="stable")
+    row, stem = row[by], stem[by]
+    first = np.searchsorted(stem, np.arange(len(stems) + 1))
+    live = np.ones(len(row), bool)
     chosen: list[int] = []
     while len(stems):
-        gain = weight @ has
+        gain = np.bincount(stem, weight[row] * live, len(stems))
         gain[chosen] = 0
         best = int(gain.argmax())
         if gain[best] < least:
@@ -255,10 +266,15 @@ def greedy_cover(has: np.ndarray, toxic: np.ndarray, stems: list[str], least: fl
         longer = [i for i, s in enumerate(stems) if s.startswith(stems[best]) and gain[i] >= 0.97 * gain[best]]
         best = max(longer, key=lambda i: len(stems[i]))
         chosen.append(best)
-        weight = np.where(has[:, best], weight / 2, weight)
+        own = slice(first[best], first[best + 1])
+        marked = np.zeros(len(weight), bool)
+        marked[row[own][live[own]]] = True
+        weight = np.where(marked, weight / 2, weight)
         name = stems[best].rstrip("$")
-        kin = [i for i, s in enumerate(stems) if i != best and (s.startswith(name) or name.startswith(s.rstrip("$")))]
-        has[:, kin] &= ~has[:, [best]]
+        for i, s in enumerate(stems):
+            if i != best and (s.startswith(name) or name.startswith(s.rstrip("$"))):
+                kin = slice(first[i], first[i + 1])
+                live[kin] &= ~marked[row[kin]]
     return chosen
 
 
@@ -283,35 +299,35 @@ def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, pull: float = 1.0)
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Learn a model from labelled rows outside the held-out fold.  What comes
-    to the driver is bounded by ``rows`` and ``CANDIDATES``."""
+    to the driver is bounded by ``rows``: the toxic texts' pairs with the stems
+    that mark them."""
     sample = training_rows(docs, labels, rows)
     size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not size.get(1):
         return Model()
     pos, neg = size[1], size.get(0, 0)
     words = shared(
-        sample.select("id", "toxic", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
-        .filter(F.length("word") >= 3).groupBy("id", "toxic", "word").agg(F.count("*").alias("c")), "toxic-words")
-    counts = words.groupBy("word").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n"))
+        sample.select("row", "toxic", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
+        .filter(F.length("word") >= 3).groupBy("row", "toxic", "word").agg(F.count("*").alias("c")), "toxic-words")
+    of = lambda toxic, x: F.sum(F.when(F.col("toxic") == toxic, x).otherwise(0))
+    counts = words.groupBy("word").agg(of(1, F.lit(1)).alias("p"), of(0, F.lit(1)).alias("n"), of(1, F.col("c")).alias("cp"), of(0, F.col("c")).alias("cn"))
     begin = F.transform(F.sequence(F.lit(3), F.least(F.length("word"), F.lit(10))), lambda n: F.substring("word", F.lit(1), n))
-    stems = counts.select("word", "p", "n", F.explode(F.concat(begin, F.array(F.concat("word", F.lit("$"))))).alias("stem"))
+    stems = counts.select("*", F.explode(F.concat(begin, F.array(F.concat("word", F.lit("$"))))).alias("stem"))
     rare = neg / (10.0 * pos)  # clean rows with the stem for each toxic one
-    good = (stems.groupBy("stem").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).filter((F.col("p") >= 4) & (F.col("n") <= F.col("p") * rare))
-            .orderBy(F.desc("p"), "stem").limit(CANDIDATES))
-    chosen = shared(good, "toxic-stems")
-    pairs = stems.join(F.broadcast(chosen.select("stem")), "stem").select("word", "stem")
-    has_rows = (words.join(pairs, "word").groupBy("id", "toxic", "stem").agg(F.sum("c").alias("c"))
-                .groupBy("id", "toxic").agg(F.collect_list(F.struct("stem", "c")).alias("stems")).collect())
+    good = (stems.groupBy("stem").agg(*[F.sum(x).alias(x) for x in ("p", "n", "cp", "cn")])
+            .filter((F.col("p") >= 4) & (F.col("n") <= F.col("p") * rare)).select("stem", "cp", "cn"))
+    good = shared(good, "toxic-stems")
+    pairs = stems.select("word", "stem").join(good, "stem")
+    marks = (words.filter("toxic = 1").join(pairs, "word").groupBy("stem", "cp", "cn").agg(F.collect_set("row").alias("rows"))
+             .toArrow().sort_by("stem"))
     size_ = {r["toxic"]: r["c"] for r in words.groupBy("toxic").agg(F.sum("c").alias("c")).collect()}
-    names = sorted({s["stem"] for r in has_rows for s in r["stems"]})
-    place = {s: i for i, s in enumerate(names)}
-    has, toxic = np.zeros((len(has_rows), len(names)), np.float32), np.zeros(len(has_rows))
-    for i, r in enumerate(sorted(has_rows, key=lambda r: r["id"])):
-        has[i, [place[s["stem"]] for s in r["stems"]]] = [s["c"] for s in r["stems"]]
-        toxic[i] = r["toxic"]
+    names, of_toxic, of_clean = (marks.column(x).to_pylist() for x in ("stem", "cp", "cn"))
+    rows_of = marks.column("rows").combine_chunks()
+    toxic_rows, row = np.unique(rows_of.flatten().to_numpy(), return_inverse=True)
+    stem = np.repeat(np.arange(len(names)), rows_of.value_lengths().to_numpy())
     insults = {}
-    for i in greedy_cover(has, toxic, names):
-        p, n = float(has[toxic == 1, i].sum()), float(has[toxic == 0, i].sum())
+    for i in cover(row, stem, np.ones(len(toxic_rows)), names):
+        p, n = float(of_toxic[i]), float(of_clean[i])
         insults[names[i]] = float(np.log((p + 0.5) / (size_.get(1, 0) + 1)) - np.log((n + 0.5) / (size_.get(0, 0) + 1)))
     insults = {k: v for k, v in insults.items() if v > 0}
     model = Model(insults)
@@ -320,9 +336,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         scorer = Scorer(model)
         for piece in slices(batches, "text"):
             found = [scorer.features(t).tolist() for t in texts(column(piece, "text"))]
-            yield pa.RecordBatch.from_arrays([column(piece, "id"), column(piece, "toxic"), pa.array(found, pa.list_(pa.float64()))], ["id", "toxic", "x"])
+            yield pa.RecordBatch.from_arrays([column(piece, "row"), column(piece, "toxic"), pa.array(found, pa.list_(pa.float64()))], ["row", "toxic", "x"])
 
-    rows_ = sorted(map_arrow(sample.select("id", "toxic", "text"), read, "id long, toxic int, x array<double>").collect(), key=lambda r: r["id"])
+    rows_ = sorted(map_arrow(sample.select("row", "toxic", "text"), read, "row long, toxic int, x array<double>").collect(), key=lambda r: r["row"])
     prior = np.array([*model.factors.values(), model.length, model.density, model.constant])
     w = logistic(np.array([r["x"] for r in rows_]), np.array([r["toxic"] for r in rows_], float), prior)
     return Model(insults, dict(zip(model.factors, w[:-3].tolist(), strict=True)), *w[-3:].tolist())

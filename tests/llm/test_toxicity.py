@@ -71,6 +71,16 @@ def test_labels_of_the_held_out_fold_are_not_read(spark, table):
     assert list(model.insults) == ["grault$"] and T.Scorer(model).score("a grault here") > 0.5
 
 
+def test_copies_of_a_long_text_hide_no_insult(spark, table):
+    rng = np.random.default_rng(5)
+    long = " ".join("".join(rng.choice(list("abcdefghijklm"), 9)) for _ in range(900))
+    texts = [long] * 100 + [f"clean {i}" for i in range(300)] + [f"mean {i} grault" for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i < 100 or i >= 400)) for i in range(460)], "doc_id long, toxic int")
+    model = T.fit(table(texts), labels)
+    assert "grault$" in model.insults and not set(model.insults) & {w + "$" for w in long.split()}
+    assert T.Scorer(model).score("a grault here") > 0.5
+
+
 def test_defined_cases(spark, table):
     docs = table([None, "", "you idiot", "you idiot", "idiot " * 30_000], [None, 2, 3, 3, 4])
     out = T.scored(docs, MODEL, ["doc_id", "copy", "SCORE"]).collect()
