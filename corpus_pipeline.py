@@ -52,9 +52,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").select(*COLUMNS)
+    """One row of each group of near-duplicates, that with the smallest id.
+
+    Rows are linked by a number of their own, written with them so that every
+    scan sees the same one: ids can be null or repeated.  A null id comes after
+    all others; rows without a word, which are linked with nothing, are one
+    where id and text are equal."""
+    rows = shared(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "pipeline-rows")
+    words = F.col("n_shingles") > 0
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "hash", "row")
+    names = rows.select("row", "doc_id", F.xxhash64(*COLUMNS).alias("hash"), F.md5("text").alias("digest"))
+    kept = (near_duplicates(rows, key="row").withColumnRenamed("row", "linked").hint("merge").join(names, F.col("linked") == F.col("row"))
+            .groupBy(F.when(words, F.col("component_id")), F.when(~words, F.col("doc_id")), F.when(~words, F.col("digest")), words)
+            .agg(F.min(order).alias("least")).select(F.col("least.row").alias("row")))
+    return rows.join(kept.hint("merge"), "row", "left_semi").select(*COLUMNS)
 
 
 @stage
