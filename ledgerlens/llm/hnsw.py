@@ -8,18 +8,21 @@ both ways.  Queries stream through every shard in blocks, each shard returns
 its nearest candidates with their exact cosine, and these are merged.
 
 Equal vectors are one node that keeps its ``k + 1`` smallest ids, as no query
-needs more of them; a large group of copies spreads over all shards.
+needs more of them; a large group of copies spreads over all shards.  Rows that
+repeat an id with the same vector are made one before they are dealt.
 
 Defined cases: null and empty vectors, zero vectors and those with a null or
 non-finite component take no part, neither as query nor as candidate; a query
-meets only vectors of its own dimension; null ids take no part; rows of one id
-are candidates each, and a query leaves out all rows of its own id; queries
-without a candidate have no row; other columns are ignored; an empty table
-gives an empty result.
+meets only vectors of its own dimension; null ids take no part; repeated rows
+of one id and vector count once, while different vectors of one id are
+candidates each, and ask together, each candidate by its best score; a query
+leaves out all rows of its own id; queries without a candidate have no row;
+other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import column, map_arrow
+from ledgerlens.llm.common import column, map_arrow, shared
 
 SHARD_ROWS = 16_384
 #: Links of a node above the lowest level (twice as many there), candidates
@@ -189,6 +192,11 @@ def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
+def node_keys(vectors: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each vector's bytes."""
+    return np.array([int.from_bytes(hashlib.blake2b(v.tobytes(), digest_size=8).digest(), "little", signed=True) for v in vectors], np.int64)
+
+
 class Shard:
     """A shard's graph with the ids of each distinct vector."""
 
@@ -200,6 +208,7 @@ class Shard:
         self.vectors = vectors[first]
         by = np.argsort(node, kind="stable")
         rank = np.arange(len(by)) - np.searchsorted(node[by], node[by])
+        self.key = node_keys(self.vectors)
         self.ids = np.full((len(first), k + 1), -1, np.int64)
         self.held = np.zeros((len(first), k + 1), bool)
         small = rank <= k
@@ -208,19 +217,20 @@ class Shard:
         self.k, self.graph = k, Graph(_unit(self.vectors))
 
     def nearest(self, ids: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, ...]:
-        """Query id, candidate id and cosine: the ``k`` nearest of each query."""
+        """Query id, candidate id, key of its vector and cosine: the ``k`` nearest
+        of each query."""
         found = self.graph.search(_unit(queries), beam)
         q, c = np.nonzero(found >= 0)
         node = found[q, c]
         score = _cosine(queries[q], self.vectors[node])
         each = self.held[node].sum(axis=1)
-        q, score, node_ids = np.repeat(q, each), np.repeat(score, each), self.ids[node][self.held[node]]
+        q, score, node_ids, keys = np.repeat(q, each), np.repeat(score, each), self.ids[node][self.held[node]], np.repeat(self.key[node], each)
         other = node_ids != ids[q]
-        q, score, node_ids = q[other], score[other], node_ids[other]
+        q, score, node_ids, keys = q[other], score[other], node_ids[other], keys[other]
         order = np.lexsort((node_ids, -score, q))
-        q, score, node_ids = q[order], score[order], node_ids[order]
+        q, score, node_ids, keys = q[order], score[order], node_ids[order], keys[order]
         top = np.arange(len(q)) - np.searchsorted(q, q) < self.k
-        return ids[q[top]], node_ids[top], score[top]
+        return ids[q[top]], node_ids[top], keys[top], score[top]
 
 
 def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 5, *, key: str = "vec_id", vector: str = "embedding",
@@ -230,8 +240,13 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 5, *, key:
     spark = vectors.sparkSession
     rows = (vectors.filter(_usable(vector) & F.col(key).isNotNull())
             .select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"), F.size(vector).alias("dim"), queries.alias("query")))
+    number = lambda: rows.groupBy("dim", "id").count().groupBy("dim").agg(F.sum("count").alias("count"), F.max("count").alias("most")).collect()
+    found = number()  # one row per dimension
+    if any(r["most"] > 1 for r in found):  # ids with several rows: those of one vector are one
+        rows = shared(rows.groupBy("id", "vector", "dim").agg(F.max("query").alias("query")), "neighbour-rows")
+        found = number()
     sizes, total = [], 0
-    for r in sorted(rows.groupBy("dim").count().collect()):  # one row per dimension
+    for r in sorted(found):
         shards = -(-r["count"] // shard_rows)
         sizes.append((r["dim"], total, shards))
         total += shards
@@ -258,8 +273,9 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 5, *, key:
                 if shard is None:
                     shard = Shard(np.concatenate([i for i, _ in held]), np.concatenate([x for _, x in held]), k)
                 got = shard.nearest(ids[at:at + BATCH], v[at:at + BATCH], beam)
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, got)), ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, got)), ["query_id", "vec_id", "key", "score"])
 
-    found = map_arrow(dealt, answer, "query_id long, vec_id long, score double").distinct()
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = map_arrow(dealt, answer, "query_id long, vec_id long, key long, score double")
+    found = found.groupBy("query_id", "vec_id", "key").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "key")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -48,6 +48,24 @@ def test_shards_and_copies_give_the_exact_answer_on_a_small_table(spark):
     assert sum(set(got[q]) == {i for i, _ in want[q]} for q in want) >= 0.95 * len(want)
 
 
+def test_repeated_rows_take_no_places(spark):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(300, 8)).astype(np.float32)
+    vectors[100:130] = vectors[7]  # copies under other ids
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    once = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    more = spark.createDataFrame([r for i, r in enumerate(rows) for _ in range(7 if i % 3 else 2)], once.schema)
+    plain, repeated = ([tuple(r) for r in H.nearest_neighbours(df, F.col("vec_id") % 10 == 0, 5, shard_rows=1000).orderBy("query_id", "rank").collect()]
+                       for df in (once, more))
+    assert repeated == plain and len(plain) == 30 * 5
+
+
+def test_vectors_of_one_id_are_candidates_each(spark):
+    rows = [(0, [1.0, 0.0]), *((1, [float(n), 0.0]) for n in (1, 2, 3)), (2, [1.0, 1.0]), (3, [0.0, 1.0])]
+    out = H.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 4)
+    assert [r["vec_id"] for r in out.orderBy("rank").collect()] == [1, 1, 1, 2]
+
+
 def test_graph_arrays(spark):
     v = H._unit(np.random.default_rng(1).normal(size=(3000, 16)))
     g = H.Graph(v)
