@@ -12,7 +12,10 @@ is read; nothing is shuffled.
 
 Defined cases: a null body counts as empty; a null address gives a record
 without ``WARC-Target-URI``; repeated responses give repeated derivatives;
-other columns are ignored; an empty input gives no record.
+other columns are ignored; an empty input gives no record; a head ends at its
+end tag or at the first thing that cannot stand in a head; of a hidden element
+without an end tag only the tag is left out, but script and style hide the rest
+of the page, as in a browser.
 """
 
 from __future__ import annotations
@@ -49,8 +52,12 @@ HTTP_TYPE = "application/http; msgtype=response"
 BREAKS = ("address article aside blockquote body br dd div dl dt fieldset footer form h1 h2 h3 h4 h5 h6 head header hr "
           "html li main nav ol option p pre section select table tbody td tfoot th thead title tr ul").split()
 HIDDEN = "script style noscript template head iframe object".split()
+TO_THE_END = {"script", "style"}  # without an end tag
 
-_GONE = re.compile(r"<!--.*?(?:-->|$)|<(%s)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*(?:>|$)" % "|".join(HIDDEN), re.I | re.S)
+_GONE = re.compile(r"<!--.*?(?:-->|$)|<(%s)\b[^>]*>|<[!?][^>]*(?:>|$)" % "|".join(HIDDEN), re.I | re.S)
+_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in HIDDEN}
+_IN_HEAD = re.compile(r"""\s+|<!--.*?-->|<(title|style|script|noscript|template|noframes)\b[^>]*>.*?</\1\s*>|<(?:base|basefont|bgsound|head|link|meta)\b[^>]*>
+                          |</(?!(?:head|body|html|br)\b)[a-z][^>]*>|<[!?](?!--)[^>]*>""", re.I | re.S | re.X)
 _BREAK = re.compile(r"</?(?:%s)\b[^>]*(?:>|$)" % "|".join(BREAKS), re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^>]*(?:>|$)")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|$)", re.I | re.S)
@@ -67,9 +74,30 @@ def derived_id(source: str, kind: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind}:{source}')}>"
 
 
+def without_hidden(page: str) -> str:
+    """The page with a space for each comment, declaration and hidden element."""
+    out, at, endless = [], 0, set()
+    while found := _GONE.search(page, at):
+        out += page[at:found.start()], " "
+        at, name = found.end(), (found[1] or "").lower()
+        if name == "head":
+            while part := _IN_HEAD.match(page, at):
+                at = part.end()
+            if end := _END[name].match(page, at):
+                at = end.end()
+        elif name and name not in endless:
+            if end := _END[name].search(page, at):
+                at = end.end()
+            elif name in TO_THE_END:
+                at = len(page)
+            else:
+                endless.add(name)
+    return "".join([*out, page[at:]])
+
+
 def plain_text(page: str) -> str:
     """Visible text, one line per block, white space inside a line collapsed."""
-    page = _TAG.sub("", _BREAK.sub("\x00", _GONE.sub(" ", page.replace("\x00", " "))))
+    page = _TAG.sub("", _BREAK.sub("\x00", without_hidden(page.replace("\x00", " "))))
     lines = (" ".join(html.unescape(line).split()) for line in page.split("\x00"))
     return "\n".join(line for line in lines if line)
 

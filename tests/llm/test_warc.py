@@ -74,3 +74,14 @@ def test_plain_text():
     page = "<!-- <p>no --><head><TITLE>t</TITLE></head><b>a</b>b<br>c<td>d &lt;e&gt; &#233;\n f<style>x"
     assert warc.plain_text(page) == "ab\nc\nd <e> é f"
     assert html.unescape("&lt;") == "<"
+
+
+def test_unclosed_elements_hide_no_text():
+    head = "<html><head><meta charset=utf-8><title>t</title><script>'</head>'</script><!-- <p> --><link rel=x>\n"
+    for rest in ("</head><body><p>a", "<body><p>a", "<p>a", "a", "</HEAD >a", "<BODY class=x>a</body>"):
+        assert warc.plain_text(head + rest) == "a"
+    assert warc.plain_text("<head><title>t</title><header>a</header>b") == "a\nb"
+    for name in ("object", "iframe", "noscript", "template"):
+        assert warc.plain_text(f"a<{name} class=x> b<p>c<{name}>d") == "a b\nc d"
+        assert warc.plain_text(f"a<{name}>x</{name}>b") == "a b"
+    assert warc.plain_text("a<script>b") == "a" and warc.plain_text("<object>" * 50_000 + "b") == "b"
