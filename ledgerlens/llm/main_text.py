@@ -13,7 +13,9 @@ into other containers, among notices, forms, adverts, sidebars and comments.
 
 Defined cases: null and empty pages have the empty text; a page without a
 block, or whose blocks are all labelled other, has the empty text; cut-off and
-unclosed markup is read to the end; repeated rows give repeated results; other
+unclosed markup is read to the end, only script, style, title, textarea and
+iframe without an end tag hide what follows, as in a browser; math and the text
+in an object are read as part of their block; repeated rows give repeated results; other
 columns are ignored; an empty table gives an empty result; without a page to
 learn from, blocks of ``article`` and ``main`` elements are the text.
 """
@@ -40,13 +42,19 @@ BLOCK = set("""address article aside blockquote body button caption center dd de
 figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section
 select summary table tbody td tfoot th thead title tr ul""".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style title textarea noscript template iframe svg math object head select".split())
+RAW = set("script style title textarea iframe".split())
+#: Elements that are left out if they have an end tag; else only their start tag.
+HIDDEN = set("noscript template svg head select".split())
+FOREIGN = {"svg", "math"}  # elements that a start tag in /> closes
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 _END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in RAW}
+_PAIR = {tag: re.compile(rf"""<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\b|\Z)|<(/?){tag}(?=[\s/>])((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)""", re.I | re.S)
+         for tag in HIDDEN}
+_BODY = re.compile(r"<body\b", re.I)
 
 
 @dataclass
@@ -57,12 +65,27 @@ class Block:
     linked: int  # characters inside links
 
 
+def closed(page: str, name: str) -> dict[int, int]:
+    """Where the elements of a name that have an end tag begin and end."""
+    out, open_ = {}, []
+    for found in _PAIR[name].finditer(page):
+        if found[3] is None:
+            continue
+        if not found[2]:
+            if not (name in FOREIGN and found[3].endswith("/")):
+                open_.append(found.start())
+        elif open_:
+            out[open_.pop()] = found.end()
+    return out
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The blocks of a page in order; hidden elements are left out."""
     out: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = []
     parts: list[str] = []
     linked, links = 0, 0
+    ends: dict[str, dict[int, int]] = {}
 
     def flush() -> None:
         nonlocal parts, linked
@@ -103,16 +126,22 @@ def leaf_blocks(page: str) -> list[Block]:
                 drop(depth)
             continue
         if name in RAW:
-            if name in BLOCK or name == "head":
+            if name in BLOCK:
                 flush()
             end = _END[name].search(page, at)
-            if name == "head":  # an unclosed head ends where the body begins
-                body = re.compile(r"<body\b", re.I).search(page, at)
-                if not end or (body and body.start() < end.start()):
-                    at = body.start() if body else len(page)
-                    continue
             at = end.end() if end else len(page)
             continue
+        empty = found[3].endswith("/") and (name in FOREIGN or any(t == "math" for t, _ in stack))
+        if name in HIDDEN:
+            if name in BLOCK or name == "head":
+                flush()
+            if not empty:
+                if name not in ends:
+                    ends[name] = closed(page, name)
+                end = ends[name].get(found.start(), at)
+                if name != "head" or not _BODY.search(page, at, end):  # an unclosed head ends where the body begins
+                    at = end
+            continue
         if name == "br":
             parts.append(" ")
             continue
@@ -126,7 +155,7 @@ def leaf_blocks(page: str) -> list[Block]:
                     break
                 if stack[depth][0] in ("ul", "ol", "dl", "table", "select"):
                     break
-        if name not in VOID:
+        if name not in VOID and not empty:
             words = frozenset(w for a in _NAMED.findall(found[3]) for w in _PART.findall("".join(a).lower())) if found[3] else frozenset()
             if links and name == "a":
                 drop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "a"))

@@ -82,3 +82,17 @@ def test_defined_cases(spark):
     assert [(r["page_id"], r["n_chars"]) for r in out] == [(1, 0), (2, 0), (2, 0), (3, 99_999), (4, 0)]
     assert M.extracted(pages.limit(0), M.fit(pages.limit(0)), ["page_id"]).collect() == []
     assert M.fit(pages.filter("page_id < 3")) is M.PLAIN
+
+
+def test_unclosed_and_empty_elements_hide_no_text():
+    read = lambda page: [b.text for b in M.leaf_blocks(page)]
+    for tag in ("<svg class=icon/>", "<svg/>", "<math/>", "<svg>", "<noscript>", "<template>", "<object data=x>", "<math>"):
+        assert read(f"<article><p>a {tag} b</p><p>c</p></article>") == ["a b", "c"]
+        assert read(f"<article><p>a {tag} b</p><p>c</p></article><footer>d<svg><title>x</title></svg>e</footer>") == ["a b", "c", "de"]
+    assert read("<p>a<select class=x><p>b</p>") == ["a", "b"] and read("<p>a<select><option>x</select>b") == ["a", "b"]
+    assert read("<p>a<svg><svg>x</svg><svg/>y</svg>b<noscript>z</noscript>c") == ["abc"]
+    assert read("<p>So <math><mi>x</mi><mspace/><mo>=</mo><mn>2</mn></math> here.") == ["So x=2 here."]
+    assert read("<p>See <object data=x><param name=y>the <b>film</b></object>.") == ["See the film."]
+    assert read("<head><title>t</title><p>a") == ["a"] and read("<head><title>t</title></head>a<body>b") == ["a", "b"]
+    assert read("<p>a<script>b") == ["a"] and read("<p>a" + "<svg>" * 50_000 + "b") == ["ab"]
+    assert M.leaf_blocks("<math><p>x</p></math><p>y</p>")[-1].tags == ("p",)
