@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import main_text
+from ledgerlens.llm import conversation, main_text
 from ledgerlens.llm.bpe import encode_digests
 from ledgerlens.llm.common import read_table
 from ledgerlens.llm.fingerprint import edited_likeness
@@ -68,6 +68,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(read_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.conversation_audits(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_files": op2_token_files,
@@ -79,9 +83,11 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_fingerprints": op10_fingerprints,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 ORACLES = {
+    "op11_conversation_repair": conversation.ORACLE,
     "op1_mix_sources": f"""
 WITH sizes AS (SELECT source, sum(length(coalesce(text, '')))::DOUBLE AS size FROM documents GROUP BY source),
 rates AS (
