@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import conversation, main_text
+from ledgerlens.llm import conversation, lexical, main_text
 from ledgerlens.llm.bpe import encode_digests
 from ledgerlens.llm.common import read_table
 from ledgerlens.llm.fingerprint import edited_likeness
@@ -72,6 +72,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.conversation_audits(read_table(spark, sf_dir, "conversations"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), 20)
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_files": op2_token_files,
@@ -84,10 +88,12 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_fingerprints": op10_fingerprints,
     "op11_conversation_repair": op11_conversation_repair,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES = {
     "op11_conversation_repair": conversation.ORACLE,
+    "op13_lexical_search": lexical.ORACLE,
     "op1_mix_sources": f"""
 WITH sizes AS (SELECT source, sum(length(coalesce(text, '')))::DOUBLE AS size FROM documents GROUP BY source),
 rates AS (
