@@ -13,6 +13,7 @@ from ledgerlens.llm.fingerprint import edited_likeness
 from ledgerlens.llm.hnsw import nearest_neighbours
 from ledgerlens.llm.minhash import near_duplicates
 from ledgerlens.llm.mixing import mix
+from ledgerlens.llm.packing import packed_documents
 from ledgerlens.llm.suffix_dedup import removal_digests
 from ledgerlens.llm.token_files import token_file_digests
 from ledgerlens.llm.toxicity import fit, held_out, scored
@@ -72,6 +73,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.conversation_audits(read_table(spark, sf_dir, "conversations"))
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024, 2)
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), 20)
 
@@ -88,6 +93,7 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_fingerprints": op10_fingerprints,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_best_fit_packing": op12_best_fit_packing,
     "op13_lexical_search": op13_lexical_search,
 }
 
