@@ -6,8 +6,8 @@ decimal digits and single underscores between digits; it rejects ``1.5``,
 and reject underscores, so a guard decides first and the cast only converts.
 
 Values are ``decimal(38,0)``: ledger amounts (18-decimal coin units) overflow
-``bigint`` once summed.  A literal with more than 38 significant digits is an
-``overflow`` rather than a silent null.
+``bigint`` once summed.  An integer with more than 38 significant digits is
+``overflow`` rather than a silent null; :func:`wide_int` has its digits.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.wide import canonical
+
 INT_TYPE = "decimal(38,0)"
 
 # int() strips every str.isspace() character except the four information
@@ -99,3 +101,10 @@ def int_status(col: Column, value: Column | None = None) -> Column:
         .when(col.rlike(_PLAIN) | col.rlike(_full_guard()), F.lit("overflow"))
         .otherwise(F.lit("not_integer"))
     )
+
+
+def wide_int(col: Column, value: Column) -> Column:
+    """Canonical digits of ``int(col)`` where ``value``, its ``python_int``, is
+    null for width; else null."""
+    plain, other = col.rlike(_PLAIN), col.rlike(_full_guard())
+    return F.when(value.isNull(), F.when(plain, canonical(col)).when(other, canonical(_normalise(col))))

@@ -11,36 +11,49 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SECONDS_PER_DAY = 86400
+# The Gregorian calendar repeats every 400 years of 146097 days; counted from
+# 1 March of year 0, day 719468 before 1970, leap days end their years.
+_ERA_DAYS, _EPOCH_DAY = 146097, 719468
 
-# Epochs whose day number fits Spark's date type (32 bits), years of about
-# +-5.8 million; a calendar conversion fails beyond that.
-MAX_EPOCH = (2 ** 31 - 1) * SECONDS_PER_DAY
-MIN_EPOCH = -MAX_EPOCH
+# Epochs that gmtime and strftime take: the years of a C int, from 1900 on in
+# a broken-down time below and as a plain number above.
+MIN_EPOCH = -67768040609740800
+MAX_EPOCH = 67767976233532799
 
 
 def epoch_in_range(epoch: Column) -> Column:
     return epoch.between(F.lit(MIN_EPOCH), F.lit(MAX_EPOCH))
 
 
+def _div(a: Column, b: int) -> Column:
+    return F.call_function("div", a, F.lit(b))
+
+
 def month_index(epoch: Column) -> Column:
-    """``year * 12 + month - 1`` of a UTC epoch-seconds value (int).
+    """``year * 12 + month - 1`` of a UTC epoch-seconds value (bigint).
 
     Callers evaluate it only for epochs inside ``MIN_EPOCH..MAX_EPOCH`` (under
-    a ``when``), so the value fits a bigint and the day number is computed in
-    long arithmetic rather than decimal division.
+    a ``when``).  The civil date is whole-number arithmetic on the day of a
+    400-year era: Spark's date type ends at 32-bit day numbers.
     """
     seconds = epoch.cast("bigint")
-    day = F.date_from_unix_date(F.floor(seconds / F.lit(SECONDS_PER_DAY)).cast("int"))
-    return F.year(day) * 12 + F.month(day) - 1
+    day = _div(seconds - F.pmod(seconds, F.lit(SECONDS_PER_DAY)), SECONDS_PER_DAY) + _EPOCH_DAY
+    in_era = F.pmod(day, F.lit(_ERA_DAYS))
+    era = _div(day - in_era, _ERA_DAYS)
+    year = _div(in_era - _div(in_era, 1460) + _div(in_era, 36524) - _div(in_era, _ERA_DAYS - 1), 365)
+    in_year = in_era - (year * 365 + _div(year, 4) - _div(year, 100))
+    march = _div(in_year * 5 + 2, 153)  # months since March
+    # March of a year is month 2 of twelve; January and February end the count
+    return (era * 400 + year) * 12 + march + 2
 
 
 def month_label(index: Column) -> Column:
     """The strftime("%Y - %m") label of a month index: ``"yyyy - MM"``, with
     the year in as many digits as it has."""
-    year = F.floor(index / 12).cast("int")
-    month = (index - year * 12 + 1).cast("int")
+    month = F.pmod(index, F.lit(12))
+    year = _div(index - month, 12)
     return F.concat(
-        year.cast("string"), F.lit(" - "), F.lpad(month.cast("string"), 2, "0")
+        year.cast("string"), F.lit(" - "), F.lpad((month + 1).cast("string"), 2, "0")
     )
 
 

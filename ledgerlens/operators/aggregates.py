@@ -1,17 +1,32 @@
 """Per-key counts, exact sums and means.
 
-Every aggregate is one ``groupBy().agg()``: Catalyst plans a partial
-(map-side) aggregate, one shuffle of partial rows and a final aggregate, so a
-hot key costs one partial row per task rather than its raw rows.  Counts that
-the original jobs gathered to the driver and broadcast back are computed in
-the same aggregate as the sum.
+Integers are summed chunk by chunk (``functions.wide``), so a sum is exact
+whatever the width of its values; it is text, canonical digits.  Rows are first
+folded per key and chunk: Catalyst plans a partial (map-side) aggregate, one
+shuffle of partial rows and a final aggregate, so a hot key costs one partial row
+per task rather than its raw rows, and nearly always there is one chunk.  The
+chunks of a key, as many as its widest value has, then meet in a second, small
+shuffle where carries run.  Counts that the original jobs gathered to the driver
+and broadcast back are part of the same aggregate.
+
+A value is named by its column: a ``decimal(38,0)`` one with the wider values in
+text in a column ``<name>_wide`` beside it, if there is one, or a text column of
+canonical integers such as an earlier sum.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.wide import carried, chunks, quotient
+
+CHUNK = "_i"
+WIDE = "_wide"
+INTEGER = {"integer": True}  # metadata of a text column that holds integers
+
 
 def exact_sum(v: Column) -> Column:
     """``sum(v)`` that fails instead of returning null when it overflows.
@@ -25,33 +40,92 @@ def exact_sum(v: Column) -> Column:
         F.lit("exact sum overflows its type"))).otherwise(F.sum(v))
 
 
+def times(v: Column, w: Column) -> Column:
+    """``v * w``; raises where the product overflows, in both ANSI modes (a null
+    product would otherwise be skipped by the sum)."""
+    product = v * w
+    return F.when(product.isNull() & v.isNotNull() & w.isNotNull(), F.raise_error(
+        F.lit("weighted value overflows its type"))).otherwise(product)
+
+
 def _cols(keys) -> list:
     return [keys] if isinstance(keys, (str, Column)) else list(keys)
 
 
+def value_columns(df: DataFrame, value: str) -> list[str]:
+    """Columns that hold a value: its own, and that of its wide rest."""
+    return [value, value + WIDE] if value + WIDE in df.columns else [value]
+
+
+def _chunks(df: DataFrame, value: str) -> Column:
+    kind = dict(df.dtypes)[value]
+    if kind == "string":
+        return chunks(F.lit(None).cast("decimal(38,0)"), F.col(value))
+    wide = F.col(value + WIDE) if value + WIDE in df.columns else None
+    return chunks(F.col(value).cast("decimal(38,0)"), wide)
+
+
+def chunk_rows(df: DataFrame, keys: Sequence, values: Mapping[str, str], counts: Mapping[str, Column],
+               weight: Column | None = None) -> DataFrame:
+    """A row (keys, chunk number, chunk of each value, counts) for every chunk of
+    every row's widest value; counts stand in the first.  ``weight`` multiplies
+    the values."""
+    parts = {name: _chunks(df, column) for name, column in values.items()}
+    scaled = lambda limb: limb if weight is None else F.when(weight == 1, limb.cast("decimal(38,0)")).otherwise(times(limb, weight))
+
+    def row(i: Column) -> Column:
+        first = i == 0
+        return F.struct(i.alias(CHUNK), *[scaled(F.get(p, i)).alias(n) for n, p in parts.items()],
+                        *[F.when(first, c).alias(n) for n, c in counts.items()])
+
+    one = F.array(row(F.lit(0)))
+    if parts:
+        widest = F.greatest(*[F.size(p) for p in parts.values()], F.lit(1))
+        one = F.when(widest == 1, one).otherwise(F.transform(F.sequence(F.lit(0), widest - 1), row))
+    return df.select(*keys, F.inline(one))
+
+
+def fold(rows: DataFrame, keys: Sequence[str], values: Sequence[str], counts: Sequence[str]) -> DataFrame:
+    """Sums per key and chunk."""
+    return rows.groupBy(*keys, CHUNK).agg(*[exact_sum(F.col(v)).alias(v) for v in values], *[F.sum(c).alias(c) for c in counts])
+
+
+def finish(folded: DataFrame, keys: Sequence[str], values: Sequence[str], counts: Sequence[str]) -> DataFrame:
+    """(keys, sums as text, counts) of folded chunks."""
+    whole = folded.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(CHUNK, *values))).alias("_p"), *[F.sum(c).alias(c) for c in counts])
+
+    def total(v: str) -> Column:
+        sums = F.transform("_p", lambda p: p[v])
+        return F.when(F.size(sums) == 1, F.get(sums, F.lit(0)).cast("string")).otherwise(carried(sums)).alias(v, metadata=INTEGER)
+
+    return whole.select(*keys, *[total(v) for v in values], *counts)
+
+
+def exact_sums(df: DataFrame, keys, values: Mapping[str, str], counts: Mapping[str, Column]) -> DataFrame:
+    """(keys, sums, counts): exact sums in text of the named value columns, null
+    where a key has no value, and sums of the counts."""
+    keys, names, numbers = _cols(keys), list(values), list(counts)
+    return finish(fold(chunk_rows(df, keys, values, counts), keys, names, numbers), keys, names, numbers)
+
+
 def count_by(df: DataFrame, keys, name: str = "n") -> DataFrame:
     return df.groupBy(*_cols(keys)).agg(F.count(F.lit(1)).alias(name))
 
 
-def sum_by(df: DataFrame, keys, value: str | Column, name: str = "total") -> DataFrame:
-    """Exact sum per key (``decimal(38,0)`` stays exact; overflow raises)."""
-    v = F.col(value) if isinstance(value, str) else value
-    return df.groupBy(*_cols(keys)).agg(exact_sum(v).alias(name))
+def sum_by(df: DataFrame, keys, value: str, name: str = "total") -> DataFrame:
+    """Exact sum per key."""
+    return exact_sums(df, keys, {name: value}, {})
 
 
-def sum_count_by(df: DataFrame, keys, value: str | Column) -> DataFrame:
-    """(keys..., s, n): exact sum and row count per key, one shuffle."""
-    v = F.col(value) if isinstance(value, str) else value
-    return df.groupBy(*_cols(keys)).agg(exact_sum(v).alias("s"), F.count(F.lit(1)).alias("n"))
+def sum_count_by(df: DataFrame, keys, value: str) -> DataFrame:
+    """(keys..., s, n): exact sum and row count per key."""
+    return exact_sums(df, keys, {"s": value}, {"n": F.lit(1).cast("bigint")})
 
 
 def mean_of(s: Column, n: Column) -> Column:
-    """``sum / count`` as a double, like Python's ``int / int``.
-
-    The exact decimal sum is converted to the nearest double once, then
-    divided (not ``avg`` on decimals, which rounds to four decimal places).
-    """
-    return s.cast("double") / n.cast("double")
+    """``sum / count`` as Python's ``int / int``: the double nearest to the exact
+    quotient (not ``avg`` on decimals, which rounds to four decimal places)."""
+    return quotient(s.cast("string"), n)
 
 
 def constant_key_sum(df: DataFrame, value: str | Column, name: str = "total",

@@ -10,18 +10,20 @@ not see generator fan-out) must not turn them back into broadcasts.
 Duplicates in a list are kept as a weight: an address listed k times counts k
 times, which is what a row-level inner join gives (a semi join would not).
 
-A list whose size must be checked is computed twice, once by the count and
-once inside the join.  Lists are small next to the facts; writing the list
-once instead (``materialize.shared``) measured 0.25-0.45 s slower per question
-at sf0.1 than recomputing it.
+A list is collapsed and written once (``MemberList``): the count, the filter and
+the join read that table.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.aggregates import exact_sum
+from ledgerlens.functions.wide import BASE
+from ledgerlens.operators.aggregates import CHUNK, chunk_rows, finish, fold, times, value_columns
+from ledgerlens.operators.materialize import shared
 
 DEFAULT_BROADCAST_MAX_ROWS = 1_000_000
 # bytes of a broadcast list's columns, whatever its rows
@@ -29,6 +31,12 @@ BROADCAST_MAX_BYTES = 256 << 20
 # a fact row may be joined to at most this many list rows on the direct path
 DEFAULT_MAX_FANOUT = 16
 WEIGHT = "_w"
+# list rows that may share one key before they are dealt over several tasks
+DEFAULT_HOT_ROWS = 8192
+# of the bitmap that filters by a list over the broadcast bound: words of 64
+# bits, and bits for each listed key where there is room
+BITMAP_WORDS = 1 << 20
+BITS_PER_KEY = 16
 
 
 def broadcast_max_rows(df: DataFrame) -> int:
@@ -41,6 +49,11 @@ def max_fanout(df: DataFrame) -> int:
     return int(conf) if conf else DEFAULT_MAX_FANOUT
 
 
+def hot_rows(df: DataFrame) -> int:
+    conf = df.sparkSession.conf.get("spark.ledgerlens.hotRows", None)
+    return int(conf) if conf else DEFAULT_HOT_ROWS
+
+
 def _row_bytes(df: DataFrame):
     return F.octet_length(F.concat_ws("", *[F.col(c).cast("string") for c in df.columns]))
 
@@ -67,14 +80,6 @@ def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
     return row.rows <= bound and (row.bytes or 0) <= BROADCAST_MAX_BYTES
 
 
-def times(v, w):
-    """``v * w``; raises where the product overflows, in both ANSI modes (a null
-    product would otherwise be skipped by the sum)."""
-    product = v * w
-    return F.when(product.isNull() & v.isNotNull() & w.isNotNull(), F.raise_error(
-        F.lit("weighted value overflows its type"))).otherwise(product)
-
-
 def weighted(members: DataFrame, on: str, attrs: tuple[str, ...] = (), *,
              dedupe: bool = False) -> DataFrame:
     """(on, attrs..., _w): distinct list entries with their multiplicity.
@@ -86,53 +91,121 @@ def weighted(members: DataFrame, on: str, attrs: tuple[str, ...] = (), *,
     return members.groupBy(on, *attrs).agg(weight.alias(WEIGHT))
 
 
-def aggregate_through(facts: DataFrame, members: DataFrame, on: str, *,
+@dataclass(frozen=True)
+class MemberList:
+    """A list collapsed to (key, attributes, weight), written once, with its
+    size: whatever asks for it, filters by it or joins it reads that table, so
+    the export behind it is parsed once."""
+
+    df: DataFrame
+    rows: int
+    widest: int  # rows that share a key
+    size: int
+
+    @staticmethod
+    def of(members: DataFrame, on: str, attrs: tuple[str, ...] = (), *, dedupe: bool = False) -> MemberList:
+        table = shared(weighted(members, on, attrs, dedupe=dedupe), "list")
+        if not attrs:
+            row = table.agg(F.count(F.lit(1)).alias("rows"), F.sum(_row_bytes(table)).alias("bytes")).first()
+            return MemberList(table, row.rows, 1, int(row.bytes or 0))
+        return MemberList(table, *list_shape(table, on))
+
+    def narrowed(self, facts: DataFrame, on: str, broadcast: bool) -> DataFrame:
+        """Facts without those whose key is not listed: all of these where the
+        list may be broadcast, else most of them.
+
+        Beyond the bound a bitmap of hashed keys is broadcast, which is of bounded
+        size whatever the list: ``BITMAP_WORDS`` words of 64 bits at most.  Facts
+        whose bit is not set are not listed; others that are not leave at the
+        join.  A list that would set too many of the bits is not worth one."""
+        keys = self.df.select(on).distinct()
+        if broadcast:
+            return facts.join(F.broadcast(keys), on, "left_semi")
+        words = 1 << max(0, (self.rows * BITS_PER_KEY // 64 - 1).bit_length())
+        words = min(words, BITMAP_WORDS)
+        if self.rows > words * 64 // 2:
+            return facts
+        place = F.pmod(F.xxhash64(on), F.lit(words * 64))
+        word, bit = F.shiftright(place, 6), F.pmod(place, F.lit(64)).cast("int")
+        bitmap = shared(keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(
+            F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_bit"))).alias("_bits")), "bitmap")
+        marked = facts.withColumn("_word", word).withColumn("_bit", bit).join(F.broadcast(bitmap), "_word")
+        return marked.filter(F.getbit(F.col("_bits"), F.col("_bit")) == 1).select(*facts.columns)
+
+    def fits_broadcast(self, max_rows: int | None = None) -> bool:
+        return self.rows <= (broadcast_max_rows(self.df) if max_rows is None else max_rows) and self.size <= BROADCAST_MAX_BYTES
+
+
+def aggregate_through(facts: DataFrame, members: DataFrame | MemberList, on: str, *,
                       fact_keys: tuple[str, ...] = (), member_keys: tuple[str, ...] = (),
                       value: str | None = None, max_rows: int | None = None,
                       broadcast: bool | None = None, dedupe: bool = False) -> DataFrame:
     """Σ value and row count of ``facts ⋈ members`` per (fact_keys, member_keys).
 
     Equal to an inner row-level join followed by ``groupBy``; returns
-    (fact_keys..., member_keys..., s, n).  ``s`` is null when ``value`` is None.
-    ``broadcast`` lets a caller that has already bounded the list (e.g. by
-    checking a superset) skip the row-count check.
+    (fact_keys..., member_keys..., s, n), ``s`` an exact sum in text, null when
+    ``value`` is None.  ``members`` is collapsed and written once (see
+    :class:`MemberList`) unless it is such a list already.
     """
-    w = weighted(members, on, member_keys, dedupe=dedupe)
-    keys = list(fact_keys) + list(member_keys)
-    v = F.col(value) if value else F.lit(None).cast("decimal(38,0)")
-    narrow = not member_keys
+    lst = members if isinstance(members, MemberList) else MemberList.of(members, on, member_keys, dedupe=dedupe)
+    w, keys, values = lst.df, [*fact_keys, *member_keys], ({"s": value} if value else {})
+    columns = [on, *fact_keys, *(value_columns(facts, value) if value else [])]
     if broadcast is None:
-        if member_keys:
-            rows, widest, size = list_shape(w, on)
-            narrow = widest <= max_fanout(w)
-            broadcast = rows <= (broadcast_max_rows(w) if max_rows is None else max_rows) and size <= BROADCAST_MAX_BYTES
-        else:
-            broadcast = fits_broadcast(w, max_rows)
-    if broadcast and narrow:
+        broadcast = lst.fits_broadcast(max_rows)
+    if broadcast and lst.widest <= max_fanout(w):
         # at most ``max_fanout`` list rows per key (one when the list attaches
         # nothing): joining raw fact rows multiplies them by a proven bound
-        joined = facts.select(on, *fact_keys, v.alias("_v")).join(F.broadcast(w), on)
-        # nearly every list entry has weight 1: skip the decimal multiply then
-        scaled = F.when(F.col(WEIGHT) == 1, F.col("_v")).otherwise(times(F.col("_v"), F.col(WEIGHT)))
-        partial = joined.select(*keys, scaled.alias("_s"), F.col(WEIGHT).alias("_c"))
-    elif broadcast:
-        # a key carries many attributes (one address in many scam entries):
-        # filter by the key set, aggregate per key, and only then fan out, so
-        # the fan-out applies to one row per key and group, not to raw rows
-        listed = facts.join(F.broadcast(w.select(on).distinct()), on, "left_semi")
-        pre = listed.groupBy(on, *fact_keys).agg(exact_sum(v).alias("_v"), F.count(F.lit(1)).alias("_n"))
-        joined = pre.join(F.broadcast(w), on)
-        partial = joined.select(*keys, times(F.col("_v"), F.col(WEIGHT)).alias("_s"),
-                                (F.col("_n") * F.col(WEIGHT)).alias("_c"))
+        joined = facts.select(*columns).join(F.broadcast(w), on)
+        rows = chunk_rows(joined, keys, values, {"n": F.col(WEIGHT)}, F.col(WEIGHT))
     else:
-        pre = facts.groupBy(on, *fact_keys).agg(exact_sum(v).alias("_v"), F.count(F.lit(1)).alias("_n"))
-        # the pre-aggregated side holds one row per key: keep it on the buffered
-        # side; ``merge`` stops a size estimate from broadcasting what the row
-        # count just ruled out
-        joined = w.join(pre.hint("merge"), on)
-        partial = joined.select(*keys, times(F.col("_v"), F.col(WEIGHT)).alias("_s"),
-                                (F.col("_n") * F.col(WEIGHT)).alias("_c"))
-    return partial.groupBy(*keys).agg(exact_sum(F.col("_s")).alias("s"), F.sum("_c").alias("n"))
+        # a list over the bound, or a key that carries many attributes (one
+        # address in many scam entries): filter by the key set, aggregate per key,
+        # and only then fan out, so the fan-out applies to one row per key and
+        # group, not to raw rows
+        listed = lst.narrowed(facts.select(*columns), on, broadcast)
+        pre_keys = [on, *fact_keys]
+        pre = fold(chunk_rows(listed, pre_keys, values, {"n": F.lit(1).cast("bigint")}), pre_keys, list(values), ["n"])
+        rows = _weighted_chunks(_join_folded(pre, lst, on, broadcast), keys, list(values))
+    out = finish(fold(rows, keys, list(values), ["n"]), keys, list(values), ["n"])
+    return out if value else out.select(*keys, F.lit(None).cast("string").alias("s"), "n")
+
+
+def _join_folded(pre: DataFrame, lst: MemberList, on: str, broadcast: bool) -> DataFrame:
+    """Pre-aggregated facts ⋈ list.
+
+    Beyond the broadcast bound ``merge`` stops a size estimate from broadcasting
+    what the row count ruled out, with the pre-aggregated side, one row per key
+    and group, buffered.  Keys with more than ``hotRows`` list rows are joined
+    apart: their list rows are dealt over as many parts as they fill, and their
+    facts, a row per group, are copied to each part, so that no task has one
+    key's whole list.  There are no more such keys than may be broadcast.
+    """
+    w, bound = lst.df, hot_rows(lst.df)
+    if lst.widest <= bound:
+        return pre.join(F.broadcast(w), on) if broadcast else w.join(pre.hint("merge"), on)
+    pre, bound = shared(pre, "folded"), max(bound, -(-lst.rows // broadcast_max_rows(w)))
+    parts = F.ceil(F.col("_k") / bound).cast("int").alias("_parts")
+    hot = shared(w.groupBy(on).agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > bound).select(on, parts), "hot")
+    apart = lambda df: df.join(F.broadcast(hot.select(on)), on, "left_anti")
+    cold = apart(pre).join(F.broadcast(apart(w)), on) if broadcast else apart(w).join(apart(pre).hint("merge"), on)
+    rest = [c for c in w.columns if c != on]
+    dealt = w.join(F.broadcast(hot), on).withColumn("_part", F.pmod(F.xxhash64(*rest), F.col("_parts")).cast("int")).drop("_parts")
+    copied = pre.join(F.broadcast(hot), on).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return cold.unionByName(dealt.join(copied.hint("merge"), [on, "_part"]).drop("_part"))
+
+
+def _weighted_chunks(folded: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Folded sums times their weights as chunk rows again: what a sum has above
+    its chunk goes to the next one first, so no product comes near its type."""
+    low = [times((F.col(v) % F.lit(BASE)).cast("decimal(26,0)"), F.col(WEIGHT)).cast("decimal(38,0)").alias(v) for v in values]
+    up = {v: F.call_function("div", F.col(v), F.lit(BASE)) for v in values}
+    high = [times(c.cast("decimal(18,0)"), F.col(WEIGHT)).cast("decimal(38,0)").alias(v) for v, c in up.items()]
+    here = F.struct(F.col(CHUNK), *low, (F.col("n") * F.col(WEIGHT)).alias("n"))
+    above = F.struct((F.col(CHUNK) + 1).alias(CHUNK), *high, F.lit(None).cast("bigint").alias("n"))
+    some = F.lit(False)
+    for c in up.values():
+        some = some | (F.coalesce(c, F.lit(0)) != 0)
+    return folded.select(*keys, F.inline(F.when(some, F.array(here, above)).otherwise(F.array(here))))
 
 
 def semi_filter(facts: DataFrame, keys: DataFrame, on: str, *,
@@ -156,7 +229,7 @@ def attach(facts: DataFrame, lookup: DataFrame, on: str, *,
     return facts.join(lookup.hint("merge"), on)
 
 
-def join_totals_with_copies(totals: DataFrame, members: DataFrame, on: str,
+def join_totals_with_copies(totals: DataFrame, members: DataFrame | MemberList, on: str,
                             max_copies: int | None = None, dedupe: bool = False) -> DataFrame:
     """Per-key totals ⋈ list, one output row per list entry (aggregate-then-join).
 
@@ -166,8 +239,8 @@ def join_totals_with_copies(totals: DataFrame, members: DataFrame, on: str,
     than ``max_copies`` identical copies can never be selected, so the
     expansion is bounded by it without changing the result.
     """
-    w = weighted(members, on, dedupe=dedupe)
-    joined = attach(totals, w, on)
+    lst = members if isinstance(members, MemberList) else MemberList.of(members, on, dedupe=dedupe)
+    joined = totals.join(F.broadcast(lst.df), on) if lst.fits_broadcast() else totals.join(lst.df.hint("merge"), on)
     copies = F.col(WEIGHT) if max_copies is None else F.least(F.col(WEIGHT), F.lit(max_copies))
     return repeat_rows(joined.withColumn(WEIGHT, copies), WEIGHT).drop(WEIGHT)
 

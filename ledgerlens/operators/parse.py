@@ -18,9 +18,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.integers import int_status, python_int
+from ledgerlens.functions.integers import int_status, python_int, wide_int
 from ledgerlens.functions.text import drop_first_char, field, split_fields
 from ledgerlens.functions.time import epoch_in_range, month_index
+from ledgerlens.operators.aggregates import WIDE
 
 
 @dataclass(frozen=True)
@@ -66,17 +67,17 @@ def parse_lines(lines: DataFrame, contract: TableContract, *, keep: tuple[str, .
 
     keep       string fields to return
     checked    integer fields that must pass ``int()``; their failure rejects
-    integers   further integer fields to return (null when invalid)
-    timestamp  epoch-seconds field bucketed into ``month`` (int month index).
+    integers   further integer fields to return (null when invalid), each with
+               a column ``<field>_wide``: the digits of an integer of more than 38
+    timestamp  epoch-seconds field bucketed into ``month`` (month index).
                ``on_bad_timestamp='fail'`` raises on a line that no predicate
                rejects whose timestamp is no usable epoch, as the unchecked
                calls of the original jobs do; ``'reject'`` rejects such lines
                with reason ``<field>`` or ``<field>:range``.
 
-    A line that ``int()`` accepts is accepted, whatever its number of digits;
-    it raises where a returned integer has more than 38.  Both errors are part
-    of ``reason`` itself, so whatever filters on it meets them: no join, later
-    filter or pruned column can skip them.
+    A line that ``int()`` accepts is accepted, whatever its number of digits.
+    The error of a timestamp is part of ``reason`` itself, so whatever filters on
+    it meets it: no join, later filter or pruned column can skip it.
     skip_header  reject the export's header line (the column names joined by
                commas) with reason ``header``; by default it is parsed like
                any line, so it survives where no integer is checked.
@@ -109,9 +110,6 @@ def parse_lines(lines: DataFrame, contract: TableContract, *, keep: tuple[str, .
         reason = reason.when(status == "not_integer", F.lit(c))
         if c == timestamp and on_bad_timestamp == REJECT:
             reason = reason.when(F.col(c).isNull() | ~epoch_in_range(F.col(c)), F.lit(f"{c}:range"))
-    for c in integers:
-        wide = int_status(F.col(f"_raw_{c}"), F.col(c)) == "overflow"
-        reason = reason.when(wide, _fails(f"{contract.name}.{c} has more than 38 digits: ", F.col(f"_raw_{c}")))
     if timestamp and on_bad_timestamp == FAIL:
         epoch = F.col(timestamp)
         reason = reason.when(epoch.isNull() | ~epoch_in_range(epoch), _fails(
@@ -119,9 +117,11 @@ def parse_lines(lines: DataFrame, contract: TableContract, *, keep: tuple[str, .
 
     out_cols = list(keep) + [c for c in numeric if c in checked or c in integers]
     carried = out_cols + ([timestamp] if timestamp and timestamp not in out_cols else [])
+    wides = [wide_int(F.col(f"_raw_{c}"), F.col(c)).alias(c + WIDE) for c in dict.fromkeys(integers)]
     barrier = typed.select(
-        F.inline(F.array(F.struct(*[F.col(c) for c in carried], reason.alias("reason"))))
+        F.inline(F.array(F.struct(*[F.col(c) for c in carried], *wides, reason.alias("reason"))))
     )
+    out_cols += [c + WIDE for c in dict.fromkeys(integers)]
     if not timestamp:
         return barrier.select(*out_cols, "reason")
 
@@ -142,7 +142,7 @@ def strict_month(epoch: Column, raw: Column | None = None, what: str = "timestam
     bad = epoch.isNull() | ~epoch_in_range(epoch)
     shown = F.coalesce(raw, F.lit("<missing>")) if raw is not None else F.lit("")
     return F.when(bad, F.raise_error(F.concat(
-        F.lit(f"{what} is not a usable epoch: "), shown)).cast("int")).otherwise(month_index(epoch))
+        F.lit(f"{what} is not a usable epoch: "), shown)).cast("bigint")).otherwise(month_index(epoch))
 
 
 def accepted(parsed: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@
 Inputs are DataFrames of raw lines (``value``) or of (id, address) pairs, so
 the same functions run on files read with ``sources.read_lines`` and on lines
 rendered from the test tables.  Outputs use plain types: month labels and
-keys as strings, counts as bigint, means as double and exact totals as
-``decimal(38,0)`` (they exceed bigint).
+keys as strings, counts as bigint, means as double and exact totals as text,
+the digits of integers of any width (their columns say so in their metadata).
 
 Where a question takes lines, ``Lines`` may stand for the plain DataFrame to
 choose how unusable lines are treated.
@@ -21,18 +21,20 @@ from ledgerlens.functions.integers import int_status
 from ledgerlens.functions.text import field, hex_bits, split_fields
 from ledgerlens.functions.time import month_label
 from ledgerlens.operators.aggregates import (
+    INTEGER,
+    WIDE,
     constant_key_sum,
     count_by,
-    exact_sum,
+    exact_sums,
     mean_of,
     sum_by,
     sum_count_by,
 )
 from ledgerlens.operators.catalogue import flatten_catalogue
 from ledgerlens.operators.joins import (
+    MemberList,
     aggregate_through,
     attach,
-    fits_broadcast,
     join_totals_with_copies,
     semi_filter,
 )
@@ -91,7 +93,7 @@ def _mean(df: DataFrame, name: str) -> DataFrame:
 
 
 def _total(col: str, name: str):
-    return F.col(col).alias(name)
+    return F.col(col).alias(name, metadata=INTEGER)
 
 
 @dataclass(frozen=True)
@@ -132,11 +134,11 @@ def _from_silver(silver: DataFrame, checks, keep, integers, month: bool,
     """The same rows and columns as parsing lines, read from the silver table."""
     cond = F.lit(True)
     for c in checks:
-        cond = cond & F.col(c).isNotNull()
+        cond = cond & (F.col(c).isNotNull() | (F.col(c + WIDE).isNotNull() if c + WIDE in silver.columns else F.lit(False)))
     if month and on_bad_timestamp == REJECT:
         cond = cond & F.col("month").isNotNull()
     cols = list(dict.fromkeys(list(keep) + [c for c in checks if c != "block_timestamp"]
-                              + list(integers)))
+                              + [x for c in integers for x in (c, c + WIDE) if x in silver.columns]))
     if "block_timestamp" in checks or "block_timestamp" in integers:
         cols.append("block_timestamp")
     rows = silver.filter(cond).select(*dict.fromkeys(cols), *(["month"] if month else []))
@@ -200,8 +202,12 @@ def monthly_sums_with_count_lookup(tx_lines: DataFrame, counts: DataFrame | None
     columns from one pass.
     """
     tx = transactions(tx_lines, MONTHLY_CHECKS, value="value")
-    counts = count_by(tx, "month") if counts is None else counts
-    joined = attach(sum_by(tx, "month", "value", "total"), counts, "month")
+    if counts is None:  # the lines are parsed once, for sums and counts
+        both = shared(sum_count_by(tx, "month", "value"), "monthly")
+        sums, counts = both.select("month", F.col("s").alias("total")), both.select("month", "n")
+    else:
+        sums = sum_by(tx, "month", "value", "total")
+    joined = attach(sums, counts, "month")
     return _labelled(joined, F.col("n"), _total("total", "total_value"),
                      mean_of(F.col("total"), F.col("n")).alias("mean_value"))
 
@@ -214,23 +220,18 @@ def address_totals(tx_lines: DataFrame) -> DataFrame:
         "to_address", _total("total", "total_value"))
 
 
-def _top_contract_rows(totals: DataFrame, ct_lines: DataFrame, k: int) -> DataFrame:
+def _top_contract_rows(totals: DataFrame, listed: MemberList, k: int) -> DataFrame:
     """(address, total) of the k best contract rows given per-address totals."""
-    rows = join_totals_with_copies(totals, contracts(ct_lines), "address", max_copies=k)
+    rows = join_totals_with_copies(totals, listed, "address", max_copies=k)
     return top_k(rows, k, "total", ("address",))
 
 
 def _contract_totals(tx_lines: DataFrame, ct_lines: DataFrame, k: int) -> DataFrame:
     tx = transactions(tx_lines, VALUE_CHECKS, keep=("to_address",), value="value", month=False)
-    tx = _to_contracts(tx.withColumnRenamed("to_address", "address"), ct_lines)
-    return _top_contract_rows(sum_by(tx, "address", "value", "total"), ct_lines, k)
-
-
-def _to_contracts(tx: DataFrame, ct_lines: DataFrame) -> DataFrame:
-    """Without the transactions to other addresses where the contract list can
-    be broadcast, so that only contracts cross the aggregate's shuffle."""
-    listed = contracts(ct_lines).distinct()
-    return semi_filter(tx, listed, "address", bounded=True) if fits_broadcast(listed) else tx
+    listed = MemberList.of(contracts(ct_lines), "address")
+    # only contracts cross the aggregate's shuffle
+    tx = listed.narrowed(tx.withColumnRenamed("to_address", "address"), "address", listed.fits_broadcast())
+    return _top_contract_rows(sum_by(tx, "address", "value", "total"), listed, k)
 
 
 def top_contracts(tx_lines: DataFrame, ct_lines: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -267,23 +268,21 @@ def top_contract_monthly_mean_gas(tx_lines: DataFrame, ct_lines: DataFrame,
     """
     tx = transactions(tx_lines, VALUE_CHECKS, keep=("to_address",), value="value",
                       integers=("gas", "block_timestamp"), month=False)
-    gas_ok = F.col("gas").isNotNull()
+    wides = [c for c in ("value" + WIDE, "gas" + WIDE) if c in tx.columns]
+    gas_ok = F.coalesce(F.col("gas").cast("string"), *[F.col(c) for c in wides if c == "gas" + WIDE]).isNotNull()
     bucketed = tx.select(
-        F.col("to_address").alias("address"), "value", "gas",
+        F.col("to_address").alias("address"), "value", "gas", *wides, gas_ok.alias("gas_ok"),
         F.when(gas_ok, strict_month(F.col("block_timestamp"), what="transactions.block_timestamp"))
         .alias("month"))
     # the bucket of every line is computed below the filter, so a bad timestamp
     # fails the job however the list is joined
     bucketed = bucketed.select(F.inline(F.array(F.struct(*bucketed.columns))))
-    bucketed = _to_contracts(bucketed.filter(F.col("month").isNotNull() | F.col("gas").isNull()), ct_lines)
-    per_month = shared(bucketed.groupBy("address", "month").agg(
-        exact_sum(F.col("value")).alias("sv"), exact_sum(F.col("gas")).alias("sg"),
-        F.count("gas").alias("ng")))
-    totals = per_month.groupBy("address").agg(exact_sum(F.col("sv")).alias("total"))
-    top = _top_contract_rows(totals, ct_lines, k).select("address")
-    listed = semi_filter(per_month.filter(F.col("ng") > 0), top, "address", bounded=True)
-    agg = listed.groupBy("month").agg(exact_sum(F.col("sg")).alias("s"), F.sum("ng").alias("n"))
-    return _mean(agg, "mean_gas")
+    listed = MemberList.of(contracts(ct_lines), "address")
+    bucketed = listed.narrowed(bucketed.filter(F.col("month").isNotNull() | ~F.col("gas_ok")), "address", listed.fits_broadcast())
+    per_month = shared(exact_sums(bucketed, ("address", "month"), {"sv": "value", "sg": "gas"}, {"ng": F.col("gas_ok").cast("bigint")}))
+    top = _top_contract_rows(sum_by(per_month, "address", "sv", "total"), listed, k).select("address")
+    best = semi_filter(per_month.filter(F.col("ng") > 0), top, "address", bounded=True)
+    return _mean(exact_sums(best, "month", {"s": "sg"}, {"n": F.col("ng")}), "mean_gas")
 
 
 # ------------------------------------------------------------- blocks (C, D2)
@@ -359,11 +358,9 @@ def scam_leader_monthly_mean(tx_lines: DataFrame, pairs: DataFrame) -> DataFrame
     per_id_month = shared(aggregate_through(
         tx.withColumnRenamed("to_address", "address"), pairs, "address",
         fact_keys=("month",), member_keys=("id",), value="value"))
-    totals = per_id_month.groupBy("id").agg(exact_sum(F.col("s")).alias("s"))
-    leader = top_k(totals, 1, "s", ("id",)).select("id")
-    agg = (per_id_month.join(F.broadcast(leader), "id", "left_semi")
-           .groupBy("month").agg(exact_sum(F.col("s")).alias("s"), F.sum("n").alias("n")))
-    return _mean(agg, "mean_value")
+    leader = top_k(sum_by(per_id_month, "id", "s", "s"), 1, "s", ("id",)).select("id")
+    best = per_id_month.join(F.broadcast(leader), "id", "left_semi")
+    return _mean(exact_sums(best, "month", {"s": "s"}, {"n": F.col("n")}), "mean_value")
 
 
 # ------------------------------------------------------------ line quality

@@ -3,8 +3,8 @@
 The oracle does not render or parse any text: it knows which rows the
 renderers corrupt (``sources.fixtures``) and applies the question's predicate
 set to the native columns.  Exact totals are HUGEINT rendered as VARCHAR;
-means convert the exact sum to the nearest double (through its decimal text)
-and divide by the count, as the Spark side does.
+a mean is the double nearest to the exact quotient of sum and count, by long
+division of the sum's digits.
 """
 
 from __future__ import annotations
@@ -48,14 +48,32 @@ BLOCKS = """bl AS (
   FROM orders WHERE o_orderkey % 61 <> 0)"""
 
 
-def _mean(s: str) -> str:
-    return f"CAST(CAST(sum({s}) AS VARCHAR) AS DOUBLE) / count(*)"
+def _quotient(t: str, n: str) -> str:
+    """Double nearest to the quotient of digits ``t`` and a count ``n``: steps of
+    18 digits, 126 digits behind the point, and a last one for a remainder."""
+    k = f"((length({t}) + 17) // 18)"
+    step = f"(a.rest * 1000000000000000000 + b.rest)"
+    folded = f"""list_reduce(list_transform(range({k} + 7), lambda i: {{'rest': CASE WHEN i < {k} THEN substr(lpad({t}, {k}::INT * 18, '0'), (i * 18 + 1)::INT, 18) ELSE '0' END::HUGEINT,
+    'text': CASE WHEN i = {k} THEN '.' ELSE '' END}}),
+  lambda a, b: {{'rest': {step} % {n}, 'text': a.text || b.text || lpad(({step} // {n})::VARCHAR, 18, '0')}}, {{'rest': 0::HUGEINT, 'text': ''}})"""
+    return f"(SELECT (x.text || CASE WHEN x.rest > 0 THEN '1' ELSE '0' END)::DOUBLE FROM (SELECT {folded} AS x))"
+
+
+def _means(name: str, rows: str, more: str = "") -> str:
+    """``month`` and mean of rows (month, t, n), with other columns."""
+    return f"SELECT month, {more}{_quotient('t', 'n')} AS {name} FROM ({rows}) AS sums"
+
+
+def _mean_by(measure: str, name: str, source: str, more: str = "") -> str:
+    return _means(name, f"SELECT month, CAST(sum({measure}) AS VARCHAR) AS t, count(*) AS n {source}", more)
 
 
 def _monthly_mean(where: str, measure: str, name: str, extra: str = "", join: str = "") -> str:
-    return f"""WITH {TX}{extra}
-SELECT month, {_mean(measure)} AS {name}
-FROM tx {join} WHERE {where} GROUP BY month"""
+    return f"WITH {TX}{extra} " + _mean_by(measure, name, f"FROM tx {join} WHERE {where} GROUP BY month")
+
+
+def _pairs(means: str, name: str) -> str:
+    return f"""SELECT '["' || month || '", ' || CAST({name} AS VARCHAR) || ']' AS value FROM ({means}) AS m"""
 
 
 # Fixed value: what Python strips around a number (Unicode white space).
@@ -78,6 +96,16 @@ ODD = """odd AS (
               ELSE strftime(l_shipdate, '%Y - %m') END AS month
   FROM lineitem)"""
 
+# values of 32 and of 199 zeros behind are summed apart: each part is smaller
+# than the place where the next one starts
+WIDE = f"""wide AS (
+  SELECT (l_orderkey * 7 + l_linenumber) % 11 AS m, {_ADDR.format(k='l_suppkey')} AS address,
+         CAST(round(l_extendedprice * 100) AS HUGEINT) AS c, strftime(l_shipdate, '%Y - %m') AS month
+  FROM lineitem)"""
+_WIDE_PARTS = """coalesce(sum(c) FILTER (m = 1), 0) AS c2, coalesce(sum(c) FILTER (m = 0), 0) AS c1,
+         coalesce(sum(CASE WHEN m = 2 THEN -c ELSE c END) FILTER (m NOT IN (0, 1)), 0) AS c0, count(*) AS n"""
+_WIDE_TEXT = """regexp_replace(c2::VARCHAR || lpad(c1::VARCHAR || lpad(c0::VARCHAR, 32, '0'), 199, '0'), '^0+(.)', '\\1')"""
+
 _LISTED = ", ".join(f"'{a}'" for a in FIXTURE_LISTED_ADDRESSES)
 
 _TOP_CONTRACTS = f"""WITH {TX}, {CONTRACTS},
@@ -114,15 +142,26 @@ SELECT family, reason, count(*) AS n_lines FROM r GROUP BY family, reason""",
 SELECT month, count(*) AS n FROM tx WHERE {VALUE_OK} GROUP BY month""",
 
     "monthly_summary": f"""WITH {TX}
-SELECT month, count(*) AS n, CAST(sum(value) AS VARCHAR) AS total_value, {_mean('value')} AS mean_value
-FROM tx WHERE {VALUE_OK} GROUP BY month""",
+""" + _mean_by("value", "mean_value", f"FROM tx WHERE {VALUE_OK} GROUP BY month", "n, t AS total_value, "),
 
     "monthly_mean_gas_price_reject": f"""WITH {ODD}
-SELECT month, {_mean('gas_price')} AS mean_gas_price FROM odd WHERE m NOT IN (4, 5) GROUP BY month""",
+""" + _mean_by("gas_price", "mean_gas_price", "FROM odd WHERE m NOT IN (4, 5) GROUP BY month"),
 
     "odd_lines_monthly_count": f"""WITH {ODD}
 SELECT month, count(*) AS n FROM odd WHERE m NOT IN (4, 5) GROUP BY month""",
 
+    "wide_monthly_summary": f"""WITH {WIDE},
+p AS (SELECT month, {_WIDE_PARTS} FROM wide WHERE m <> 10 GROUP BY month)
+""" + _means("mean_value", f"SELECT month, n, {_WIDE_TEXT} AS t FROM p", "n, t AS total_value, "),
+
+    "wide_top_contracts": f"""WITH {WIDE}, {CONTRACTS},
+p AS (SELECT address, {_WIDE_PARTS} FROM wide WHERE m <> 10 GROUP BY address)
+SELECT address, {_WIDE_TEXT} AS total_value FROM p JOIN ct USING (address) ORDER BY c2 DESC, c1 DESC, c0 DESC, address LIMIT 10""",
+
+    "wide_scam_totals": f"""WITH {WIDE}, {PAIRS},
+p AS (SELECT id, {_WIDE_PARTS} FROM wide JOIN pairs USING (address) WHERE m <> 10 GROUP BY id)
+SELECT id, {_WIDE_TEXT} AS total_value FROM p ORDER BY c2 DESC, c1 DESC, c0 DESC, id LIMIT 10""",
+
     "contract_lines_report": """SELECT CASE WHEN s_suppkey % 17 = 0 THEN 'arity' ELSE 'ok' END AS reason,
   CAST(sum(CASE WHEN s_suppkey % 10 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS n_lines FROM supplier GROUP BY 1""",
 
@@ -139,6 +178,10 @@ SELECT '["' || address || '", [' || CAST(total AS VARCHAR) || ', 1]]' AS value F
 
     "monthly_mean_gas_price": _monthly_mean(GAS_PRICE_OK, "gas_price", "mean_gas_price"),
 
+    "monthly_mean_value_pairs_json": _pairs(_monthly_mean(VALUE_OK, "value", "mean_value"), "mean_value"),
+
+    "monthly_mean_gas_price_pairs_json": _pairs(_monthly_mean(GAS_PRICE_OK, "gas_price", "mean_gas_price"), "mean_gas_price"),
+
     "address_totals": f"""WITH {TX}
 SELECT to_address, CAST(sum(value) AS VARCHAR) AS total_value
 FROM tx WHERE {VALUE_OK} GROUP BY to_address""",
@@ -147,16 +190,13 @@ FROM tx WHERE {VALUE_OK} GROUP BY to_address""",
 SELECT address, CAST(total AS VARCHAR) AS total_value FROM top""",
 
     "contract_monthly_mean_gas": f"""WITH {TX}, {CONTRACTS}
-SELECT month, {_mean('gas')} AS mean_gas
-FROM tx JOIN ct ON tx.to_address = ct.address WHERE {GAS_OK} GROUP BY month""",
+""" + _mean_by("gas", "mean_gas", f"""FROM tx JOIN ct ON tx.to_address = ct.address WHERE {GAS_OK} GROUP BY month"""),
 
     "top_contract_monthly_mean_gas": f"""{_TOP_CONTRACTS}
-SELECT month, {_mean('gas')} AS mean_gas
-FROM tx WHERE {GAS_VALUE_OK} AND to_address IN (SELECT address FROM top) GROUP BY month""",
+""" + _mean_by("gas", "mean_gas", f"""FROM tx WHERE {GAS_VALUE_OK} AND to_address IN (SELECT address FROM top) GROUP BY month"""),
 
     "listed_address_monthly_mean_gas": f"""WITH {TX}
-SELECT month, {_mean('gas')} AS mean_gas
-FROM tx WHERE {GAS_VALUE_OK} AND to_address IN ({_LISTED}) GROUP BY month""",
+""" + _mean_by("gas", "mean_gas", f"""FROM tx WHERE {GAS_VALUE_OK} AND to_address IN ({_LISTED}) GROUP BY month"""),
 
     "top_miners": f"""WITH {BLOCKS},
 tot AS (SELECT miner, sum(size) AS total FROM bl WHERE o_orderkey % 53 <> 0 GROUP BY miner),
@@ -171,26 +211,22 @@ SELECT CAST(1 AS BIGINT) AS k, CAST(sum(bits) AS BIGINT) AS total_bits FROM bl""
     "scam_list_parse": f"""WITH {PAIRS} SELECT id, address FROM pairs""",
 
     "scam_monthly_mean": f"""WITH {TX}, {PAIRS}
-SELECT month, {_mean('value')} AS mean_value
-FROM tx JOIN pairs ON tx.to_address = pairs.address WHERE {VALUE_OK} GROUP BY month""",
+""" + _mean_by("value", "mean_value", f"""FROM tx JOIN pairs ON tx.to_address = pairs.address WHERE {VALUE_OK} GROUP BY month"""),
 
     "scam_top_totals": f"""{_SCAM_TOTALS}
 SELECT id, CAST(total AS VARCHAR) AS total_value FROM top""",
 
     "scam_id_monthly_mean": f"""WITH {TX}, {PAIRS}
-SELECT month, {_mean('value')} AS mean_value
-FROM tx JOIN pairs ON tx.to_address = pairs.address
-WHERE {VALUE_OK} AND pairs.id = '{FIXTURE_SCAM_ID}' GROUP BY month""",
+""" + _mean_by("value", "mean_value", f"""FROM tx JOIN pairs ON tx.to_address = pairs.address
+WHERE {VALUE_OK} AND pairs.id = '{FIXTURE_SCAM_ID}' GROUP BY month"""),
 
     "scam_leader_monthly_mean": f"""{_SCAM_TOTALS},
 leader AS (SELECT id FROM top ORDER BY total DESC, id LIMIT 1)
-SELECT month, {_mean('value')} AS mean_value
-FROM tx JOIN pairs ON tx.to_address = pairs.address
-WHERE {VALUE_OK} AND pairs.id IN (SELECT id FROM leader) GROUP BY month""",
+""" + _mean_by("value", "mean_value", f"""FROM tx JOIN pairs ON tx.to_address = pairs.address
+WHERE {VALUE_OK} AND pairs.id IN (SELECT id FROM leader) GROUP BY month"""),
 
     "broadcast_count_lookup": f"""WITH {TX}
-SELECT month, count(*) AS n, CAST(sum(value) AS VARCHAR) AS total_value, {_mean('value')} AS mean_value
-FROM tx WHERE {VALUE_OK} GROUP BY month""",
+""" + _mean_by("value", "mean_value", f"FROM tx WHERE {VALUE_OK} GROUP BY month", "n, t AS total_value, "),
 
     "limit_preview": f"""WITH {TX},
 tot AS (SELECT to_address, sum(value) AS total FROM tx WHERE {VALUE_OK} GROUP BY to_address)

@@ -22,6 +22,7 @@ from ledgerlens.sources.fixtures import (
     read_table,
     spread,
     transaction_lines,
+    wide_transaction_lines,
 )
 from ledgerlens.sources.text import lines_of_text
 
@@ -43,6 +44,15 @@ def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transaction_lines(spread(read_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber"))
 
 
+def odd_tx(spark: SparkSession, sf_dir: str) -> A.Lines:
+    lines = odd_transaction_lines(spread(read_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber"))
+    return A.Lines(lines, on_bad_timestamp="reject")
+
+
+def wide_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wide_transaction_lines(spread(read_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber"))
+
+
 def ct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contract_lines(read_table(spark, sf_dir, "supplier"))
 
@@ -74,14 +84,17 @@ _QUESTIONS: dict[str, Query] = {
     "monthly_count": lambda s, d: A.monthly_count(tx(s, d)),
     "monthly_mean_value": lambda s, d: A.monthly_mean_value(tx(s, d)),
     "monthly_summary": lambda s, d: A.monthly_summary(tx(s, d)),
-    "monthly_mean_gas_price_reject": lambda s, d: A.monthly_mean_gas_price(
-        A.Lines(odd_transaction_lines(read_table(s, d, "lineitem")), on_bad_timestamp="reject")),
-    "odd_lines_monthly_count": lambda s, d: A.monthly_count(
-        A.Lines(odd_transaction_lines(read_table(s, d, "lineitem")), on_bad_timestamp="reject")),
+    "monthly_mean_gas_price_reject": lambda s, d: A.monthly_mean_gas_price(odd_tx(s, d)),
+    "odd_lines_monthly_count": lambda s, d: A.monthly_count(odd_tx(s, d)),
+    "wide_monthly_summary": lambda s, d: A.monthly_summary(wide_tx(s, d)),
+    "wide_top_contracts": lambda s, d: A.top_contracts(wide_tx(s, d), ct(s, d)),
+    "wide_scam_totals": lambda s, d: A.scam_top_totals(wide_tx(s, d), scam_list(s, d)),
     "contract_lines_report": lambda s, d: A.contract_lines_report(ct(s, d)),
     "block_lines_report": lambda s, d: A.block_lines_report(bl(s, d)),
     "list_lines_report": lambda s, d: A.list_lines_report(lines_of_text(spread(read_table(s, d, "documents"), "doc_id"))),
     "top_contracts_pairs_json": lambda s, d: pairs_json(A.top_contracts(tx(s, d), ct(s, d)), nested_one=True),
+    "monthly_mean_value_pairs_json": lambda s, d: pairs_json(A.monthly_mean_value(tx(s, d))),
+    "monthly_mean_gas_price_pairs_json": lambda s, d: pairs_json(A.monthly_mean_gas_price(tx(s, d))),
     "monthly_mean_gas_price": lambda s, d: A.monthly_mean_gas_price(tx(s, d)),
     "address_totals": lambda s, d: A.address_totals(tx(s, d)),
     "top_contracts": lambda s, d: A.top_contracts(tx(s, d), ct(s, d)),

@@ -6,8 +6,9 @@ only the columns they use (Parquet column pruning) and, for month ranges,
 only the month folders they need (partition pruning).
 
 Lines of the wrong arity are left out (no question uses them).  Each integer
-field is kept as ``decimal(38,0)`` or null when ``int()`` would fail, so every
-question's own predicate set is applied when it reads the table
+field is kept as ``decimal(38,0)``, with the digits of a wider integer in a text
+column ``<field>_wide`` beside it; both are null when ``int()`` would fail, so
+every question's own predicate set is applied when it reads the table
 (``analyses.transactions`` accepts this table as well as raw lines).
 ``month`` is null where the timestamp is unusable.
 """
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.time import epoch_in_range, month_index
+from ledgerlens.operators.aggregates import WIDE
 from ledgerlens.operators.parse import TRANSACTIONS, accepted, parse_lines
 
 SILVER_STRINGS = ("to_address",)
@@ -29,7 +31,7 @@ def silver_transactions(tx_lines: DataFrame) -> DataFrame:
                                   integers=SILVER_INTEGERS))
     ts = F.col("block_timestamp")
     return parsed.select(
-        *SILVER_STRINGS, *SILVER_INTEGERS,
+        *SILVER_STRINGS, *[x for c in SILVER_INTEGERS for x in (c, c + WIDE)],
         F.when(ts.isNotNull() & epoch_in_range(ts), month_index(ts)).alias("month"))
 
 

@@ -103,6 +103,25 @@ def odd_transaction_lines(lineitem: DataFrame) -> DataFrame:
     return lineitem.select(F.concat_ws(",", *fields).alias("value"))
 
 
+WIDE_ZEROS, WIDER_ZEROS = 32, 199
+
+
+def wide_transaction_lines(lineitem: DataFrame) -> DataFrame:
+    """Lines whose values, gas and gas price are wider than any machine integer.
+
+    ``m = (l_orderkey * 7 + l_linenumber) % 11``: value 0 cents with 32 zeros
+    behind, 1 cents with 199 zeros behind, 2 minus cents, else cents; a value is
+    ``NaN`` for ``m = 10``.  Recipients are those of suppliers.
+    """
+    m = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 11
+    digits = cents(F.col("l_extendedprice")).cast("string")
+    value = (F.when(m == 0, F.concat(digits, F.lit("0" * WIDE_ZEROS))).when(m == 1, F.concat(digits, F.lit("0" * WIDER_ZEROS)))
+             .when(m == 2, F.concat(F.lit("-"), digits)).when(m == 10, F.lit("NaN")).otherwise(digits))
+    fields = [F.lit("h"), F.lit("0"), F.lit("0xb"), F.lit("1"), F.lit("0"), F.lit("0xf"), address(F.col("l_suppkey")), value, F.lit("21000"),
+              cents(F.col("l_discount")).cast("string"), F.lit("0x"), epoch_seconds_of_local(F.col("l_shipdate")).cast("string"), F.lit(""), F.lit(""), F.lit("2")]
+    return lineitem.select(F.concat_ws(",", *fields).alias("value"))
+
+
 def contract_lines(supplier: DataFrame) -> DataFrame:
     k = F.col("s_suppkey")
     line = F.concat_ws(

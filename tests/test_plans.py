@@ -32,10 +32,11 @@ MONTHLY = ["monthly_count", "monthly_mean_value", "monthly_mean_gas_price",
 def test_monthly_questions_shuffle_only_partial_rows(spark, name):
     plan = plan_of(spark, name)
     ex = exchanges(plan)
-    assert len(ex) == 1 and "hashpartitioning(month" in ex[0]
+    # sums: partial rows per month and chunk, then the chunks of each month
+    assert len(ex) == (1 if name == "monthly_count" else 2) and all("hashpartitioning(month" in e for e in ex)
     # the exchange sits between a partial and a final aggregate
     lines = plan.splitlines()
-    i = next(k for k, l in enumerate(lines) if l is ex[0] or l == ex[0])
+    i = lines.index(ex[-1])
     assert "HashAggregate" in lines[i - 1] and "HashAggregate" in lines[i + 1]
     assert "partial_" in lines[i + 1]
 
