@@ -106,5 +106,4 @@ def int_status(col: Column, value: Column | None = None) -> Column:
 def wide_int(col: Column, value: Column) -> Column:
     """Canonical digits of ``int(col)`` where ``value``, its ``python_int``, is
     null for width; else null."""
-    plain, other = col.rlike(_PLAIN), col.rlike(_full_guard())
-    return F.when(value.isNull(), F.when(plain, canonical(col)).when(other, canonical(_normalise(col))))
+    return F.when(value.isNull() & col.rlike(_full_guard()), canonical(_normalise(col)))

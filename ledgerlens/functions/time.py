@@ -11,9 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SECONDS_PER_DAY = 86400
-# The Gregorian calendar repeats every 400 years of 146097 days; counted from
-# 1 March of year 0, day 719468 before 1970, leap days end their years.
-_ERA_DAYS, _EPOCH_DAY = 146097, 719468
+# The Gregorian calendar repeats every 400 years.
+_ERA_SECONDS, _ERA_MONTHS = 146097 * SECONDS_PER_DAY, 4800
 
 # Epochs that gmtime and strftime take: the years of a C int, from 1900 on in
 # a broken-down time below and as a plain number above.
@@ -33,18 +32,13 @@ def month_index(epoch: Column) -> Column:
     """``year * 12 + month - 1`` of a UTC epoch-seconds value (bigint).
 
     Callers evaluate it only for epochs inside ``MIN_EPOCH..MAX_EPOCH`` (under
-    a ``when``).  The civil date is whole-number arithmetic on the day of a
-    400-year era: Spark's date type ends at 32-bit day numbers.
+    a ``when``).  Spark's date type ends at 32-bit day numbers, so it only gets
+    the day within an era of 400 years from 1970 on; the eras are counted.
     """
     seconds = epoch.cast("bigint")
-    day = _div(seconds - F.pmod(seconds, F.lit(SECONDS_PER_DAY)), SECONDS_PER_DAY) + _EPOCH_DAY
-    in_era = F.pmod(day, F.lit(_ERA_DAYS))
-    era = _div(day - in_era, _ERA_DAYS)
-    year = _div(in_era - _div(in_era, 1460) + _div(in_era, 36524) - _div(in_era, _ERA_DAYS - 1), 365)
-    in_year = in_era - (year * 365 + _div(year, 4) - _div(year, 100))
-    march = _div(in_year * 5 + 2, 153)  # months since March
-    # March of a year is month 2 of twelve; January and February end the count
-    return (era * 400 + year) * 12 + march + 2
+    in_era = F.pmod(seconds, F.lit(_ERA_SECONDS))
+    day = F.date_from_unix_date(_div(in_era, SECONDS_PER_DAY).cast("int"))
+    return _div(seconds - in_era, _ERA_SECONDS) * _ERA_MONTHS + F.year(day) * 12 + F.month(day) - 1
 
 
 def month_label(index: Column) -> Column:

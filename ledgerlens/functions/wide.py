@@ -30,22 +30,20 @@ def _div(a: Column, b: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """ASCII digits with an optional sign, without plus and leading zeros."""
-    digits = F.regexp_replace(F.ltrim(text, F.lit("+-")), F.lit("^0+(?=.)"), F.lit(""))
-    return F.when(F.startswith(text, F.lit("-")) & (digits != "0"), F.concat(F.lit("-"), digits)).otherwise(digits)
+    return F.regexp_replace(F.regexp_replace(text, F.lit(r"^\+?(-?)0+(?=[0-9])|^\+"), F.lit("$1")), F.lit("^-0$"), F.lit("0"))
 
 
-def text_chunks(text: Column) -> Column:
-    """Signed chunks of a canonical integer text, lowest first."""
-    sign = F.when(F.startswith(text, F.lit("-")), F.lit(-1)).otherwise(F.lit(1))
-    digits = F.ltrim(text, F.lit("-"))
-    length = F.length(digits)
-    at = F.sequence(F.lit(0), F.floor((length - 1) / DIGITS).cast("int"))
+def text_size(text: Column) -> Column:
+    """How many chunks an integer text may have (a sign counts as a digit)."""
+    return F.call_function("div", F.length(text) + (DIGITS - 1), F.lit(DIGITS)).cast("int")
 
-    def chunk(k: Column) -> Column:
-        end = length - k * DIGITS
-        return (F.substring(digits, F.greatest(end - DIGITS, F.lit(0)) + 1, F.least(end, F.lit(DIGITS))).cast("decimal(26,0)") * sign).cast(LIMB)
 
-    return F.transform(at, chunk)
+def text_chunk(text: Column, k: Column) -> Column:
+    """Signed chunk ``k`` of a canonical integer text, 0 the lowest; null where it
+    has none."""
+    # a place before the beginning is cut off there, so the highest chunk is short
+    part = F.nullif(F.substring(F.ltrim(text, F.lit("-")), (k + 1) * -DIGITS, F.lit(DIGITS)), F.lit(""))
+    return F.concat(F.when(F.startswith(text, F.lit("-")), "-").otherwise(""), part).cast(LIMB)
 
 
 def is_narrow(value: Column) -> Column:
@@ -53,13 +51,6 @@ def is_narrow(value: Column) -> Column:
     return (value < F.lit(BASE)) & (value > F.lit(-BASE))
 
 
-def chunks(value: Column, wide: Column | None = None) -> Column:
-    """Signed chunks of an integer; of null, one null chunk."""
-    text = value.cast("string") if wide is None else F.coalesce(value.cast("string"), wide)
-    return (F.when(text.isNull(), F.array(F.lit(None).cast(LIMB)))
-            .when(is_narrow(value), F.array(value.cast(LIMB))).otherwise(text_chunks(text)))
-
-
 def _carry(sums: Column, sign: int) -> Column:
     """(carry, digits) of summed chunks, lowest first; the carry is negative if
     the whole is."""

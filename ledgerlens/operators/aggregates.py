@@ -21,7 +21,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.wide import carried, chunks, quotient
+from ledgerlens.functions.wide import DIGITS, LIMB, carried, is_narrow, quotient, text_chunk, text_size
 
 CHUNK = "_i"
 WIDE = "_wide"
@@ -57,32 +57,39 @@ def value_columns(df: DataFrame, value: str) -> list[str]:
     return [value, value + WIDE] if value + WIDE in df.columns else [value]
 
 
-def _chunks(df: DataFrame, value: str) -> Column:
-    kind = dict(df.dtypes)[value]
-    if kind == "string":
-        return chunks(F.lit(None).cast("decimal(38,0)"), F.col(value))
-    wide = F.col(value + WIDE) if value + WIDE in df.columns else None
-    return chunks(F.col(value).cast("decimal(38,0)"), wide)
+def _wide_text(df: DataFrame, value: str) -> Column:
+    """The digits of a value of more than one chunk, null for all others."""
+    v = F.col(value)
+    if dict(df.dtypes)[value] == "string":
+        return F.when(F.length(v) > DIGITS, v)
+    text = F.when(~is_narrow(v), v.cast("string"))
+    return F.coalesce(text, F.col(value + WIDE)) if value + WIDE in df.columns else text
 
 
-def chunk_rows(df: DataFrame, keys: Sequence, values: Mapping[str, str], counts: Mapping[str, Column],
+def chunk_rows(df: DataFrame, keys: Sequence[str], values: Mapping[str, str], counts: Mapping[str, Column],
                weight: Column | None = None) -> DataFrame:
     """A row (keys, chunk number, chunk of each value, counts) for every chunk of
     every row's widest value; counts stand in the first.  ``weight`` multiplies
-    the values."""
-    parts = {name: _chunks(df, column) for name, column in values.items()}
-    scaled = lambda limb: limb if weight is None else F.when(weight == 1, limb.cast("decimal(38,0)")).otherwise(times(limb, weight))
-
-    def row(i: Column) -> Column:
-        first = i == 0
-        return F.struct(i.alias(CHUNK), *[scaled(F.get(p, i)).alias(n) for n, p in parts.items()],
-                        *[F.when(first, c).alias(n) for n, c in counts.items()])
-
-    one = F.array(row(F.lit(0)))
-    if parts:
-        widest = F.greatest(*[F.size(p) for p in parts.values()], F.lit(1))
-        one = F.when(widest == 1, one).otherwise(F.transform(F.sequence(F.lit(0), widest - 1), row))
-    return df.select(*keys, F.inline(one))
+    the values.
+
+    Nearly every row is one chunk, as it stands.  The expressions are few and
+    compile, so that the loop over rows stays a method that the JIT takes."""
+    if values:
+        texts = {n: f"_wide_{n}" for n in values}
+        df = df.select("*", *[_wide_text(df, c).alias(texts[n]) for n, c in values.items()])
+        sizes = [F.coalesce(text_size(F.col(t)), F.lit(1)) for t in texts.values()]
+        numbered = df.select("*", F.explode(F.sequence(F.lit(0), (F.greatest(*sizes) if len(sizes) > 1 else sizes[0]) - 1)).alias(CHUNK))
+    else:
+        numbered = df.withColumn(CHUNK, F.lit(0))
+    first = F.col(CHUNK) == 0
+
+    def limb(name: str, column: str) -> Column:
+        wide = F.col(texts[name])
+        part = F.when(wide.isNotNull(), text_chunk(wide, F.col(CHUNK))).when(first, F.col(column).cast(LIMB))
+        return (part if weight is None else F.when(weight == 1, part.cast("decimal(38,0)")).otherwise(times(part, weight))).alias(name)
+
+    return numbered.select(*keys, CHUNK, *[limb(n, c) for n, c in values.items()],
+                           *[F.when(first, c.cast("bigint")).alias(name) for name, c in counts.items()])
 
 
 def fold(rows: DataFrame, keys: Sequence[str], values: Sequence[str], counts: Sequence[str]) -> DataFrame:

@@ -2,7 +2,6 @@
 
 import random
 import time
-from collections import defaultdict
 from decimal import Decimal
 
 import pytest
@@ -11,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.integers import python_int, wide_int
 from ledgerlens.functions.time import MAX_EPOCH, MIN_EPOCH, epoch_in_range, month_index, month_label
-from ledgerlens.functions.wide import canonical, chunks, carried, descending, quotient
+from ledgerlens.functions.wide import canonical, carried, descending, quotient, text_chunk, text_size
+from ledgerlens.operators.aggregates import sum_by
 
 
 def some_int(rng, digits=200):
@@ -24,8 +24,14 @@ def test_chunks_and_carries_round_trip(spark):
     numbers = [some_int(rng) for _ in range(1500)]
     texts = [rng.choice([str(n), f"+{n}" if n >= 0 else str(n), str(n).replace("-", "-000") if n < 0 else f"000{n}", f" {n:_} "]) for n in numbers]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("v", python_int(F.col("t")))
-    df = df.withColumn("w", wide_int(F.col("t"), F.col("v"))).select("i", carried(F.transform(chunks(F.col("v"), F.col("w")), lambda x: x.cast("decimal(38,0)"))).alias("t"))
-    assert {r.i: r.t for r in df.collect()} == {i: str(n) for i, n in enumerate(numbers)}
+    df = df.withColumn("w", wide_int(F.col("t"), F.col("v"))).withColumn("c", F.coalesce(F.col("v").cast("string"), "w"))
+    parts = F.transform(F.sequence(F.lit(0), text_size(F.col("c")) - 1), lambda k: text_chunk(F.col("c"), k).cast("decimal(38,0)"))
+    assert {r.i: r.t for r in df.select("i", carried(parts).alias("t")).collect()} == {i: str(n) for i, n in enumerate(numbers)}
+    sums = {i % 7: 0 for i in range(7)}
+    for i, n in enumerate(numbers):
+        sums[i % 7] += n
+    got = sum_by(df.withColumn("k", F.col("i") % 7).withColumnRenamed("w", "v_wide"), "k", "v")
+    assert {r.k: int(r.total) for r in got.collect()} == sums
     odd = spark.createDataFrame([("0",), ("-0",), ("+007",), ("-00",), ("-010",)], "t string").select(canonical(F.col("t")).alias("t"))
     assert [r.t for r in odd.collect()] == ["0", "0", "7", "0", "-10"]
 
