@@ -6,7 +6,7 @@
 
 The result lands in ``<out>/<question><dd-mm-YYYY_HH-MM-SS>/``, written by the
 executors.  ``--format pairs`` writes one ``[key, value]`` JSON text per row
-(doubles in Spark's number format), ``pairs-one`` ``[key, [value, 1]]``, and
+as ``json.dumps`` does, ``pairs-one`` ``[key, [value, 1]]``, and
 ``lines`` the ``id, address`` lines that ``--scams`` reads.  ``build_silver`` parses the transaction
 export once into a month-partitioned table; ``--transactions-silver`` then
 points every transaction question at that table instead of the raw lines.
@@ -26,12 +26,14 @@ from ledgerlens.operators.sinks import emit_list_lines, pairs_json, result_path,
 from ledgerlens.plans import analyses as A
 from ledgerlens.plans.silver import read_silver_transactions, write_silver_transactions
 from ledgerlens.session import apply_cluster_defaults
+from ledgerlens.sources.document import read_document
 from ledgerlens.sources.text import read_catalogue, read_lines
 
 
 def _scam_pairs(spark: SparkSession, args) -> DataFrame:
     if args.catalogue:
-        pairs = flatten_catalogue(read_catalogue(spark, args.catalogue, multi_line=args.catalogue_multiline))
+        read = read_document if args.catalogue_multiline else read_catalogue
+        pairs = flatten_catalogue(read(spark, args.catalogue))
     else:
         pairs = A.scam_pairs_from_list(read_lines(spark, args.scams), strict=args.strict)
     return pairs.distinct() if args.dedupe else pairs
@@ -91,7 +93,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--scams", help="headerless 'id, address' list")
     p.add_argument("--catalogue", help="JSON catalogue (instead of --scams)")
     p.add_argument("--catalogue-multiline", action="store_true",
-                   help="catalogue files are whole JSON documents (default: JSON lines)")
+                   help="catalogue files are whole JSON documents, read by byte ranges (default: JSON lines)")
     p.add_argument("--addresses", help="comma-separated list for the listed-address question")
     p.add_argument("--scam-id")
     p.add_argument("--strict", action="store_true", help="fail on a list line without a comma")

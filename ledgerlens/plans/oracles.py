@@ -208,6 +208,8 @@ SELECT CAST(1 AS BIGINT) AS k, CAST(sum(bits) AS BIGINT) AS total_bits FROM bl""
 
     "scam_flatten": f"""WITH {PAIRS} SELECT id, address FROM pairs""",
 
+    "scam_document_pairs": f"""WITH {PAIRS} SELECT id, address FROM pairs""",
+
     "scam_list_parse": f"""WITH {PAIRS} SELECT id, address FROM pairs""",
 
     "scam_monthly_mean": f"""WITH {TX}, {PAIRS}

@@ -7,15 +7,20 @@ from ``lineitem``, ``supplier``, ``orders`` and ``documents`` (see
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.catalogue import flatten_catalogue
 from ledgerlens.operators.sinks import pairs_json
 from ledgerlens.plans import analyses as A
+from ledgerlens.session import checkpoint_dir
+from ledgerlens.sources.document import read_document
 from ledgerlens.sources.fixtures import (
     block_lines,
+    catalogue_document,
     catalogue_json_lines,
     contract_lines,
     odd_transaction_lines,
@@ -65,6 +70,12 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue_json_lines(read_table(spark, sf_dir, "supplier"))
 
 
+def scam_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue as one document in a file, read by byte ranges."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/ledgerlens-document-{uuid.uuid4().hex}"
+    return flatten_catalogue(read_document(spark, catalogue_document(catalogue(spark, sf_dir), path)))
+
+
 def scam_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue flattened, written as ``id, address`` lines and read back,
     the path the scam questions take."""
@@ -105,6 +116,7 @@ _QUESTIONS: dict[str, Query] = {
     "top_miners": lambda s, d: A.top_miners(bl(s, d)),
     "hex_overhead_bits": lambda s, d: A.hex_overhead_bits(bl(s, d)),
     "scam_flatten": lambda s, d: A.scam_flatten(catalogue(s, d)),
+    "scam_document_pairs": lambda s, d: scam_document(s, d),
     "scam_list_parse": lambda s, d: scam_list(s, d),
     "scam_monthly_mean": lambda s, d: A.scam_monthly_mean(tx(s, d), scam_list(s, d)),
     "scam_top_totals": lambda s, d: A.scam_top_totals(tx(s, d), scam_list(s, d)),

@@ -174,3 +174,17 @@ def catalogue_json_lines(supplier: DataFrame) -> DataFrame:
                 F.col("e.key"),
                 F.struct(F.col("e.id").alias("id"), F.col("e.addresses").alias("addresses")),
             ).alias("result"))).alias("value")))
+
+
+def catalogue_document(catalogue_lines: DataFrame, path: str) -> str:
+    """Write the entries of a JSON-lines catalogue as one JSON document: a single
+    file of lines, which no reader may rely on.  One task writes it, as one file
+    is what it is for."""
+    entries = catalogue_lines.select(F.regexp_extract("value", r"(?s)^\{\"result\":\{(.*)\}\}$", 1).alias("value"))
+    first = entries.agg(F.min("value")).first()[0]
+    opening = F.when(F.col("value") == first, F.concat(F.lit('{"success":true,"result":{'), F.col("value"))).otherwise(F.concat(F.lit(","), F.col("value")))
+    spark = catalogue_lines.sparkSession
+    end = spark.createDataFrame([("}}",)], "value string")
+    lines = entries.distinct().coalesce(1).sortWithinPartitions("value").select(opening.alias("value"))
+    lines.union(end).coalesce(1).write.text(path)
+    return path

@@ -47,9 +47,9 @@ def read_catalogue(spark: SparkSession, paths: str | list[str], *,
                    multi_line: bool = False) -> DataFrame:
     """Nested address catalogue -> DataFrame[result].
 
-    ``multi_line=True`` reads whole JSON documents (one task per file, for the
-    single-document form); the default reads JSON lines, each line one object
-    with a ``result`` map, which splits across tasks for large catalogues.
+    ``multi_line=True`` reads whole JSON documents, each by one task; a large one
+    is read by many with ``document.read_document``.  The default reads JSON
+    lines, each line one object with a ``result`` map.
     """
     return spark.read.schema(CATALOGUE_SCHEMA).json(paths, multiLine=multi_line, mode="FAILFAST")
 
