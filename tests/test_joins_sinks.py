@@ -164,3 +164,82 @@ def test_wide_keys_take_the_pre_aggregated_path(spark):
     narrow = aggregate_through(f, m, "address", member_keys=("id",), value="value")
     assert "LeftSemi" not in narrow._jdf.queryExecution().optimizedPlan().toString()
     assert as_dict(narrow, "id") == brute(fl, ml, "id")
+
+
+def set_all(spark, **conf):
+    for key, value in conf.items():
+        spark.conf.set(f"spark.ledgerlens.{key}", str(value))
+
+
+def unset_all(spark, *keys):
+    for key in keys:
+        spark.conf.unset(f"spark.ledgerlens.{key}")
+
+
+def test_hot_list_key_is_dealt_over_tasks(spark):
+    """One address in very many list entries: no task has them all."""
+    import statistics
+
+    from ledgerlens.operators import joins as J
+    from ledgerlens.operators.aggregates import chunk_rows, fold
+
+    n = 40_000
+    lst = spark.range(n).select(F.lit("hot").alias("address"), F.concat(F.lit("id"), F.col("id")).alias("id")).unionByName(
+        spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "address string, id string"))
+    f = spark.createDataFrame([("hot", 1, "9" * 50), ("hot", 2, "1"), ("a", 1, "5"), ("b", 1, "-7"), ("zz", 1, "3")], "address string, month int, value string")
+    expect = {"x": (-2, 2), "y": (5, 1), "id7": (int("9" * 50) + 1, 2)}
+    aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        for bound in (0, 10**6):
+            set_all(spark, broadcastMaxRows=max(bound, 1), hotRows=200, maxFanout=16)
+            got = {r.id: (int(r.s), r.n) for r in aggregate_through(f, lst, "address", member_keys=("id",), value="value").collect()}
+            assert len(got) == n + 2 and {k: got[k] for k in expect} == expect
+            assert len({v for k, v in got.items() if k.startswith("id")}) == 1
+        set_all(spark, broadcastMaxRows=200, hotRows=200)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        listed = J.MemberList.of(lst, "address", ("id",))
+        pre = fold(chunk_rows(f, ["address", "month"], {"s": "value"}, {"n": F.lit(1)}), ["address", "month"], ["s"], ["n"])
+        joined = J._join_folded(pre, listed, "address", False)
+        tasks = [r["count"] for r in joined.filter("address = 'hot'").groupBy(F.spark_partition_id()).count().collect()]
+        assert len(tasks) > 2 and max(tasks) <= 2 * statistics.median(tasks)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+        unset_all(spark, "broadcastMaxRows", "hotRows", "maxFanout")
+
+
+def test_large_lists_filter_facts_before_the_exchange(spark):
+    """Beyond the broadcast bound a bitmap drops unlisted facts below the
+    aggregate; what it lets through wrongly leaves at the join."""
+    from ledgerlens.operators import joins as J
+
+    facts_ = spark.range(20_000).select(F.concat(F.lit("0x"), F.col("id")).alias("address"), F.lit(1).alias("month"), F.lit("2").alias("value"))
+    lst = spark.range(0, 20_000, 100).select(F.concat(F.lit("0x"), F.col("id")).alias("address"))
+    try:
+        set_all(spark, broadcastMaxRows=0)
+        listed = J.MemberList.of(lst, "address")
+        assert listed.rows == 200 and not listed.fits_broadcast()
+        kept = listed.narrowed(facts_, "address", False)
+        assert 200 <= kept.count() < 200 + 20_000 // 8 and kept.columns == facts_.columns
+        assert kept.join(listed.df, "address").count() == 200
+        got = aggregate_through(facts_, listed, "address", fact_keys=("month",), value="value").collect()
+        assert [(r.month, int(r.s), r.n) for r in got] == [(1, 400, 200)]
+        monkey = J.BITMAP_WORDS
+        J.BITMAP_WORDS = 1  # no room: all facts stay, the result too
+        assert listed.narrowed(facts_, "address", False).count() == 20_000
+        J.BITMAP_WORDS = monkey
+    finally:
+        unset_all(spark, "broadcastMaxRows")
+
+
+def test_a_list_is_read_once(spark):
+    """The count, the filter and the join of a question read one written table."""
+    from ledgerlens.plans import analyses as A
+    from ledgerlens.plans.registry import ct, tx
+    from conftest import SF_SMALL
+
+    seen = spark.sparkContext.accumulator(0)
+    lines = ct(spark, SF_SMALL)
+    rows = lines.count()
+    counted = lines.rdd.map(lambda r: (seen.add(1), r)[1]).toDF(lines.schema)
+    top = sorted(map(tuple, A.top_contracts(tx(spark, SF_SMALL), counted).collect()))
+    assert seen.value == rows and top == sorted(map(tuple, A.top_contracts(tx(spark, SF_SMALL), lines).collect()))
