@@ -15,7 +15,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.integers import int_status, python_int, wide_int
@@ -129,6 +130,36 @@ def parse_lines(lines: DataFrame, contract: TableContract, *, keep: tuple[str, .
     return barrier.select(*out_cols, month.alias("month"), "reason")
 
 
+def reasons_of(checked: tuple[str, ...], timestamp: str | None = None, on_bad_timestamp: str = FAIL, skip_header: bool = False) -> list[str]:
+    """The reasons that :func:`parse_lines` may reject a line with."""
+    late = [timestamp, f"{timestamp}:range"] if timestamp and on_bad_timestamp == REJECT else []
+    return list(dict.fromkeys([*(["header"] if skip_header else []), "arity", *checked, *late]))
+
+
+def observed(parsed: DataFrame, observation: Observation, reasons: list[str]) -> DataFrame:
+    """``parsed``, whose run also counts its lines and those of each reason: the
+    job that reads the lines tells what it dropped, without another scan."""
+    return parsed.observe(observation, *_counted(reasons))
+
+
+def _counted(reasons: list[str]) -> list[Column]:
+    by = [F.count_if(F.col("reason") == r).alias(f"r{i}") for i, r in enumerate(reasons)]
+    return [F.count(F.lit(1)).alias("lines"), *by]
+
+
+def line_counts(observation: Observation, reasons: list[str], parsed: DataFrame) -> list[tuple[str, int]]:
+    """(reason, lines) that the finished run has counted, ``ok`` for those it used.
+
+    A run whose result turns out to be empty may end without its counts, as
+    adaptive execution then drops what led to it; only then ``parsed`` is counted."""
+    try:
+        got = observation.get
+    except Py4JJavaError:
+        got = parsed.agg(*_counted(reasons)).first().asDict()
+    dropped = [(r, got[f"r{i}"]) for i, r in enumerate(reasons)]
+    return [("ok", got["lines"] - sum(n for _, n in dropped)), *[(r, n) for r, n in dropped if n]]
+
+
 def _fails(what: str, shown: Column) -> Column:
     return F.raise_error(F.concat(F.lit(what), shown)).cast("string")
 

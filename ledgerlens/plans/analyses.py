@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.integers import int_status
@@ -45,8 +45,10 @@ from ledgerlens.operators.parse import (
     REJECT,
     TRANSACTIONS,
     accepted,
+    observed,
     parse_lines,
     parse_reference_list,
+    reasons_of,
     strict_month,
 )
 from ledgerlens.operators.materialize import shared
@@ -104,6 +106,15 @@ class Lines:
     on_bad_timestamp: str = FAIL
     skip_header: bool = False
     dedupe: bool = False  # a contract listed several times counts once
+    # takes the arguments of ``line_counts`` by table: what the run of a question counts
+    counts: dict | None = None
+
+    def watched(self, parsed: DataFrame, table: str, *rules, **more) -> DataFrame:
+        if self.counts is None:
+            return parsed
+        reasons = reasons_of(*rules, skip_header=self.skip_header, **more)
+        self.counts[table] = Observation(f"{table} lines"), reasons, parsed
+        return observed(parsed, *self.counts[table][:2])
 
     @staticmethod
     def of(lines: DataFrame | Lines) -> Lines:
@@ -124,9 +135,9 @@ def transactions(tx_lines: DataFrame, checks: tuple[str, ...], *, keep=(), value
     lines = Lines.of(tx_lines)
     if is_silver(lines.df):
         return _from_silver(lines.df, checks, keep, integers, month, lines.on_bad_timestamp)
-    return accepted(parse_lines(
-        lines.df, TRANSACTIONS, keep=tuple(keep), checked=checks, integers=integers, skip_header=lines.skip_header,
-        timestamp="block_timestamp" if month else None, on_bad_timestamp=lines.on_bad_timestamp))
+    rules = {"timestamp": "block_timestamp" if month else None, "on_bad_timestamp": lines.on_bad_timestamp}
+    parsed = parse_lines(lines.df, TRANSACTIONS, keep=tuple(keep), checked=checks, integers=integers, skip_header=lines.skip_header, **rules)
+    return accepted(lines.watched(parsed, "transactions", checks, **rules))
 
 
 def _from_silver(silver: DataFrame, checks, keep, integers, month: bool,
@@ -156,7 +167,8 @@ def contracts(ct_lines: DataFrame) -> DataFrame:
     """Contract addresses of 6-field lines (a header line is kept, as a key,
     unless the lines say otherwise)."""
     lines = Lines.of(ct_lines)
-    rows = accepted(parse_lines(lines.df, CONTRACTS, keep=("address",), checked=CONTRACT_CHECKS, skip_header=lines.skip_header))
+    parsed = parse_lines(lines.df, CONTRACTS, keep=("address",), checked=CONTRACT_CHECKS, skip_header=lines.skip_header)
+    rows = accepted(lines.watched(parsed, "contracts", CONTRACT_CHECKS))
     return rows.distinct() if lines.dedupe else rows
 
 
@@ -289,7 +301,8 @@ def top_contract_monthly_mean_gas(tx_lines: DataFrame, ct_lines: DataFrame,
 
 def top_miners(bl_lines: DataFrame, k: int = TOP_K) -> DataFrame:
     lines = Lines.of(bl_lines)
-    bl = accepted(parse_lines(lines.df, BLOCKS, keep=("miner",), checked=BLOCK_SIZE_CHECKS, integers=BLOCK_SIZE_CHECKS, skip_header=lines.skip_header))
+    parsed = parse_lines(lines.df, BLOCKS, keep=("miner",), checked=BLOCK_SIZE_CHECKS, integers=BLOCK_SIZE_CHECKS, skip_header=lines.skip_header)
+    bl = accepted(lines.watched(parsed, "blocks", BLOCK_SIZE_CHECKS))
     totals = sum_by(bl, "miner", "size", "total")
     return top_k(totals, k, "total", ("miner",)).select("miner", _total("total", "total_size"))
 
@@ -298,7 +311,7 @@ def hex_overhead_bits(bl_lines: DataFrame) -> DataFrame:
     """Total bits in the five hex columns of every 19-field block line."""
     hex_cols = ("sha3_uncles", "logs_bloom", "transactions_root", "state_root", "receipts_root")
     lines = Lines.of(bl_lines)
-    bl = accepted(parse_lines(lines.df, BLOCKS, keep=hex_cols, skip_header=lines.skip_header))
+    bl = accepted(lines.watched(parse_lines(lines.df, BLOCKS, keep=hex_cols, skip_header=lines.skip_header), "blocks", ()))
     bits = hex_bits(*[F.col(c) for c in hex_cols])
     return constant_key_sum(bl, bits, "total_bits")
 

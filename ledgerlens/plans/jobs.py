@@ -21,9 +21,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.operators.catalogue import flatten_catalogue
-from ledgerlens.operators.parse import FAIL, REJECT
+from ledgerlens.operators.parse import FAIL, REJECT, line_counts
 from ledgerlens.operators.sinks import emit_list_lines, pairs_json, result_path, write_lines, write_result
 from ledgerlens.plans import analyses as A
+from ledgerlens.plans.incremental import fold_new_exports, folded_totals, monthly_summary_of
 from ledgerlens.plans.silver import read_silver_transactions, write_silver_transactions
 from ledgerlens.session import apply_cluster_defaults
 from ledgerlens.sources.document import read_document
@@ -40,7 +41,12 @@ def _scam_pairs(spark: SparkSession, args) -> DataFrame:
 
 
 def _lines(args, df: DataFrame) -> A.Lines:
-    return A.Lines(df, args.on_bad_timestamp, args.skip_header, args.dedupe)
+    return A.Lines(df, args.on_bad_timestamp, args.skip_header, args.dedupe, args.line_counts)
+
+
+def _kept_up(spark: SparkSession, args) -> DataFrame:
+    fold_new_exports(spark, args.transactions, args.folded, on_bad_timestamp=args.on_bad_timestamp, skip_header=args.skip_header)
+    return monthly_summary_of(folded_totals(spark, args.folded))
 
 
 def _tx(spark, args):
@@ -60,7 +66,7 @@ def _bl(spark, args):
 JOBS: dict[str, Callable] = {
     "monthly_count": lambda s, a: A.monthly_count(_tx(s, a)),
     "monthly_mean_value": lambda s, a: A.monthly_mean_value(_tx(s, a)),
-    "monthly_summary": lambda s, a: A.monthly_summary(_tx(s, a)),
+    "monthly_summary": lambda s, a: _kept_up(s, a) if a.folded else A.monthly_summary(_tx(s, a)),
     "monthly_mean_gas_price": lambda s, a: A.monthly_mean_gas_price(_tx(s, a)),
     "address_totals": lambda s, a: A.address_totals(_tx(s, a)),
     "top_contracts": lambda s, a: A.top_contracts(_tx(s, a), _ct(s, a)),
@@ -101,6 +107,8 @@ def parser() -> argparse.ArgumentParser:
                    help="fail the job on an unusable timestamp, or drop the line")
     p.add_argument("--skip-header", action="store_true", help="drop the export's header line")
     p.add_argument("--dedupe", action="store_true", help="an address listed several times counts once")
+    p.add_argument("--folded", help="folder of partial sums kept between runs of monthly_summary: only new files are parsed")
+    p.add_argument("--reject-counts", action="store_true", help="also write, beside the result, how many lines the run used and dropped, by reason")
     p.add_argument("--out", required=True, help="result root folder (any Hadoop URI)")
     p.add_argument("--format", default="json", choices=("json", "parquet", "pairs", "pairs-one", "lines"))
     return p
@@ -109,11 +117,20 @@ def parser() -> argparse.ArgumentParser:
 def run(spark: SparkSession, argv: list[str], run_ts: datetime | None = None) -> str:
     args = parser().parse_args(argv)
     run_ts = run_ts or datetime.now()
+    args.line_counts = {} if args.reject_counts else None
     if args.question == "build_silver":
         path = result_path(args.out, "silver_transactions", run_ts)
         write_silver_transactions(read_lines(spark, args.transactions), path)
         return path
-    result = JOBS[args.question](spark, args)
+    path = _write(JOBS[args.question](spark, args), args, run_ts)
+    if args.line_counts:
+        rows = [(table, reason, n) for table, seen in args.line_counts.items() for reason, n in line_counts(*seen)]
+        counts = spark.createDataFrame(rows, "input string, reason string, n_lines long")
+        write_result(counts.coalesce(1), args.out, f"{args.question}_lines", run_ts)
+    return path
+
+
+def _write(result: DataFrame, args, run_ts: datetime) -> str:
     if args.format in ("pairs", "pairs-one", "lines"):
         path = result_path(args.out, args.question, run_ts)
         if args.format == "lines":

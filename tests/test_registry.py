@@ -90,3 +90,16 @@ def test_other_zone_and_ansi_off_match_oracle(spark, con, name):
         spark.conf.set("spark.sql.ansi.enabled", ansi)
     res = con.sql(oracle_sql()[name])
     assert canon(df.columns, rows) == canon(res.columns, res.fetchall())
+
+
+def test_entry_without_the_optional_libraries():
+    """A library that only the training-data operators use may be missing."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parents[1])
+    code = ("import sys; sys.modules['tokenizers'] = sys.modules['regex'] = sys.modules['public_tokenizers'] = None\n"
+            "import __spark_entry__ as e; print(len(e.queries()), any(q.startswith('op') for q in e.queries()))")
+    out = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    assert out.stdout.split() == [str(len(QUERIES)), "False"]
