@@ -5,6 +5,9 @@ once and compiled into a minimal acyclic transducer: an automaton over the
 words' bytes in which equal suffixes share states and whose arcs carry numbers
 that add up to the word's place in the table of its ids.  It is one flat file
 that every worker memory-maps.  Words outside the lexicon are merged exactly.
+Texts are cut and looked up a batch at a time (``pieces``): the words of all
+pieces that a worker does not remember go through the automaton together.  What
+it remembers is bounded in bytes.
 
 Encoding equals that of the ``tokenizers`` library for a byte-level BPE file
 with the standard splitting pattern and without special tokens added; strings
@@ -23,55 +26,38 @@ import heapq
 import json
 import mmap
 import re
-import struct
 import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import column, gather, map_arrow, shared, slices, texts
+from ledgerlens.llm.common import SLICE_BYTES, column, gather, map_arrow, shared, slices
+from ledgerlens.llm.pieces import PieceTable, distinct_pieces, flat_bytes, starts
 
 #: Words compiled into the lexicon, and the bytes of the longest such word.
 LEXICON_WORDS = 300_000
 LEXICON_BYTES = 64
-#: Words whose results a worker remembers; the memory is emptied when full.
-MEMO = 400_000
+#: Bytes of counted pieces that a task holds, estimated.
+COUNT_BYTES = 128 << 20
 
 #: Fixed value: the splitting pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPLIT = regex.compile(PATTERN)
-# white space of the pattern; a space beside any of it is no place to cut
-_WHITE_ASCII = " \t\n\v\f\r\x1c\x1d\x1e\x1f"
-_WHITE = _WHITE_ASCII + "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
-def chunks(text: str) -> list[str]:
-    """Cut a text before single spaces, where the pattern always starts a new
-    word; a text with longer runs of white space is left to the pattern.  A
-    chunk that follows a space stands without it, any other after a space, so
-    that most chunks are the pieces of ``str.split`` as they are."""
-    white = _WHITE_ASCII if text.isascii() else _WHITE
-    if text[:1] == " " or text[-1:] == " " or any(" " + w in text or w + " " in text for w in white):
-        return [" " + w for w in _SPLIT.findall(text)]
-    first, *rest = text.split(" ")
-    return [" " + first, *rest] if first else rest
-
-
-def chunk_words(chunk: str) -> list[str]:
-    """The pattern's words in a chunk."""
-    if chunk.isalpha():
-        return [" " + chunk]
-    if chunk[:-1].isalpha() and chunk[-1] in ".,":
-        return [" " + chunk[:-1], chunk[-1]]
-    return _SPLIT.findall(chunk[1:] if chunk[:1] == " " else " " + chunk)
+def piece_words(piece: str) -> list[str]:
+    """The pattern's words in a piece of text."""
+    if piece.isalpha() or piece[0] == " " and piece[1:].isalpha():
+        return [piece]
+    return _SPLIT.findall(piece)
 
 
 def byte_characters() -> dict[str, int]:
@@ -235,10 +221,11 @@ def write_arrays(path: str, arrays: dict[str, np.ndarray], note: dict) -> None:
         f.truncate(start + at)
 
 
-class Lexicon:
+class Lexicon(PieceTable):
     """The memory-mapped transducer and the merging of all other words."""
 
     def __init__(self, path: str):
+        super().__init__()
         with open(path, "rb") as f:
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         start = self.map.find(b"\n") + 1
@@ -247,10 +234,10 @@ class Lexicon:
         self.arc_key, self.arc_to, self.arc_out, self.final = a["arc_key"], a["arc_to"], a["arc_out"], a["final"]
         self.id_start, self.ids = a["id_start"], a["ids"]
         self.merger = Merger(json.loads(a["spec"].tobytes()))
-        self.token_bytes = self.merger.token_bytes
+        self.token_bytes = pa.array(self.merger.token_bytes, pa.binary())
+        self.decimals = pa.array([str(i) for i in range(len(self.token_bytes))])
         special = sorted(self.merger.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.memo: dict[str, tuple[bytes, str]] = {}  # ids of a chunk as 32-bit numbers, and in decimal
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """Places of the words in the lexicon, -1 for others; all words take
@@ -275,52 +262,50 @@ class Lexicon:
             place[live] += self.arc_out[arc]
         return np.where((state >= 0) & self.final[state], place, -1)
 
-    def word_ids(self, words: list[str]) -> list[tuple[bytes, str]]:
+    def learn(self, pieces: list[bytes], rows: np.ndarray) -> None:
+        """The words of the pieces take their way through the automaton together;
+        those it does not end at are merged."""
+        words: dict[str, int] = {}
+        at, count = [], []
+        for p in pieces:
+            own = self._words(p.decode())
+            at += [words.setdefault(w, len(words)) for w in own]
+            count.append(len(own))
+        special = self.merger.special
         data = [w.encode() for w in words]
         place = self.places(data)
-        merge = self.merger.merge
-        ids = [() if p >= 0 else merge(w) for w, p in zip(data, place.tolist(), strict=True)]
-        found = np.flatnonzero(place >= 0)
-        start, stop = self.id_start[place[found]], self.id_start[place[found] + 1]
-        flat, at = self.ids[gather(start, stop - start)].tolist(), 0
-        for k, n in zip(found.tolist(), (stop - start).tolist(), strict=True):
-            ids[k] = tuple(flat[at:at + n])
-            at += n
-        return [(struct.pack(f"<{len(x)}i", *x), ",".join(map(str, x))) for x in ids]
-
-    def learn(self, new: list[str]) -> None:
-        """Put the ids of new chunks of text into the memory."""
-        special = self.merger.special
-        for c in special:
-            self.memo[c] = struct.pack("<i", special[c]), str(special[c])
-        new = [c for c in new if c not in special]
-        parts = [chunk_words(c) for c in new]
-        words = list({w for p in parts for w in p})
-        known = dict(zip(words, self.word_ids(words), strict=True))
-        for c, p in zip(new, parts, strict=True):
-            self.memo[c] = known[p[0]] if len(p) == 1 else (b"".join([known[w][0] for w in p]), ",".join([known[w][1] for w in p]))
-
-    def pieces(self, text: str) -> list[str]:
-        """Chunks of the text; a special token is a chunk of its own."""
-        if self.special is None or not self.special.search(text):
-            return chunks(text)
-        parts = [p for p in self.special.split(text) if p]
-        return [c for p in parts for c in ((p,) if p in self.merger.special else chunks(p))]
-
-    def encode(self, batch: list[str]) -> Iterator[tuple[np.ndarray, str]]:
-        """Ids of each text, and the ids written in decimal with commas."""
-        cut = [self.pieces(t) for t in batch]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        self.learn([c for c in set(chain.from_iterable(cut)) if c not in memo])
-        for p in cut:
-            found = [memo[c] for c in p]
-            yield np.frombuffer(b"".join([ids for ids, _ in found]), np.int32), ",".join([s for _, s in found])
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        table = self.token_bytes
-        return b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace").encode()
+        place[[words[w] for w in special if w in words]] = -1
+        begin, length = np.zeros(len(data), np.int64), np.zeros(len(data), np.int64)
+        known = place >= 0
+        begin[known], length[known] = self.id_start[place[known]], self.id_start[place[known] + 1] - self.id_start[place[known]]
+        other = np.flatnonzero(~known)
+        named = list(words)
+        merged = [(special[named[i]],) if named[i] in special else self.merger.merge(data[i]) for i in other.tolist()]
+        length[other] = np.fromiter(map(len, merged), np.int64, len(merged))
+        begin[other] = len(self.ids) + np.cumsum(length[other]) - length[other]
+        every = np.concatenate([self.ids, np.fromiter((i for x in merged for i in x), np.int32, int(length[other].sum()))])
+        at = np.array(at, np.int64)
+        ends = np.concatenate([[0], np.cumsum(length[at])])
+        bounds = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
+        self.keep(rows, np.diff(ends[bounds]), every[gather(begin[at], length[at])].astype(np.uint32))
+
+    def _words(self, piece: str) -> list[str]:
+        """A special token in a piece is a word of its own."""
+        if self.special is None or not self.special.search(piece):
+            return piece_words(piece)
+        parts = [p for p in self.special.split(piece) if p]
+        return [w for p in parts for w in ([p] if p in self.merger.special else piece_words(p))]
+
+    def _joined(self, table: pa.Array, ids: np.ndarray, bounds: np.ndarray, between: str | bytes) -> pa.Array:
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), table.take(pa.array(ids))), between)
+
+    def written(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """Each text's ids in decimal, with commas between."""
+        return self._joined(self.decimals, ids, bounds, ",").to_pylist()
+
+    def decoded(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """The texts that the ids stand for, in UTF-8."""
+        return [b.decode("utf-8", "replace").encode() for b in self._joined(self.token_bytes, ids, bounds, b"").to_pylist()]
 
 
 # --- Spark jobs ----------------------------------------------------------------
@@ -329,20 +314,29 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """How often each word of the splitting pattern occurs: ``word``, ``n``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+        seen: Counter[bytes] = Counter()
 
         def flush() -> Iterator[pa.RecordBatch]:
             words: Counter[str] = Counter()
-            for chunk, n in seen.items():
-                for w in chunk_words(chunk):
+            for piece, n in seen.items():
+                for w in piece_words(piece.decode()):
                     words[w] += n
             seen.clear()
             yield pa.RecordBatch.from_pydict({"word": pa.array(words.keys(), pa.string()), "n": pa.array(words.values(), pa.int64())})
 
-        for piece in slices(batches, text):
-            for t in texts(column(piece, text)):
-                seen.update(chunks(t))
-            if len(seen) > MEMO:
+        held = 0
+        for batch in slices(batches, text, 2 * SLICE_BYTES):
+            data, bounds = flat_bytes(column(batch, text))
+            if not len(data):
+                continue
+            pieces = distinct_pieces(data, starts(data, bounds))
+            before = len(seen)
+            found = pieces.dictionary.to_pylist()
+            for p, n in zip(found, np.bincount(pieces.indices.to_numpy(), minlength=len(found)).tolist(), strict=True):
+                seen[p] += n
+            held += 150 * (len(seen) - before) + pieces.dictionary.nbytes
+            if held > COUNT_BYTES:
+                held = 0
                 yield from flush()
         yield from flush()
 
@@ -401,8 +395,9 @@ def share_lexicon(spark: SparkSession, words: list[str], vocabulary: str) -> str
 
 
 def mapped(docs: DataFrame, vocabulary: str, keep: list[str], schema: str,
-           result: Callable[[Lexicon, np.ndarray, str], tuple], *, text: str = "text", words: int = LEXICON_WORDS) -> DataFrame:
-    """Columns ``keep``, then what ``result`` makes of each text's ids."""
+           result: Callable[[Lexicon, np.ndarray, np.ndarray], list], *, text: str = "text", words: int = LEXICON_WORDS) -> DataFrame:
+    """Columns ``keep``, then those that ``result`` makes of the ids of a batch of
+    texts and of their bounds."""
     name = share_lexicon(docs.sparkSession, lexicon_words(docs, text, words), vocabulary)
     whole = docs.select(*keep, F.col(text).alias("__text"))
     kept = whole.select(*keep)
@@ -412,23 +407,25 @@ def mapped(docs: DataFrame, vocabulary: str, keep: list[str], schema: str,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = opened(name)
         for piece in slices(batches, "__text"):
-            rows = [result(lexicon, ids, written) for ids, written in lexicon.encode(texts(column(piece, "__text")))]
-            yield pa.RecordBatch.from_arrays([column(piece, k) for k in keep] + [pa.array(c) for c in zip(*rows, strict=True)], [*keep, *added])
+            ids, bounds = lexicon.encode(column(piece, "__text"))
+            yield pa.RecordBatch.from_arrays([column(piece, k) for k in keep] + [pa.array(c) if isinstance(c, list) else c for c in result(lexicon, ids, bounds)], [*keep, *added])
 
     return map_arrow(whole, encode, full)
 
 
 def encode(docs: DataFrame, vocabulary: str, keep: list[str], *, text: str = "text", words: int = LEXICON_WORDS) -> DataFrame:
     """Columns ``keep`` and ``ids``, the ids of column ``text``."""
-    return mapped(docs, vocabulary, keep, "ids array<int>", lambda _, ids, __: (ids,), text=text, words=words)
+    return mapped(docs, vocabulary, keep, "ids array<int>",
+                  lambda _, ids, bounds: [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))], text=text, words=words)
 
 
 def encode_digests(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", words: int = LEXICON_WORDS) -> DataFrame:
     """``key``, ``n_tokens``, the SHA-256 of the ids in decimal, joined by
     commas, and the SHA-256 of the text that the ids decode to."""
 
-    def digests(lexicon: Lexicon, ids: np.ndarray, written: str) -> tuple:
-        return len(ids), hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(lexicon.decode(ids)).hexdigest()
+    def digests(lexicon: Lexicon, ids: np.ndarray, bounds: np.ndarray) -> list:
+        return [pa.array(np.diff(bounds)), [hashlib.sha256(t.encode()).hexdigest() for t in lexicon.written(ids, bounds)],
+                [hashlib.sha256(t).hexdigest() for t in lexicon.decoded(ids, bounds)]]
 
     return mapped(docs, vocabulary, [key], "n_tokens long, ids_sha256 string, decoded_sha256 string", digests, text=text, words=words)
 

@@ -1,4 +1,4 @@
-"""Ids of many texts at once, for byte-level BPE files of the standard pattern.
+"""Ids of many texts at once.
 
 The bytes of a batch are cut, all together, at places where the splitting
 pattern always starts a new word; equal pieces are found by dictionary encoding,
@@ -66,23 +66,15 @@ def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[bounds[0]:bounds[-1]], bounds - bounds[0]
 
 
-class PieceEncoder:
-    """Ids as the ``tokenizers`` library gives them, without special tokens added."""
+class PieceTable:
+    """Distinct pieces with their ids, and the encoding of texts by them.
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    A subclass says in :meth:`learn` what ids pieces have."""
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        with open(path, "rb") as f:
-            spec = json.load(f)
-        split = spec.get("pre_tokenizer") or {}
-        added = [t for t in spec["added_tokens"] if t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() or c in ".," for c in t["content"])]
-        #: whether texts can be cut; else each whole text is a piece
-        self.cuts = (split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
-                     and not spec.get("normalizer") and not added)
+    #: whether texts can be cut; else each whole text is a piece
+    cuts = True
+
+    def __init__(self):
         self._forget()
 
     def _forget(self) -> None:
@@ -91,35 +83,25 @@ class PieceEncoder:
         self.begin, self.length, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
         self.held = 0
 
-    def _keep(self, rows: np.ndarray, length: np.ndarray, flat: np.ndarray) -> None:
+    def cut(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        return starts(data, bounds)
+
+    def learn(self, pieces: list[bytes], rows: np.ndarray) -> None:
+        """:meth:`keep` the ids of these pieces in these rows."""
+        raise NotImplementedError
+
+    def keep(self, rows: np.ndarray, length: np.ndarray, flat: np.ndarray) -> None:
         while self.n_flat + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat * 0])
         self.flat[self.n_flat:self.n_flat + len(flat)] = flat
         self.begin[rows], self.length[rows] = self.n_flat + np.cumsum(length) - length, length
         self.n_flat += len(flat)
 
-    def _learn(self, new: list[bytes]) -> np.ndarray:
-        """Encode pieces; returns the rows of their ids."""
+    def _add(self, new: list[bytes]) -> np.ndarray:
         rows = np.arange(self.n, self.n + len(new))
         while self.n + len(new) > len(self.begin):
             self.begin, self.length = np.concatenate([self.begin, self.begin * 0]), np.concatenate([self.length, self.length * 0])
-        texts = [b.decode() for b in new]
-        # a space and letters are one word wherever they stand, so many are encoded as one text
-        plain = [i for i, t in enumerate(texts) if t[0] == " " and t[1:].isalpha()] if self.cuts else []
-        rest = sorted({*range(len(texts))} - {*plain})
-        for at in range(0, len(plain), 512):
-            some = plain[at:at + 512]
-            e = self.tokenizer.encode("".join([texts[i] for i in some]), add_special_tokens=False)
-            of = np.array(e.word_ids, np.int64)
-            if of[-1] + 1 != len(some):  # not as said above: each alone
-                rest += some
-                continue
-            self._keep(rows[some], np.bincount(of, minlength=len(some)), np.array(e.ids, np.uint32))
-        for at in range(0, len(rest), 4096):
-            some = rest[at:at + 4096]
-            ids = [e.ids for e in self.tokenizer.encode_batch([texts[i] for i in some], add_special_tokens=False)]
-            length = np.fromiter(map(len, ids), np.int64, len(ids))
-            self._keep(rows[some], length, np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum())))
+        self.learn(new, rows)
         self.n += len(new)
         short = [(b, r) for b, r in zip(new, rows.tolist(), strict=True) if len(b) <= LONGEST]
         self.memo.update(short)
@@ -133,15 +115,70 @@ class PieceEncoder:
         data, bounds = flat_bytes(texts)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
-        at = starts(data, bounds) if self.cuts else np.unique(bounds[:-1][bounds[1:] > bounds[:-1]])
-        offsets = np.append(at, len(data)).astype(np.int64)
-        pieces = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        at = self.cut(data, bounds) if self.cuts else np.unique(bounds[:-1][bounds[1:] > bounds[:-1]])
+        pieces = distinct_pieces(data, at)
         distinct = pieces.dictionary.to_pylist()
         find = self.memo.get
         rows = np.fromiter((find(b, -1) for b in distinct), np.int64, len(distinct))
         new = np.flatnonzero(rows < 0)
-        rows[new] = self._learn([distinct[i] for i in new.tolist()])
+        if len(new):
+            rows[new] = self._add([distinct[i] for i in new.tolist()])
         row = rows[pieces.indices.to_numpy()]
         length = self.length[row]
         ends = np.concatenate([[0], np.cumsum(length)])
         return self.flat[gather(self.begin[row], length)], ends[np.searchsorted(at, bounds)]
+
+
+def distinct_pieces(data: np.ndarray, at: np.ndarray) -> pa.DictionaryArray:
+    """The pieces of the bytes that start at these places, equal ones as one."""
+    offsets = np.append(at, len(data)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+
+
+class LibraryTable(PieceTable):
+    """Ids that a tokenizer of the ``tokenizers`` library gives, without special
+    tokens added."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def many(self, texts: list[str], between: str, plain: list[int], rows: np.ndarray) -> None:
+        """Encode texts; ``plain`` ones are single words wherever they stand, so
+        many of them, with ``between`` between, are encoded as one text."""
+        rest = sorted({*range(len(texts))} - {*plain})
+        for at in range(0, len(plain), 512):
+            some = plain[at:at + 512]
+            e = self.tokenizer.encode(between.join([texts[i] for i in some]), add_special_tokens=False)
+            of = np.array(e.word_ids, np.int64)
+            if not len(of) or of[-1] + 1 != len(some):  # not as said above: each alone
+                rest += some
+                continue
+            self.keep(rows[some], np.bincount(of, minlength=len(some)), np.array(e.ids, np.uint32))
+        for at in range(0, len(rest), 4096):
+            some = rest[at:at + 4096]
+            ids = [e.ids for e in self.tokenizer.encode_batch([texts[i] for i in some], add_special_tokens=False)]
+            length = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.keep(rows[some], length, np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum())))
+
+
+class PieceEncoder(LibraryTable):
+    """Byte-level BPE of the standard pattern; for other files whole texts."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        with open(path, "rb") as f:
+            spec = json.load(f)
+        split = spec.get("pre_tokenizer") or {}
+        added = [t for t in spec["added_tokens"] if t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() or c in ".," for c in t["content"])]
+        self.cuts = (split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+                     and not spec.get("normalizer") and not added)
+
+    def learn(self, pieces: list[bytes], rows: np.ndarray) -> None:
+        texts = [b.decode() for b in pieces]
+        self.many(texts, "", [i for i, t in enumerate(texts) if t[0] == " " and t[1:].isalpha()] if self.cuts else [], rows)

@@ -1,12 +1,13 @@
 import hashlib
 import json
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from ledgerlens.llm import bpe
+from ledgerlens.llm import bpe, pieces
 from ledgerlens.llm.queries import QUERIES
 
 
@@ -44,20 +45,26 @@ def test_lexicon_places(lexicon):
 
 
 def test_odd_texts_equal_library(lexicon, library, odd_texts):
-    for t in odd_texts:
-        (ids, written), = lexicon.encode([t or ""])
+    ids, bounds = lexicon.encode(pa.array(odd_texts))
+    for i, (t, written, text) in enumerate(zip(odd_texts, lexicon.written(ids, bounds), lexicon.decoded(ids, bounds), strict=True)):
         want = library.encode(t or "", add_special_tokens=False).ids
-        assert ids.tolist() == want and written == ",".join(map(str, want))
-        assert lexicon.decode(ids).decode() == library.decode(want, skip_special_tokens=False)
+        assert ids[bounds[i]:bounds[i + 1]].tolist() == want and written == ",".join(map(str, want))
+        assert text.decode() == library.decode(want, skip_special_tokens=False)
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from(["a", " ", "  ", "\n", "\t", "the", "'s", "1", "é", "ñ", ".", "\x85", " ", "<|endoftext|>", "zq", "日"]), max_size=25).map("".join))
+@given(st.lists(st.sampled_from(["a", " ", "  ", "\n", "\t", "the", "'s", "1", "é", "ñ", ".", "\x85", " ", "<|endoftext|>", "zq", "日"]), max_size=25).map("".join))
 def test_encoding_equals_library(lexicon, library, text):
-    (ids, _), = lexicon.encode([text])
+    ids, _ = lexicon.encode(pa.array([text, None]))
     assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_texts_without_spaces_are_not_remembered(lexicon):
+    """Long pieces leave no trace in a worker's memory but their ids, which count."""
+    lexicon.encode(pa.array(["日本語" * 1000, "x" * 3000]))
+    assert max(map(len, lexicon.memo), default=0) <= pieces.LONGEST
+
+
 def test_long_words_merge_alike(vocabulary):
     with open(vocabulary("byte_bpe_50k.json"), "rb") as f:
         merger = bpe.Merger(json.load(f))
