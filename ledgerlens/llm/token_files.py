@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import json
 import os
-import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,13 +35,12 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import column, map_arrow, shared, slices, texts
+from ledgerlens.llm.common import column, gather, map_arrow, shared, slices
+from ledgerlens.llm.pieces import LibraryTable, PieceTable
 from ledgerlens.session import checkpoint_dir
 
 MAGIC = b"IDPACK01"
 BLOCK = 4096
-#: Pieces of text whose ids a worker remembers.
-MEMO = 1_000_000
 
 
 def bit_width(vocabulary: int) -> int:
@@ -152,7 +151,7 @@ class TokenFile:
             i = j
 
 
-class TextEncoder:
+class TextEncoder(LibraryTable):
     """A ``tokenizers`` tokenizer that encodes repeated pieces of text once.
 
     The texts are cut at spaces and line feeds, which the vocabulary's
@@ -160,16 +159,9 @@ class TextEncoder:
     those of its pieces in order.  Other tokenizers encode whole texts."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        super().__init__(path)
         with open(path, "rb") as f:
-            spec = json.load(f)
-        self.memo: dict[str, bytes] = {"": b""}
-        self.cut = self._drops_white_space(spec)
+            self.cuts = self._drops_white_space(json.load(f))
 
     @staticmethod
     def _drops_white_space(spec: dict) -> bool:
@@ -183,54 +175,60 @@ class TextEncoder:
                 and splits[0].get("type") == "Split" and splits[0]["behavior"] == "Removed" and splits[0]["invert"]
                 and r"[^\s" in splits[0]["pattern"]["Regex"] and not added)
 
+    def cut(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Before each space or line feed."""
+        at = np.zeros(len(data) + 1, bool)
+        at[:-1] = (data == 32) | (data == 10)
+        at[bounds] = True
+        return np.flatnonzero(at[:-1])
+
     @staticmethod
     def _split(piece: str) -> tuple[str, ...]:
         """A piece as parts that are encoded alike: the splitting parts letters
-        from a full stop or comma, and the normaliser lowers ASCII letters."""
-        word, end = (piece[:-1], piece[-1:]) if piece[-1] in ".," else (piece, "")
-        if not word.isalpha():
-            return (piece,)
+        from a full stop or comma.  A word counts as letters only if it still is
+        when the normaliser has lowered it: a dotted capital I becomes a letter
+        and a mark, which a full stop behind joins."""
+        word, end = (piece[:-1], piece[-1:]) if piece[-1:] in (".", ",") else (piece, "")
+        if not TextEncoder._letters(word):
+            return (piece,) if piece else ()
         word = word.lower() if word.isascii() else word
         return (word, end) if end else (word,)
 
-    def encode(self, batch: list[str]) -> Iterator[np.ndarray]:
-        if not self.cut:
-            for t in batch:
-                yield np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+    @staticmethod
+    def _letters(word: str) -> bool:
+        return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+    def learn(self, pieces: list[bytes], rows: np.ndarray) -> None:
+        if not self.cuts:
+            self.many([b.decode() for b in pieces], "", [], rows)
             return
-        cut = [t.replace("\n", " ").split(" ") for t in batch]
-        if len(self.memo) > MEMO:
-            self.memo = {"": b""}
-        memo = self.memo
-        found = [[memo.get(x) for x in pieces] for pieces in cut]
-        new = list({x for pieces, got in zip(cut, found, strict=True) if None in got for x, g in zip(pieces, got, strict=True) if g is None})
-        split = [self._split(x) for x in new]
-        self._learn(list({p for s in split for p in s if p not in memo}))
-        for x, s in zip(new, split, strict=True):
-            memo[x] = b"".join([memo[p] for p in s])
-        for pieces, got in zip(cut, found, strict=True):
-            yield np.frombuffer(b"".join([memo[x] for x in pieces] if None in got else got), np.uint32)
-
-    def _learn(self, parts: list[str]) -> None:
-        """Encode parts that are not in the memory.  Words of letters, which are
-        never split, are encoded many in one text with spaces between."""
-        words = [p for p in parts if p.isalpha()]
-        rest = [p for p in parts if not p.isalpha()]
-        for i in range(0, len(words), 200):
-            some = words[i:i + 200]
-            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, of = np.array(e.ids, np.uint32), np.array(e.word_ids)
-            ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(ids))
-            if len(ends) != len(some):
-                rest += some
-                continue
-            data, at = ids.tobytes(), 0
-            for x, end in zip(some, (4 * ends).tolist(), strict=True):
-                self.memo[x], at = data[at:end], end
-        for i in range(0, len(rest), 2000):
-            some = rest[i:i + 2000]
-            for x, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.memo[x] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        words: dict[str, int] = {}
+        at, count = [], []
+        for b in pieces:
+            own = self._split(b.decode().lstrip(" \n"))
+            at += [words.setdefault(w, len(words)) for w in own]
+            count.append(len(own))
+        table = _Words(self)
+        begin, length, flat = table.ids(list(words))
+        at = np.array(at, np.int64)
+        ends = np.concatenate([[0], np.cumsum(length[at])])
+        bounds = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
+        self.keep(rows, np.diff(ends[bounds]), flat[gather(begin[at], length[at])])
+
+
+class _Words(PieceTable):
+    """The words of one batch's new pieces, encoded by the same tokenizer."""
+
+    many = LibraryTable.many
+
+    def __init__(self, encoder: TextEncoder):
+        super().__init__()
+        self.tokenizer = encoder.tokenizer
+
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.begin, self.length = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        self.many(words, " ", [i for i, w in enumerate(words) if TextEncoder._letters(w)], np.arange(len(words)))
+        return self.begin, self.length, self.flat
 
 
 _OPEN: dict[str, TextEncoder] = {}
@@ -267,8 +265,9 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, *, end_id:
             writer = TokenWriter(stream, bits)
             for piece in slices(batches, "__text"):
                 keys = column(piece, "__key").to_pylist()
-                for k, ids in zip(keys, encoder.encode(texts(column(piece, "__text"))), strict=True):
-                    writer.add(k, np.concatenate([ids, end]))
+                ids, bounds = encoder.encode(column(piece, "__text"))
+                for k, a, b in zip(keys, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    writer.add(k, np.concatenate([ids[a:b], end]))
             writer.close()
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{folder}/{own}"], "documents": [len(writer.keys)], "ids": [writer.total]})
 

@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs
 import pytest
 from tokenizers import Tokenizer
@@ -56,9 +58,13 @@ def test_query_equals_library(spark, small, documents, vocabulary):
 def test_odd_texts_equal_library(odd_texts, vocabulary, file):
     tokenizer = Tokenizer.from_file(vocabulary(file))
     encoder = T.TextEncoder(vocabulary(file))
-    assert encoder.cut == (file == "word_bpe_49k.json")
-    for t, ids in zip(odd_texts, encoder.encode([t or "" for t in odd_texts]), strict=True):
-        assert ids.tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
+    assert encoder.cuts == (file == "word_bpe_49k.json")
+    rng = random.Random(8)
+    parts = ["ANKARA", "BELEDİYESİ", "İ", "i̇", "ß", "ŉ", "ǰ", ".", ",", " ", "\n", "  ", "é", "e\u0301", "\u0301", "Σ", "'s", "9", "<|endoftext|>", "<|startoftext|>", "日本", "\u3000", "\t", "K"]
+    texts = [*odd_texts, "ANKARA BELEDİYESİ.", "İ,", "A\u0307.", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 8))) for _ in range(3000))]
+    ids, bounds = encoder.encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[bounds[i]:bounds[i + 1]].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
 def test_defined_cases(spark, table, vocabulary):
