@@ -347,13 +347,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 def scored(docs: DataFrame, model: Model, keep: list[str], text: str = "text", below: float | None = None) -> DataFrame:
     """Columns ``keep`` and ``score`` of each text; with ``below``, only rows
     that score less, without the score."""
-    whole = docs.select(*[F.col(k) for k in keep], F.col(text).alias("__text"))
+    # a text that is kept goes to the workers once
+    read_from = text if text in keep else "__text"
+    whole = docs.select(*keep, *([] if text in keep else [F.col(text).alias(read_from)]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.select(*keep).schema)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for piece in slices(batches, "__text"):
-            score = np.array([scorer.score(t) for t in texts(column(piece, "__text"))])
+        for piece in slices(batches, read_from):
+            score = np.array([scorer.score(t) for t in texts(column(piece, read_from))])
             rest = [column(piece, k) for k in keep]
             if below is None:
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(score)], [*keep, "score"])
