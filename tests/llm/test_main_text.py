@@ -96,3 +96,15 @@ def test_unclosed_and_empty_elements_hide_no_text():
     assert read("<head><title>t</title><p>a") == ["a"] and read("<head><title>t</title></head>a<body>b") == ["a", "b"]
     assert read("<p>a<script>b") == ["a"] and read("<p>a" + "<svg>" * 50_000 + "b") == ["ab"]
     assert M.leaf_blocks("<math><p>x</p></math><p>y</p>")[-1].tags == ("p",)
+
+
+def test_quotes_in_attributes(chain):
+    """A quote opens a value only behind an equals sign, and only if it ends."""
+    frame = "<html><body><div class=\"content\"><h1>The title of it</h1>%s</div></body></html>"
+    first, second = "A long paragraph of text, with commas, and more. It goes on.", "Another long paragraph, which is here too, and ends."
+    third = "The last one of the paragraphs, with a few commas, is this."
+    for tag in ("<p data-x=it's>", "<p title=a\"b>", "<p title='a>b' class=\"x>y\">", "<p 'x>", '<p title = "a > b">'):
+        page = frame % f"<p>{first}</p>{tag}{second}</p><p>{third}</p>"
+        assert M.main_text(page, chain) == "\n\n".join(["The title of it", first, second, third]), tag
+    page = f"<html><body><div class=content><p>{first}</p><p>{third}</p><p class=\"x>{second}</p></div></body></html>"
+    assert second in M.main_text(page, chain) and "class=" not in M.main_text(page, chain)
