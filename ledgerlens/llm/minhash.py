@@ -4,17 +4,24 @@ A document's set holds its distinct shingles of five words.  Each permutation
 of the hashed shingles gives two signature values, the smallest and the largest
 hash, so ``PERMUTATIONS`` evaluations give twice as many unbiased values; these
 are cut into bands of ``ROWS`` values.  At the least similarity of 0.75, a pair
-shares no band with probability (1 - 0.75 ** 4) ** 32 < 6e-6.
+of large sets shares no band with probability (1 - 0.75 ** 4) ** 32 < 6e-6; a
+pair of small ones, whose smallest and largest values depend on each other, with
+up to 1e-4, so sets of at most ``SMALL`` shingles are also joined exactly.
 
 Documents with equal sets form a class, and one of them stands for it from then
 on.  Classes that share a band are linked when their whole sets agree in
 ``100 * common >= 75 * union``.  All pairs of a band are never listed: each
 member is compared with the band's leader, the member that shares bands with
-most others (the text that a group of edited copies is nearest to), and further
-pairs only where a band still holds different components after that.  Pairs go
-on to the comparison of whole sets when their sizes allow a link and at least
-``AGREE`` of the signature values agree in their low four bits, which a pair of
-similarity 0.75 misses with probability below 1e-6.
+most others (the text that a group of edited copies is nearest to).  Where a band
+still holds different components after that, its members' rare shingles are
+joined instead of the band: in one order of all shingles, rarest first, similar
+sets must share one of their first few (how few follows from their sizes), so
+edited copies that share only their template do not meet.  Places in that order
+and a bitmap of shingle parities bound what a pair can have in common; both
+bounds are exact.  Pairs go on to the comparison of whole sets when their sizes
+allow a link and at least ``AGREE`` of the signature values agree in their low
+four bits, which a pair of similarity 0.75 misses with probability below 1e-6.
+That comparison is of the words themselves, not of hashes.
 
 Defined cases: null and empty texts, and texts without a word, have no shingle
 and are linked with nothing; a text of one to four words has its whole sequence
@@ -29,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import column, gather, map_arrow, shared, sized, slices, texts
@@ -43,6 +50,10 @@ LEAST, OF = 75, 100
 #: Signature values that must agree in their low bits; 98 of 128 are expected
 #: at a similarity of 0.75, with a deviation of 4.8.
 AGREE, LOW_BITS = 72, 4
+#: Sets of at most so many shingles are joined exactly, whatever their bands.
+SMALL = 24
+#: Bits of a set's parities, and shingles in one row of them.
+PARITIES, CHUNK = 1024, 4096
 
 _U = np.uint64
 _ODD, _POWER = _U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95)
@@ -72,14 +83,17 @@ def _power_tables(n: int) -> list[np.ndarray]:
 
 
 def word_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of each lower-cased text, and words per text."""
+    """Hashes of the words of each lower-cased text, and words per text.  A word
+    is the sum of a scrambled value for each of its bytes and places."""
     flat = np.frombuffer(b"\n".join([*data, b""]), np.uint8)
     word = np.concatenate([[False], ~_SPACE[flat], [False]])
     edge = np.flatnonzero(word[1:] != word[:-1])
     start, stop = edge[::2], edge[1::2]
-    power, inverse = _power_tables(len(flat) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(_BYTE[flat] * power[:len(flat)])])
-    hashes = mixed((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64))
+    place = gather(np.zeros(len(start), np.int64), stop - start).astype(np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(mixed(_BYTE[flat[word[1:-1]]] + place * _POWER))])
+    size = stop - start
+    end = np.cumsum(size)
+    hashes = mixed(total[end] - total[end - size] + size.astype(np.uint64))
     ends = np.cumsum([len(d) + 1 for d in data])
     first = np.searchsorted(start, np.concatenate([[0], ends]))
     return hashes, np.diff(first)
@@ -186,6 +200,24 @@ def packed_texts(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFr
     return map_arrow(rows, pack, "id long, size long, packed binary").join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
 
 
+def exact_sets(data: list[bytes]) -> list[np.ndarray]:
+    """The sorted shingles of each lower-cased text as numbers that are equal
+    only where all five words are."""
+    number: dict[bytes, int] = {}
+    words = [[number.setdefault(w, len(number)) for w in d.split()] for d in data]
+    none = len(number)
+    runs = [np.array(w + [none] * (WORDS - len(w)) if 0 < len(w) < WORDS else w, np.int64) for w in words]
+    count = np.array([max(len(r) - WORDS + 1, 0) for r in runs], np.int64)
+    flat = np.concatenate([*runs, np.zeros(WORDS, np.int64)])
+    begin = np.cumsum([0, *map(len, runs[:-1])]) if runs else np.zeros(0, np.int64)
+    at = gather(begin, count)
+    key = flat[at]
+    for i in range(1, WORDS):
+        _, key = np.unique(key * (none + 1) + flat[at + i], return_inverse=True)
+    end = np.cumsum(count)
+    return [np.unique(key[e - c:e]) for e, c in zip(end.tolist(), count.tolist(), strict=True)]
+
+
 def confirmed(pairs: DataFrame, packed: DataFrame) -> DataFrame:
     """The pairs (``a``, ``b``) whose whole shingle sets are similar enough."""
 
@@ -195,14 +227,10 @@ def confirmed(pairs: DataFrame, packed: DataFrame) -> DataFrame:
             known = {}  # each text of the piece once
             for ids, size, data in ((a, "sa", "pa"), (b, "sb", "pb")):
                 known |= {i: (s, d) for i, s, d in zip(ids.tolist(), column(piece, size).to_pylist(), column(piece, data), strict=True)}
-            order = {i: k for k, i in enumerate(known)}
-            plain = [pa.decompress(d.as_py(), s, "zstd", asbytes=True).decode() for s, d in known.values()]
-            values, count = shingle_sets(plain)
-            end = np.cumsum(count)
-            sets = [values[e - c:e] for e, c in zip(end.tolist(), count.tolist(), strict=True)]
+            sets = dict(zip(known, exact_sets([pa.decompress(d.as_py(), s, "zstd", asbytes=True) for s, d in known.values()]), strict=True))
             good = []
             for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                p, q = sets[order[x]], sets[order[y]]
+                p, q = sets[x], sets[y]
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 good.append(OF * both >= LEAST * (len(p) + len(q) - both) and both > 0)
             good = np.array(good, bool)
@@ -212,6 +240,70 @@ def confirmed(pairs: DataFrame, packed: DataFrame) -> DataFrame:
     return map_arrow(pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a"), check, "a long, b long")
 
 
+def parities(values: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For each set, whether an odd number of its shingles falls on each of
+    ``PARITIES`` places: two sets differ in as many shingles at least as these
+    bits differ in."""
+    row = np.repeat(np.arange(len(count)), count)
+    place = (mixed(values ^ _ODD) % _U(PARITIES)).astype(np.int64)
+    odd = (np.bincount(row * PARITIES + place, minlength=len(count) * PARITIES) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(-1, 8), axis=1, bitorder="little").reshape(len(count), -1).view(np.uint64)
+
+
+def shingle_rows(packed: DataFrame) -> DataFrame:
+    """``id``, ``parity``, ``shingles``: the sets of packed texts, a long one in
+    several rows, the parities in its first."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in sized(batches, "size", 1 << 20):
+            values, count = shingle_sets([pa.decompress(d.as_py(), s, "zstd", asbytes=True).decode()
+                                          for s, d in zip(column(piece, "size").to_pylist(), column(piece, "packed"), strict=True)])
+            bits = parities(values, count).view(np.int64)
+            ids, end = column(piece, "id").to_pylist(), np.cumsum(count)
+            rows = [(ids[i], bits[i].tolist() if at == begin else None, values[at:min(at + CHUNK, stop)].view(np.int64))
+                    for i, (begin, stop) in enumerate(zip((end - count).tolist(), end.tolist(), strict=True)) for at in range(begin, stop, CHUNK)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["id", "parity", "shingles"])
+
+    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    return map_arrow(packed, build, "id long, parity array<long>, shingles array<long>")
+
+
+def differing(a: str, b: str) -> F.Column:
+    """In how many bits two arrays of parities differ."""
+    return sum((F.bit_count(F.get(F.col(a), F.lit(k)).bitwiseXOR(F.get(F.col(b), F.lit(k)))) for k in range(PARITIES // 64)), F.lit(0))
+
+
+def rare_pairs(nodes: DataFrame, packed: DataFrame) -> DataFrame:
+    """Pairs (``a``, ``b``) of ``nodes`` (``id``, ``n``, ``component``, ``low``)
+    of different components that can be similar.
+
+    In any one order of the shingles, sets of n <= m shingles with the similarity
+    LEAST share one of the first n - c + 1 of the smaller and of the first
+    m - d + 1 of the larger, where c and d are the least numbers that the smaller
+    has in common with a set of its size or more, and the larger with any.  The
+    order is by how many nodes hold a shingle; what only one holds fills places
+    and is joined with nothing."""
+    sets = shared(shingle_rows(packed), "minhash-shingles")
+    one = sets.select("id", F.explode("shingles").alias("shingle"))
+    held = shared(one.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1"), "minhash-held")
+    common = one.join(held.hint("merge"), "shingle").join(nodes.select("id", "n"), "id")
+    each = Window.partitionBy("id")
+    place = F.col("n") - F.count("*").over(each) + F.row_number().over(each.orderBy("df", "shingle"))
+    least = lambda times, of: F.ceil(times * F.col("n") / F.lit(of))
+    first = (common.withColumn("place", place).filter(F.col("place") <= F.col("n") - least(LEAST, OF) + 1).select("id", "shingle", "place")
+             .join(nodes, "id").join(sets.filter("parity IS NOT NULL").select("id", "parity"), "id"))
+    first = shared(first, "minhash-first")
+    x = first.filter(F.col("place") <= F.col("n") - least(2 * LEAST, LEAST + OF) + 1).alias("x")
+    y = first.alias("y")
+    both, rest = F.col("x.n") + F.col("y.n"), F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    found = x.join(y.hint("merge"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component"))
+                   & (F.struct("x.n", "x.id") < F.struct("y.n", "y.id")) & _alike("x.n", "y.n")
+                   & ((rest + 1) * (OF + LEAST) >= both * LEAST) & (differing("x.parity", "y.parity") * (OF + LEAST) <= both * (OF - LEAST))
+                   & (agreeing("x.low", "y.low") >= AGREE))
+    return found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def _alike(a: str, b: str):
     """Sizes that a similar pair can have."""
     return (F.least(a, b) * OF >= F.greatest(a, b) * LEAST)
@@ -243,22 +335,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     others = _apart(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), groups)
     groups = shared(components(confirmed(others, packed).union(groups.select("id", "component"))), "minhash-groups")
 
-    # bands that still hold different components: their other pairs
+    # bands that still hold different components, and small sets: their other pairs
     member = (members.join(leaders.select("band", "a"), "band").join(groups, "id", "left")
-              .select("band", "id", "n", "a", F.coalesce("component", "id").alias("component")))
+              .select("band", "id", "a", F.coalesce("component", "id").alias("component")))
     split = member.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"))
-    open_ = shared(member.filter("id <> a").join(split.filter("lo < hi AND m > 2").select("band"), "band")
-                   .join(classes.select("id", "low", "bands"), "id"), "minhash-open")
-    x, y = open_.alias("x"), open_.alias("y")
-    shared_bands = F.filter(F.zip_with("x.bands", "y.bands", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())
-    first_shared = F.get(shared_bands, F.lit(0)) == F.col("x.band")  # each pair comes from one of its bands
-    rest = (x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-                   & _alike("x.n", "y.n") & (agreeing("x.low", "y.low") >= AGREE) & first_shared)
-            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
-    rest = shared(rest, "minhash-rest")
+    split = shared(split.filter("lo < hi AND m > 2").select("band"), "minhash-split")
+    open_ = members.join(split, "band").select("id").union(classes.filter(F.col("n") <= SMALL).select("id")).distinct()
+    nodes = classes.join(open_.hint("merge"), "id", "left_semi").join(groups, "id", "left")
+    nodes = shared(nodes.select("id", "n", "low", F.coalesce("component", "id").alias("component")), "minhash-open")
+    packed = shared(packed_texts(docs, key, text, nodes.select("id")), "minhash-texts")
+    rest = shared(rare_pairs(nodes, packed), "minhash-rest")
     if not rest.isEmpty():
-        packed = packed_texts(docs, key, text, rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct())
-        groups = components(confirmed(rest, shared(packed, "minhash-texts")).union(groups.select("id", "component")))
+        groups = components(confirmed(rest, packed).union(groups.select("id", "component")))
 
     named = rows.join(classes.select("h1", "h2", "n", F.col("id").alias("class")), ["h1", "h2", "n"], "left")
     found = named.join(groups.withColumnRenamed("id", "class"), "class", "left")

@@ -61,6 +61,57 @@ def test_similarities_at_the_threshold(spark, table):
     assert rows == {0: 0, 1: 1}  # 5/7
 
 
+def test_words_with_equal_polynomial_hashes(spark, table):
+    """The Thue-Morse word over two letters and its complement."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    x, y = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    texts = [f"one two {w} four five six seven" for w in (x, y)]
+    assert [r["component_id"] for r in M.near_duplicates(table(texts)).orderBy("doc_id").collect()] == [0, 1]
+    assert len(np.unique(M.word_hashes([b" ".join([x.encode(), y.encode(), b"ab", b"ba", b"a"])])[0])) == 5
+
+
+def test_exact_sets_tell_words_apart():
+    data = [b"a b c d e f", b"a b c d e", b"a b c d", b"a b", b"", b"b c d e f", b"a b c d e f a b c d e f"]
+    sets = [set(s.tolist()) for s in M.exact_sets(data)]
+    for (p, s), (q, t) in combinations(zip(data, sets, strict=True), 2):
+        assert len(s & t) == len(shingles(p.decode()) & shingles(q.decode()))
+    assert [len(s) for s in sets] == [2, 1, 1, 1, 0, 1, 6] and M.exact_sets([]) == []
+
+
+def test_small_sets_without_a_shared_band(spark, table, monkeypatch):
+    """Pairs at three of four shingles are found without any band, and so are
+    longer ones of open bands."""
+    monkeypatch.setattr(M, "bands", lambda s: np.arange(s.shape[0] * M.BANDS, dtype=np.uint64).reshape(-1, M.BANDS) + M.mixed(s[:, :1]))
+    texts = [" ".join(f"p{k}w{i}" for i in range(n)) for k in range(150) for n in (7, 8)]
+    rows = M.near_duplicates(table(texts)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {i: i - i % 2 for i in range(300)}
+
+
+def test_rare_pairs_lose_no_link(spark, table):
+    """Every similar pair of different components is listed, few others are."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = [edited(base[:rng.randrange(110, 151)], rng, rng.randrange(7)) for _ in range(150)]
+    texts += [" ".join(f"s{rng.randrange(3)}" for _ in range(rng.randrange(1, 12))) for _ in range(60)]
+    docs, sets = table(texts), [shingles(t) for t in texts]
+    rows = M.set_rows(docs, "doc_id", "text").selectExpr("id", "n", "id AS component", "low")
+    packed = M.packed_texts(docs, "doc_id", "text", rows.select("id"))
+    got = {tuple(sorted(r)) for r in M.rare_pairs(rows, packed).collect()}
+    alike = {(a, b) for a, b in combinations(range(len(texts)), 2)
+             if sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    equal = {(a, b) for a, b in combinations(range(len(texts)), 2) if sets[a] == sets[b]}
+    assert alike <= got and len(got - alike - equal) < 1000
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 1 << 63, 900, np.uint64)
+    sets = [np.sort(rng.choice(pool, n, replace=False)) for n in (5, 400, 420, 800)]
+    bits = np.unpackbits(M.parities(np.concatenate(sets), np.array(list(map(len, sets)))).view(np.uint8), axis=1)
+    for i, j in combinations(range(4), 2):
+        assert (bits[i] != bits[j]).sum() <= len(np.setxor1d(sets[i], sets[j]))
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 63, 3000, np.uint64)
