@@ -16,9 +16,11 @@ in the corpus is removed.  All positions are judged on the input.
    what follows), up to the window's length, and finds common prefixes by
    Kasai's method, many contexts at a time.  Windows with a common prefix of
    ``length`` are repeated.
+   Equal contexts are counted before they are sent, so one of them travels.
 4. A hot anchor hash is dealt over several shards by context.  Such shards also
-   send one key per distinct window to a merge, which finds the keys of each
-   shard among those of the others by binary search.
+   send the keys of their distinct windows, sorted and packed, a row per range of
+   keys, to a merge, which finds the keys of each shard among those of the others
+   by binary search, a range at a time.
 
 Defined cases: null and empty texts have nothing to remove; a text shorter than
 the window keeps all; rows that share an id are separate texts (exact copies of
@@ -261,57 +263,68 @@ def _run_rows(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
 
 
 def _contexts(packed: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """``anchor``, ``shard``, ``context``, ``data``, ``n``: contexts with their bytes."""
-    wanted = runs.groupBy("doc", "row").agg(F.collect_list(F.struct("first", "last", "anchor", "shard", "shards", "context")).alias("runs"))
+    """``anchor``, ``shard``, ``shards``, ``context``, ``n``, ``data``: distinct
+    contexts, how often they occur, and their bytes, cut from one place each."""
+    counted = (runs.groupBy("anchor", "context", "shard", "shards").agg(F.count("*").alias("n"), F.min(F.struct("doc", "row", "first", "last")).alias("at")))
+    wanted = (counted.select("at.doc", "at.row", F.struct("at.first", "at.last", "anchor", "shard", "shards", "context", "n").alias("run"))
+              .groupBy("doc", "row").agg(F.collect_list("run").alias("runs")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "shard", "shards", "context"]
+        names = ["anchor", "shard", "shards", "context", "n"]
         for piece in sized(batches, "size", 2 << 20):
             listed = column(piece, "runs")
             flat, at = listed.flatten(), listed.offsets.to_numpy() - listed.offsets[0].as_py()
             first, last = (flat.field(f).to_numpy() for f in ("first", "last"))
             data = [d[s:e] for d, a, b in zip(_unpack(piece), at[:-1], at[1:], strict=True)
                     for s, e in zip(first[a:b].tolist(), (last[a:b] + length).tolist(), strict=True)]
-            both = np.stack([flat.field(f).to_numpy() for f in ("anchor", "context")])
-            _, kept, count = np.unique(both, axis=1, return_index=True, return_counts=True)
-            take = pa.array(kept)
-            yield pa.RecordBatch.from_arrays([flat.field(f).take(take) for f in names] + [pa.array([data[k] for k in kept.tolist()], pa.binary()), pa.array(count)],
-                                             [*names, "data", "n"])
+            yield pa.RecordBatch.from_arrays([flat.field(f) for f in names] + [pa.array(data, pa.binary())], [*names, "data"])
 
     return map_arrow(packed.select("doc", "row", "size", "packed").join(wanted, ["doc", "row"]), cut,
-                     "anchor long, shard long, shards long, context long, data binary, n long")
+                     "anchor long, shard long, shards long, context long, n long, data binary")
+
+
+#: A window's key as shards send it: a digest, whether it is single in its
+#: shard, and its place.
+KEY = np.dtype([("low", "<u8"), ("high", "<u8"), ("context", "<i8"), ("offset", "<i4"), ("single", "?")])
+
+
+def packed_keys(windows: list[tuple[bytes, int, int, bool]], parts: int) -> Iterator[tuple[int, bytes]]:
+    """Range and packed sorted keys of windows (bytes, context, offset, single)."""
+    keys = np.empty(len(windows), KEY)
+    for i, (data, *place) in enumerate(windows):
+        digest = hashlib.blake2b(data, digest_size=16).digest()
+        keys[i] = (int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little"), *place)
+    keys = keys[np.argsort(keys, order=("low", "high"))]
+    part = (keys["low"] >> _U(32)) * _U(parts) >> _U(32)  # ascends with the keys
+    edge = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+    for k, (x, y) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+        if y > x:
+            yield k, keys[x:y].tobytes()
 
 
 def _shard_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """``anchor``, ``context``, ``spans`` of repeated windows; for anchors dealt
-    over several shards also ``shard`` and the keys of the distinct windows:
-    ``offsets``, ``low``, ``high``, ``single``."""
-    schema = ("anchor long, context long, shard long, spans array<int>, offsets array<int>, low array<long>, high array<long>, "
-              "single array<boolean>")
+    """``anchor``, ``context``, ``spans`` of repeated windows, and for anchors
+    dealt over several shards ``anchor``, ``shard``, ``part``, ``keys``: the keys of
+    the shard's distinct windows by ranges."""
+    schema = "anchor long, context long, shard long, spans array<int>, part int, keys binary"
     names = [x.split()[0] for x in schema.split(", ")]
+    types = [pa.int64()] * 3 + [pa.list_(pa.int32()), pa.int32(), pa.binary()]
 
     def solve(group: dict) -> pa.RecordBatch:
-        out = []
-        found = repeated_windows([g[1] for g in group.values()], length)
-        many = {k: f for k, f, g in zip(group, found, group.values(), strict=True) if g[3] > 1}
-        sent: dict[tuple, set] = {}
-        for (key, g), (twice, rank) in zip(group.items(), found, strict=True):
-            spans = [0, len(twice) - 1] if g[0] > 1 else spans_of(twice)
-            offsets = low = high = single = None
-            if key in many:
-                known = sent.setdefault((key[0], g[2]), set())
-                offsets = [o for o, r in enumerate(rank.tolist()) if r not in known]
-                known.update(rank.tolist())
-                data = [hashlib.blake2b(g[1][o:o + length], digest_size=16).digest() for o in offsets]
-                low, high = ([int.from_bytes(d[s], "little", signed=True) for d in data] for s in (slice(0, 8), slice(8, 16)))
-                single = [not (g[0] > 1 or bool(twice[o])) for o in offsets]
-            out.append((key[0], key[1], g[2], spans, offsets, low, high, single))
+        out, sent = [], {}  # (anchor, shard, shards) -> rank -> window
+        for (key, (n, data, shard, shards)), (twice, rank) in zip(group.items(), repeated_windows([g[1] for g in group.values()], length), strict=True):
+            out.append((*key, shard, [0, len(twice) - 1] if n > 1 else spans_of(twice), None, None))
+            if shards > 1:
+                known = sent.setdefault((key[0], shard, shards), {})
+                for o, r in enumerate(rank.tolist()):
+                    if r not in known:
+                        known[r] = data[o:o + length], key[1], o, not (n > 1 or bool(twice[o]))
+        for (anchor, shard, shards), known in sent.items():
+            out += [(anchor, None, shard, None, part, keys) for part, keys in packed_keys(list(known.values()), shards)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    types = [pa.int64()] * 3 + [pa.list_(pa.int32())] * 2 + [pa.list_(pa.int64())] * 2 + [pa.list_(pa.bool_())]
-
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: dict[tuple, list] = {}  # (anchor, context) -> [n, data, shard, shards]
+        group: dict[tuple, tuple] = {}  # (anchor, context) -> n, data, shard, shards
         held, last = 0, None
         for piece in slices(batches, "data", 1 << 20):
             for anchor, shard, shards, context, data, n in zip(*(column(piece, c).to_pylist() for c in ("anchor", "shard", "shards", "context", "data", "n")), strict=True):
@@ -319,10 +332,8 @@ def _shard_spans(contexts: DataFrame, length: int) -> DataFrame:
                     yield solve(group)
                     group, held = {}, 0
                 last = anchor, shard
-                if (anchor, context) in group:
-                    group[anchor, context][0] += n
-                else:
-                    group[anchor, context] = [n, data, shard, shards]
+                if (anchor, context) not in group:  # rows of one id and text cut it each
+                    group[anchor, context] = n, data, shard, shards
                     held += len(data)
         if group:
             yield solve(group)
@@ -331,31 +342,46 @@ def _shard_spans(contexts: DataFrame, length: int) -> DataFrame:
     return map_arrow(dealt, build, schema)
 
 
+def merged_keys(lists: list[np.ndarray]) -> Iterator[tuple[int, list[int]]]:
+    """Context and places (first and last) of the windows that are single in
+    their list of sorted keys and have their key in another list."""
+    numbers = [np.stack([k["low"], k["high"]], axis=1).astype(">u8").view("S16").ravel() for k in lists]
+    merged = np.sort(np.concatenate(numbers), kind="stable") if lists else None
+    hits = []
+    for mine, number in zip(lists, numbers, strict=True):
+        wanted = np.flatnonzero(mine["single"])
+        places = [np.searchsorted(merged, number[wanted], side=side) for side in ("left", "right")]
+        hits.append(mine[wanted[places[1] - places[0] > 1]])  # a list holds a key once
+    hit = np.sort(np.concatenate(hits), order=("context", "offset")) if hits else np.zeros(0, KEY)
+    context, first = np.unique(hit["context"], return_index=True)
+    for c, offsets in zip(context.tolist(), np.split(hit["offset"], first[1:]) if len(first) else [], strict=True):
+        yield c, np.repeat(offsets, 2).tolist()
+
+
 def _merged_spans(shards: DataFrame) -> DataFrame:
     """``anchor``, ``context``, ``spans`` of windows that are single in their
     shard and have their key in another shard."""
-    keys = (shards.filter("offsets IS NOT NULL")
-            .select("anchor", "context", "shard", F.explode(F.arrays_zip("offsets", "low", "high", "single")).alias("w"))
-            .select("anchor", "context", "shard", F.col("w.offsets").alias("offset"), F.col("w.low").alias("low"), F.col("w.high").alias("high"), F.col("w.single").alias("single")))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
-        low, high, shard, single = (table.column(c).to_numpy() for c in ("low", "high", "shard", "single"))
-        dtype = [("low", np.int64), ("high", np.int64)]
-        key = np.empty(len(low), dtype)
-        key["low"], key["high"] = low, high
-        order = np.argsort(key, order=("low", "high"), kind="stable")
-        merged, wanted = key[order], key[single]
-        left = np.searchsorted(merged, wanted, side="left")
-        right = np.searchsorted(merged, wanted, side="right")
-        hit = np.flatnonzero(single)[right - left > 1]  # a shard sends a key once
-        yield from table.select(["anchor", "context", "offset"]).take(pa.array(hit)).to_batches()
-
-    hits = map_arrow(keys.repartition("low"), merge, "anchor long, context long, offset int")
-    return hits.groupBy("anchor", "context").agg(F.flatten(F.collect_list(F.array("offset", "offset"))).alias("spans"))
+        lists, last = [], None
+
+        def found() -> Iterator[pa.RecordBatch]:
+            rows = list(merged_keys(lists))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([last[0]] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()),
+                                                  pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["anchor", "context", "spans"])
+
+        for batch in batches:
+            for anchor, part, keys in zip(*(column(batch, c).to_pylist() for c in ("anchor", "part", "keys")), strict=True):
+                if (anchor, part) != last:
+                    yield from found()
+                    lists, last = [], (anchor, part)
+                lists.append(np.frombuffer(keys, KEY))
+        yield from found()
+
+    keys = shards.filter("keys IS NOT NULL").select("anchor", "part", "keys")
+    dealt = keys.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    return map_arrow(dealt, merge, "anchor long, context long, spans array<int>")
 
 
 def repeated_spans(docs: DataFrame, key: str, text: str, length: int, carry: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -369,14 +395,16 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int, carry: lis
                     .withColumn("shard", F.when(shards > 1, F.pmod(F.xxhash64("context"), shards)).otherwise(F.lit(0).cast("long"))).drop("n"), "suffix-marked")
     packed = _packed(docs, key, text, carry)
     found = shared(_shard_spans(_contexts(packed, marked.filter("differ"), length), length), "suffix-shards")
-    spans = found.select("anchor", "context", "spans")
-    if not found.filter("offsets IS NOT NULL").isEmpty():
+    spans = found.filter("keys IS NULL").select("anchor", "context", "spans")
+    if not found.filter("keys IS NOT NULL").isEmpty():
         spans = spans.union(_merged_spans(found))
     spans = spans.filter(F.size("spans") > 0).groupBy("anchor", "context").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = shared(spans, "suffix-spans")  # a table for the same reason
     shifted = (marked.filter("differ").join(spans, ["anchor", "context"])
                .select("doc", "row", F.transform("spans", lambda s: s + F.col("first")).alias("spans")))
     whole = marked.filter("NOT differ").select("doc", "row", F.array("first", "last").alias("spans"))
-    return packed, shifted.union(whole).groupBy("doc", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # a set: rows of one id and text have the same runs
+    return packed, shifted.union(whole).groupBy("doc", "row").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def removed_spans(spans: np.ndarray, length: int) -> np.ndarray:

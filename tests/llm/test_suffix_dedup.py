@@ -62,6 +62,34 @@ def test_suffix_order_and_prefixes():
     assert np.flatnonzero(twice[0][0]).tolist() == list(range(20, 91)) and twice[3][0].all() and not twice[1][0].any()
 
 
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_packed_keys_of_shards_merge(parts):
+    """A range holds the same windows in every shard; only windows single in
+    their shard and held by another are hits."""
+    windows = [f"{i:04d}".encode() for i in range(200)]
+    shards = [[(w, 10 * k + i % 3, i, i % 5 > 0) for i, w in enumerate(windows) if i % (k + 2) == 0] for k in range(3)]
+    ranges = {}
+    for s in shards:
+        for part, keys in S.packed_keys(s, parts):
+            keys = np.frombuffer(keys, S.KEY)
+            assert (np.diff(keys["low"].astype(object)) >= 0).all()
+            ranges.setdefault(part, []).append(keys)
+    got = {(c, o) for lists in ranges.values() for c, places in S.merged_keys(lists) for o in places}
+    held = Counter(w for s in shards for w, *_ in s)
+    assert got == {(c, o) for s in shards for w, c, o, single in s if single and held[w] > 1}
+    assert list(S.merged_keys([])) == []
+
+
+def test_rows_of_one_id_and_text(spark, table):
+    """Many equal rows: their runs are listed once."""
+    text = "".join(map(chr, np.random.default_rng(8).integers(97, 123, 2000)))
+    docs = table([text] * 300 + [text[:700] + "q" + text[701:]], [5] * 300 + [6])
+    spans = S.repeated_spans(docs, "doc_id", "text", 200, ["doc_id"])[1].collect()
+    assert max(len(r["spans"]) for r in spans) < 2 * 2000
+    rows = S.removal_digests(docs).collect()
+    assert sorted(tuple(r)[1:] for r in rows) == sorted(brute([text] * 300 + [text[:700] + "q" + text[701:]]))
+
+
 def test_long_text_in_blocks(monkeypatch):
     monkeypatch.setattr(S, "PIECE", 700)
     text = np.random.default_rng(3).integers(97, 123, 5000).astype(np.uint8).tobytes()
