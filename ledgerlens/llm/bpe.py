@@ -39,7 +39,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import SLICE_BYTES, column, gather, map_arrow, shared, slices
+from ledgerlens.llm.common import SLICE_BYTES, column, gather, map_arrow, remembered, shared, slices
 from ledgerlens.llm.pieces import PieceTable, distinct_pieces, flat_bytes, starts
 
 #: Words compiled into the lexicon, and the bytes of the longest such word.
@@ -48,6 +48,9 @@ LEXICON_BYTES = 64
 #: Bytes of counted pieces that a task holds, estimated.
 COUNT_BYTES = 128 << 20
 
+#: Bytes that a worker remembers of pieces; what is forgotten is soon learned anew.
+PIECE_BYTES = 64 << 20
+
 #: Fixed value: the splitting pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPLIT = regex.compile(PATTERN)
@@ -262,6 +265,9 @@ class Lexicon(PieceTable):
             place[live] += self.arc_out[arc]
         return np.where((state >= 0) & self.final[state], place, -1)
 
+    def room(self) -> int:
+        return PIECE_BYTES
+
     def learn(self, pieces: list[bytes], rows: np.ndarray) -> None:
         """The words of the pieces take their way through the automaton together;
         those it does not end at are merged."""
@@ -374,15 +380,9 @@ def compile_lexicon(words: list[str], vocabulary: str, path: str) -> None:
         "ids": np.array([i for x in ids for i in x], np.int32), "spec": np.frombuffer(spec, np.uint8)}, {"words": len(data)})
 
 
-_OPEN: dict[str, Lexicon] = {}
-
-
 def opened(name: str) -> Lexicon:
     """The worker's one open lexicon of that name."""
-    if name not in _OPEN:
-        _OPEN.clear()
-        _OPEN[name] = Lexicon(SparkFiles.get(name))
-    return _OPEN[name]
+    return remembered(name, lambda: Lexicon(SparkFiles.get(name)))
 
 
 def share_lexicon(spark: SparkSession, words: list[str], vocabulary: str) -> str:
@@ -406,7 +406,7 @@ def mapped(docs: DataFrame, vocabulary: str, keep: list[str], schema: str,
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = opened(name)
-        for piece in slices(batches, "__text"):
+        for piece in slices(batches, "__text", SLICE_BYTES // 2):
             ids, bounds = lexicon.encode(column(piece, "__text"))
             yield pa.RecordBatch.from_arrays([column(piece, k) for k in keep] + [pa.array(c) if isinstance(c, list) else c for c in result(lexicon, ids, bounds)], [*keep, *added])
 

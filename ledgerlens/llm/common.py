@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.session import checkpoint_dir
 
-__all__ = ["column", "gather", "map_arrow", "names", "read_table", "release", "shared", "sized", "slices", "texts", "written"]
+__all__ = ["column", "gather", "map_arrow", "names", "read_table", "release", "remembered", "shared", "sized", "slices", "texts", "written"]
 
 #: Text bytes that Python code holds decoded at a time.
 SLICE_BYTES = 4 << 20
@@ -66,10 +67,49 @@ def ship_package(spark: SparkSession) -> None:
     context.addPyFile(target)
 
 
+#: What this process keeps from task to task, by name, and the job it is for.
+_remembered: dict[str, object] = {}
+_job: list[str] = []
+
+
+def remembered(name: str, make: Callable[[], object]) -> object:
+    """The object of that name, made once in each worker and :func:`map_arrow`."""
+    if name not in _remembered:
+        _remembered[name] = make()
+    return _remembered[name]
+
+
+def give_back() -> None:
+    """Return freed memory to the system; allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def begin(job: str) -> None:
+    """Drop what this worker remembers of another job."""
+    if _job != [job]:
+        _job[:] = [job]
+        _remembered.clear()
+        give_back()
+
+
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with this package present on the executors."""
+    """``df.mapInArrow`` with this package present on the executors.
+
+    Spark hands a worker from one operator to the next, so what its tasks
+    remember ends with the job, and what they freed goes back to the system:
+    else each operator's peak would add to those of the ones before it."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    job = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(job)
+        yield from function(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

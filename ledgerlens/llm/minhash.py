@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import column, gather, map_arrow, shared, sized, slices, texts
+from ledgerlens.llm.common import column, gather, map_arrow, remembered, shared, sized, slices, texts
 from ledgerlens.llm.components import components
 
 WORDS = 5
@@ -64,7 +64,6 @@ _B = _draw.integers(0, 1 << 63, PERMUTATIONS, np.uint64)
 _BAND = _draw.integers(0, 1 << 63, ROWS, np.uint64) * _U(2) + _U(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers: list[np.ndarray] = []
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -76,10 +75,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def _power_tables(n: int) -> list[np.ndarray]:
     """Powers of ``_POWER`` and of its inverse, from the 0th on."""
-    if not _powers or len(_powers[0]) < n:
+    powers = remembered("powers", list)
+    if not powers or len(powers[0]) < n:
         inverse = _U(pow(int(_POWER), -1, 1 << 64))
-        _powers[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1 << 20), p, np.uint64)])) for p in (_POWER, inverse)]
-    return _powers
+        powers[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1 << 20), p, np.uint64)])) for p in (_POWER, inverse)]
+    return powers
 
 
 def word_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -31,7 +31,7 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import column, map_arrow, slices
+from ledgerlens.llm.common import column, map_arrow, remembered, slices
 from ledgerlens.llm.pieces import PieceEncoder
 
 #: Sequences that are open at a time.
@@ -90,14 +90,8 @@ def piece_bounds(n: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return doc, piece, np.where(piece > 0, first + (piece - 1) * capacity, 0), np.where(piece > 0, capacity, first)
 
 
-_OPEN: dict[str, PieceEncoder] = {}
-
-
 def opened(name: str) -> PieceEncoder:
-    if name not in _OPEN:
-        _OPEN.clear()
-        _OPEN[name] = PieceEncoder(SparkFiles.get(name))
-    return _OPEN[name]
+    return remembered(name, lambda: PieceEncoder(SparkFiles.get(name)))
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, *, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:

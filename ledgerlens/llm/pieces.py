@@ -86,6 +86,10 @@ class PieceTable:
     def cut(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return starts(data, bounds)
 
+    def room(self) -> int:
+        """Bytes that it remembers at most."""
+        return MEMO_BYTES
+
     def learn(self, pieces: list[bytes], rows: np.ndarray) -> None:
         """:meth:`keep` the ids of these pieces in these rows."""
         raise NotImplementedError
@@ -110,7 +114,7 @@ class PieceTable:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, end to end, and the bounds of each text's."""
-        if self.held + 4 * self.n_flat > MEMO_BYTES:
+        if self.held + 4 * self.n_flat > self.room():
             self._forget()
         data, bounds = flat_bytes(texts)
         if not len(data):

@@ -35,7 +35,7 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import column, gather, map_arrow, shared, slices
+from ledgerlens.llm.common import column, gather, map_arrow, remembered, shared, slices
 from ledgerlens.llm.pieces import LibraryTable, PieceTable
 from ledgerlens.session import checkpoint_dir
 
@@ -231,14 +231,8 @@ class _Words(PieceTable):
         return self.begin, self.length, self.flat
 
 
-_OPEN: dict[str, TextEncoder] = {}
-
-
 def opened(name: str) -> TextEncoder:
-    if name not in _OPEN:
-        _OPEN.clear()
-        _OPEN[name] = TextEncoder(SparkFiles.get(name))
-    return _OPEN[name]
+    return remembered(name, lambda: TextEncoder(SparkFiles.get(name)))
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, folder: str, *, end_id: int | None, key: str = "doc_id",

@@ -1,6 +1,10 @@
+import gc
+import os
+
 import numpy as np
 import pyarrow as pa
 
+from ledgerlens.llm import bpe
 from ledgerlens.llm import common as C
 
 
@@ -27,3 +31,32 @@ def test_release_deletes_only_what_is_named(spark):
     C.release(spark, mine)
     assert mine == [] and a.count() == 5
     assert not b.inputFiles() or not spark.read.parquet(C.written[-1]).isEmpty()
+
+
+def test_workers_keep_nothing_of_an_earlier_operator(spark, vocabulary):
+    """What the tasks of one operator share is gone when the same worker
+    processes run the next one."""
+    def held(batches):
+        for _ in batches:
+            kinds = [type(x).__name__ for x in gc.get_objects()]
+            yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "lexicons": [kinds.count("Lexicon")]})
+
+    docs = spark.range(0, 40, 1, 4).selectExpr("id AS doc_id", "concat('some words of row ', id) AS text")
+    encoded = bpe.encode(docs, vocabulary("byte_bpe_50k.json"), ["doc_id"])
+    assert encoded.selectExpr("sum(size(ids)) AS n").first()["n"] > 0
+    rows = C.map_arrow(spark.range(0, 64, 1, 4), held, "pid long, lexicons long").collect()
+    assert rows and not any(r["lexicons"] for r in rows)
+
+
+def test_a_job_s_tasks_share_what_they_remember(spark):
+    def count(batches):
+        C.remembered("seen", list).append(1)
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "n": [len(C.remembered("seen", list))]})
+
+    for _ in range(2):  # each call is a job of its own
+        rows = C.map_arrow(spark.range(0, 40, 1, 40), count, "pid long, n long").collect()
+        first = {}
+        for r in rows:
+            first.setdefault(r["pid"], []).append(r["n"])
+        assert all(sorted(n) == [*range(1, len(n) + 1)] for n in first.values()) and len(first) < 40
