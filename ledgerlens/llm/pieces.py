@@ -25,8 +25,8 @@ _ENTRY = 150  # bytes of an entry besides its piece and ids
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123)]] = True
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
 _LEADS = np.zeros(256, bool)  # first bytes of characters among which there is white space
 _LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
@@ -53,7 +53,7 @@ def starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     cut[at[data[at] == 10] + 1] = True
     at = np.flatnonzero((data == 46) | (data == 44))
     at = at[~edge[at]]
-    cut[at[_LETTER[data[at - 1]]]] = True
+    cut[at[LETTER[data[at - 1]]]] = True
     return np.flatnonzero(cut[:-1])
 
 
@@ -86,6 +86,10 @@ class PieceTable:
     def cut(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return starts(data, bounds)
 
+    def folded(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The bytes, or such that have the same ids and fewer distinct pieces."""
+        return data
+
     def room(self) -> int:
         """Bytes that it remembers at most."""
         return MEMO_BYTES
@@ -119,7 +123,11 @@ class PieceTable:
         data, bounds = flat_bytes(texts)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
-        at = self.cut(data, bounds) if self.cuts else np.unique(bounds[:-1][bounds[1:] > bounds[:-1]])
+        if self.cuts:
+            data = self.folded(data, bounds)
+            at = self.cut(data, bounds)
+        else:
+            at = np.unique(bounds[:-1][bounds[1:] > bounds[:-1]])
         pieces = distinct_pieces(data, at)
         distinct = pieces.dictionary.to_pylist()
         find = self.memo.get
@@ -155,7 +163,9 @@ class LibraryTable(PieceTable):
     def many(self, texts: list[str], between: str, plain: list[int], rows: np.ndarray) -> None:
         """Encode texts; ``plain`` ones are single words wherever they stand, so
         many of them, with ``between`` between, are encoded as one text."""
-        rest = sorted({*range(len(texts))} - {*plain})
+        alone = np.ones(len(texts), bool)
+        alone[plain] = False
+        rest = np.flatnonzero(alone).tolist()
         for at in range(0, len(plain), 512):
             some = plain[at:at + 512]
             e = self.tokenizer.encode(between.join([texts[i] for i in some]), add_special_tokens=False)

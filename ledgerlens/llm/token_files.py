@@ -35,12 +35,14 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import column, gather, map_arrow, remembered, shared, slices
-from ledgerlens.llm.pieces import LibraryTable, PieceTable
+from ledgerlens.llm.common import column, map_arrow, remembered, shared, slices
+from ledgerlens.llm.pieces import LETTER, LibraryTable
 from ledgerlens.session import checkpoint_dir
 
 MAGIC = b"IDPACK01"
 BLOCK = 4096
+#: Fixed value: the splitting pattern of the word vocabulary.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def bit_width(vocabulary: int) -> int:
@@ -155,13 +157,22 @@ class TextEncoder(LibraryTable):
     """A ``tokenizers`` tokenizer that encodes repeated pieces of text once.
 
     The texts are cut at spaces and line feeds, which the vocabulary's
-    normaliser drops and its splitting never crosses, so the ids of a text are
-    those of its pieces in order.  Other tokenizers encode whole texts."""
+    normaliser drops and its splitting never crosses, and where a mark follows
+    an ASCII letter, which the splitting parts; so the ids of a text are those of
+    its pieces in order.  Letters whose case the normaliser drops are lowered
+    before, so a word is encoded once however it is written and whatever stands
+    behind it.  Other tokenizers encode whole texts."""
 
     def __init__(self, path: str):
         super().__init__(path)
         with open(path, "rb") as f:
-            self.cuts = self._drops_white_space(json.load(f))
+            spec = json.load(f)
+        self.cuts = self._drops_white_space(spec)
+        added = [t["content"].encode() for t in spec["added_tokens"]]
+        self.parted = np.zeros(256, bool)  # marks that no added token holds
+        self.parted[[i for i in range(33, 127) if not chr(i).isalnum() and not any(i in t for t in added)]] = True
+        self.opens = np.zeros(256, bool)  # first bytes of added tokens
+        self.opens[[t[0] for t in added if t]] = True
 
     @staticmethod
     def _drops_white_space(spec: dict) -> bool:
@@ -169,66 +180,44 @@ class TextEncoder(LibraryTable):
         vocabulary: runs become one space, which the splitting leaves out."""
         steps = (spec.get("normalizer") or {}).get("normalizers") or []
         splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        added = [t for t in spec["added_tokens"] if t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"] != t["content"].strip() or " " in t["content"]]
+        added = [t for t in spec["added_tokens"] if t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or any(c.isspace() for c in t["content"])]
         rest = [s["type"] for s in steps]
         return (rest == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
                 and splits[0].get("type") == "Split" and splits[0]["behavior"] == "Removed" and splits[0]["invert"]
-                and r"[^\s" in splits[0]["pattern"]["Regex"] and not added)
+                and splits[0]["pattern"]["Regex"] == WORDS and not added)
+
+    def folded(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Line feeds as spaces, and A to Z lowered: not before a character
+        outside ASCII, which may be a mark that the normaliser joins to the
+        letter, nor in a piece that may hold an added token."""
+        out = np.where(data == 10, 32, data).astype(np.uint8)
+        plain = np.append(data[1:] < 0x80, True)
+        plain[bounds[1:][bounds[1:] > 0] - 1] = True  # the last character of a text
+        upper = (data >= 65) & (data <= 90) & plain
+        opens = self.opens[data]
+        if opens.any():
+            at = self.cut(out, bounds)
+            upper &= ~np.repeat(np.logical_or.reduceat(opens, at), np.diff(at, append=len(data)))
+        out[upper] += 32
+        return out
 
     def cut(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Before each space or line feed."""
+        """Before each space, and before a mark after an ASCII letter."""
         at = np.zeros(len(data) + 1, bool)
-        at[:-1] = (data == 32) | (data == 10)
+        at[1:-1] = LETTER[data[:-1]] & self.parted[data[1:]]
+        at[:-1] |= data == 32
         at[bounds] = True
         return np.flatnonzero(at[:-1])
 
-    @staticmethod
-    def _split(piece: str) -> tuple[str, ...]:
-        """A piece as parts that are encoded alike: the splitting parts letters
-        from a full stop or comma.  A word counts as letters only if it still is
-        when the normaliser has lowered it: a dotted capital I becomes a letter
-        and a mark, which a full stop behind joins."""
-        word, end = (piece[:-1], piece[-1:]) if piece[-1:] in (".", ",") else (piece, "")
-        if not TextEncoder._letters(word):
-            return (piece,) if piece else ()
-        word = word.lower() if word.isascii() else word
-        return (word, end) if end else (word,)
-
     @staticmethod
     def _letters(word: str) -> bool:
         return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
 
     def learn(self, pieces: list[bytes], rows: np.ndarray) -> None:
-        if not self.cuts:
-            self.many([b.decode() for b in pieces], "", [], rows)
-            return
-        words: dict[str, int] = {}
-        at, count = [], []
-        for b in pieces:
-            own = self._split(b.decode().lstrip(" \n"))
-            at += [words.setdefault(w, len(words)) for w in own]
-            count.append(len(own))
-        table = _Words(self)
-        begin, length, flat = table.ids(list(words))
-        at = np.array(at, np.int64)
-        ends = np.concatenate([[0], np.cumsum(length[at])])
-        bounds = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
-        self.keep(rows, np.diff(ends[bounds]), flat[gather(begin[at], length[at])])
-
-
-class _Words(PieceTable):
-    """The words of one batch's new pieces, encoded by the same tokenizer."""
-
-    many = LibraryTable.many
-
-    def __init__(self, encoder: TextEncoder):
-        super().__init__()
-        self.tokenizer = encoder.tokenizer
-
-    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        self.begin, self.length = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        self.many(words, " ", [i for i, w in enumerate(words) if TextEncoder._letters(w)], np.arange(len(words)))
-        return self.begin, self.length, self.flat
+        texts = [b.decode() for b in pieces]
+        if self.cuts:
+            texts = [t.lstrip(" ") for t in texts]
+        self.many(texts, " ", [i for i, t in enumerate(texts) if self._letters(t)] if self.cuts else [], rows)
 
 
 def opened(name: str) -> TextEncoder:

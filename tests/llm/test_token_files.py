@@ -67,6 +67,28 @@ def test_odd_texts_equal_library(odd_texts, vocabulary, file):
         assert ids[bounds[i]:bounds[i + 1]].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
+def test_words_are_encoded_once_whatever_their_case_and_mark(vocabulary):
+    path = vocabulary("word_bpe_49k.json")
+    encoder, tokenizer = T.TextEncoder(path), Tokenizer.from_file(path)
+    for white in " \n":
+        texts = [f"a{white}{word}{mark}" for word in ("harbour", "Harbour", "HARBOUR") for mark in ("", ".", ",", ";", ")")]
+        ids, bounds = encoder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoder.n == 6  # "a", " harbour" and four marks
+
+
+def test_lowered_and_cut_texts_equal_library(vocabulary):
+    path = vocabulary("word_bpe_49k.json")
+    encoder, tokenizer = T.TextEncoder(path), Tokenizer.from_file(path)
+    rng = random.Random(3)
+    parts = ["A", "J", "K", "z", "\u030c", "\u0307", "\u0338", "\u0345", "Σ", "É", "ǅ", "İ", "٣", "7", "=", "<", ">", "|", "'", "'S", "'re", "-", "_", "`", "\x7f", "\xad", "\u200d",
+             "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "X<|", " ", "\n", "\r\n", "\xa0", "\x85", "\x1c"]
+    texts = ["", "J\u030c", "J", "\u030c", None, "B", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(20_000))]
+    ids, bounds = encoder.encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[bounds[i]:bounds[i + 1]].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, repr(t)
+
+
 def test_defined_cases(spark, table, vocabulary):
     path = vocabulary("word_bpe_49k.json")
     docs = table(["b a", None, "x", "x", "c"], [5, None, 3, 3, 4])
